@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairlight.llm import decontaminate
+from pairlight.llm import bpe, decontaminate
 
 QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
+    "op8_bpe_encoding": bpe.query,
 }
 
 ORACLES = {
