@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, decontaminate
+from pairlight.llm import bpe, decontaminate, sharding
 
 QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
+    "op7_sharding": sharding.query,
     "op8_bpe_encoding": bpe.query,
 }
 
