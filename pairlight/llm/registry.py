@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, decontaminate, sharding
+from pairlight.llm import bpe, chat, decontaminate, sharding
 
 QUERIES = {
     "op4_benchmark_decontamination": decontaminate.query,
+    "op5_chat_formatting": chat.query,
     "op7_sharding": sharding.query,
     "op8_bpe_encoding": bpe.query,
 }
 
 ORACLES = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
 }
