@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, sharding
+from pairlight.llm import bpe, chat, decontaminate, sharding, substrings
 
 QUERIES = {
+    "op2_substring_dedup": substrings.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_chat_formatting": chat.query,
     "op7_sharding": sharding.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": substrings.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
 }
