@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, sharding, substrings
+from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, substrings
 
 QUERIES = {
     "op2_substring_dedup": substrings.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op5_chat_formatting": chat.query,
     "op7_sharding": sharding.query,
     "op8_bpe_encoding": bpe.query,
+    "op9_minhash_near_dedup": near_dedup.query,
 }
 
 ORACLES = {
     "op2_substring_dedup": substrings.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
+    "op9_minhash_near_dedup": near_dedup.ORACLE,
 }
