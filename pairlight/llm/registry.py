@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, substrings
+from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, simhash, substrings
 
 QUERIES = {
     "op2_substring_dedup": substrings.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_chat_formatting": chat.query,
+    "op6_document_fingerprints": simhash.query,
     "op7_sharding": sharding.query,
     "op8_bpe_encoding": bpe.query,
     "op9_minhash_near_dedup": near_dedup.query,
