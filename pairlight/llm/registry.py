@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, simhash, substrings
+from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, simhash, substrings, warc
 
 QUERIES = {
     "op2_substring_dedup": substrings.query,
+    "op3_warc": warc.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op5_chat_formatting": chat.query,
     "op6_document_fingerprints": simhash.query,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_substring_dedup": substrings.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op9_minhash_near_dedup": near_dedup.ORACLE,
