@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, simhash, substrings, warc
+from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_substring_dedup": substrings.query,
     "op3_warc": warc.query,
     "op4_benchmark_decontamination": decontaminate.query,
