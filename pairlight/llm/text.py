@@ -6,8 +6,11 @@ here work on that buffer at once with numpy; nothing loops over characters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.Philox(key=20260101))
 #: One odd 64-bit number for each byte value.
@@ -58,6 +61,21 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``limit`` bytes of text, or one row; keeps a worker's tables small."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    if not len(texts):
+        return
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch.
 
