@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, near_dedup, sharding, simhash, substrings, toxicity, warc
+from pairlight.llm import bpe, chat, decontaminate, html_text, near_dedup, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sharding": sharding.query,
     "op8_bpe_encoding": bpe.query,
     "op9_minhash_near_dedup": near_dedup.query,
+    "op10_html_extraction": html_text.query,
 }
 
 ORACLES = {
