@@ -1,4 +1,435 @@
 """Registered queries and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from pairlight.functions import textops
+from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMILIES, FORMATS, KEYBOARD, KINDS, PROMPT, RESERVED_SEED, TYPO_SEED, Z95
+from pairlight.functions.scoring import render_chat, strict_score
+from pairlight.operators import gate, generate, integrity, paired
+from pairlight.plans import views
+from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
+from pairlight.session import fresh_dir, table
+from pairlight.streaming import runlog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+REPLICATES = 200
+
+
+def register(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _draw(*keys: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(keys) + "), 1, 8) AS BIGINT)"
+
+
+FAMILY_SQL = "(VALUES " + ", ".join(f"('{f}')" for f in FAMILIES) + ") f(family)"
+SPACE = f"space AS (SELECT family, a, b FROM {FAMILY_SQL}, range(21) x(a), range(21) y(b) WHERE a <= b)"
+
+
+def _split_sql(source: str, name: str, seed: int, dev: int, both: int) -> str:
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {_draw(f"'{seed}'", 'family', 'a', 'b')}, a, b) - 1 AS n FROM {source}),
+{name} AS (SELECT family, a, b, CASE WHEN n < {dev} THEN 'dev' ELSE 'eval' END AS split, CASE WHEN n < {dev} THEN n ELSE n - {dev} END AS position FROM {name}_n WHERE n < {both})"""
+
+
+FIRST = f"{SPACE}, {_split_sql('space', 'first', DATA_SEED, 10, 80)}"
+RESERVED = f"{FIRST}, unused AS (SELECT * FROM space ANTI JOIN first USING (family, a, b)), {_split_sql('unused', 'reserved', RESERVED_SEED, 14, 84)}"
+_VALUE = "CASE family WHEN 'addition' THEN a + b WHEN 'subtraction' THEN b - a ELSE a * b END"
+_EXPR = "CASE family WHEN 'addition' THEN a || ' + ' || b WHEN 'subtraction' THEN b || ' - ' || a ELSE a || ' * ' || b END"
+_HEAD, _TAIL = (p.replace("\n", "' || chr(10) || '") for p in PROMPT.split("{expression}"))
+
+
+# Generators.
+
+
+@register(f"WITH {SPACE} SELECT * FROM space")
+def pair_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.pair_space(spark)
+
+
+@register(f"WITH {FIRST} SELECT * FROM first")
+def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.assign_splits(generate.pair_space(spark), DATA_SEED, 10, 70)
+
+
+@register(f"SELECT family, a, b, CASE family WHEN 'addition' THEN a + b WHEN 'subtraction' THEN greatest(a - b, 0) ELSE a * b END AS counted FROM {FAMILY_SQL}, range(21) x(a), range(21) y(b)")
+def counting_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = generate.pair_space(spark)
+    both = space.unionByName(space.where("a < b").select("family", F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.withColumn("counted", generate.counting_oracle(F.col("family"), F.col("a"), F.col("b")))
+
+
+@register(f"WITH {FIRST} SELECT split || '-' || family || '-' || lpad(CAST(position AS VARCHAR), 3, '0') AS question_id, {_EXPR} AS expression, {_VALUE} AS answer, {_VALUE} AS oracle_answer, sha256('{_HEAD}' || {_EXPR} || '{_TAIL}') AS prompt_sha256 FROM first")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.first_questions(spark).select("question_id", "expression", "answer", "oracle_answer", "prompt_sha256")
+
+
+@register(f"WITH {RESERVED} SELECT 'v2-' || split || '-' || family || '-' || lpad(CAST(position AS VARCHAR), 3, '0') AS question_id, {_EXPR} AS expression, {_VALUE} AS answer FROM reserved")
+def reserved_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.reserved_questions(spark).select("question_id", "expression", "answer")
+
+
+@register(f"WITH {RESERVED} SELECT (SELECT count(*) FROM first) AS first_rows, (SELECT count(*) FROM reserved) AS reserved_rows, (SELECT count(*) FROM first JOIN reserved USING (family, a, b)) AS shared")
+def set_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda d: d.select("family", F.array_sort("operands").alias("o"))
+    a, b = key(generate.first_questions(spark)), key(generate.reserved_questions(spark))
+    return a.agg(F.count("*").alias("first_rows")).crossJoin(b.agg(F.count("*").alias("reserved_rows"))).crossJoin(a.intersect(b).agg(F.count("*").alias("shared")))
+
+
+# Text and perturbation, over whole documents.
+
+_WORDS = f"({', '.join(repr(w) for w in EDITABLE)})"
+_RUNS_SQL = "r AS (SELECT doc_id, unnest(x) AS w, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]+') AS x FROM documents))"
+
+
+@register(f"WITH {_RUNS_SQL}, o AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT doc_id, count(*) AS words, CAST(sum(length(w)) AS BIGINT) AS letters, CAST(sum(start) AS BIGINT) AS starts FROM o WHERE regexp_matches(w, '^[A-Za-z]') GROUP BY doc_id")
+def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "documents").select("doc_id", textops.offset_sums(F.coalesce("text", F.lit(""))).alias("s"))
+    return sums.select("doc_id", "s.words", "s.letters", "s.starts").where("words > 0")
+
+
+@register(f"WITH {_RUNS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words, count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words FROM r GROUP BY doc_id")
+def eligible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", textops.runs(F.col("text")).alias("r"))
+    return r.select("doc_id", F.size(F.filter("r", textops.is_word)).cast("long").alias("total_words"), F.size(F.filter("r", lambda w: F.lower(w).isin(*EDITABLE))).cast("long").alias("eligible_words"))
+
+
+def _edits_sql(kind: str, level: float) -> str:
+    key = [f"'{TYPO_SEED}'", "doc_id", f"'{kind}'", "i"]
+    pick = _draw(*key, "'at'")
+    if kind == "transpose":
+        at = f"CASE WHEN len(places) > 0 THEN places[{pick} % len(places) + 1] - 1 ELSE -1 END"
+        places, width, after = "list_filter(range(1, length(w)), lambda j: substr(w, CAST(j AS INT), 1) <> substr(w, CAST(j + 1 AS INT), 1))", 2, "reverse(before)"
+    else:
+        at, places, width = f"{pick} % length(w)", "[1]", 1
+        near = "CASE lower(before) " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in KEYBOARD.items()) + " END"
+        letter = f"substr({near}, CAST({_draw(*key, repr('key'))} % length({near}) + 1 AS INT), 1)"
+        after = "''" if kind == "delete" else f"CASE WHEN before = upper(before) THEN upper({letter}) ELSE {letter} END"
+    return f"""{_RUNS_SQL},
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_draw(*key)}, i) AS rk, count(*) OVER (PARTITION BY doc_id) AS n FROM r WHERE lower(w) IN {_WORDS}),
+p AS (SELECT *, {places} AS places FROM e WHERE rk <= ceil(CAST({level} AS DOUBLE) * n)),
+q AS (SELECT *, {at} AS spot FROM p),
+b AS (SELECT *, substr(w, CAST(spot + 1 AS INT), {width}) AS before FROM q WHERE spot >= 0),
+x AS (SELECT doc_id, i, before, substr(w, 1, CAST(spot AS INT)) || {after} || substr(w, CAST(spot + {width} + 1 AS INT)) AS new FROM b),
+z AS (SELECT doc_id, sha256(string_agg(coalesce(new, w), '' ORDER BY i)) AS altered_sha256, count(new) AS changed_words, CAST(coalesce(sum(length(before)), 0) AS BIGINT) AS touched,
+  count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words FROM r LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)"""
+
+
+def _perturbed(spark: SparkSession, sf_dir: str, kind: str, level: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    return textops.perturb(docs, "doc_id", "text", kind, level, EDITABLE)
+
+
+def _perturb_query(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _perturbed(spark, sf_dir, kind, 0.4).select("doc_id", F.sha2("altered", 256).alias("altered_sha256"), F.size("edits").cast("long").alias("changed_words"))
+
+    query.__name__ = f"perturb_{kind}"
+    register(f"WITH {_edits_sql(kind, 0.4)} SELECT doc_id, altered_sha256, changed_words FROM z")(query)
+
+
+for _kind in KINDS:
+    _perturb_query(_kind)
+
+
+@register(f"WITH {_edits_sql('transpose', 0.2)} SELECT doc_id, changed_words, touched AS touched_original_characters, round(CASE WHEN eligible_words > 0 THEN changed_words / eligible_words ELSE 0 END, 9) AS realized_eligible_word_rate, round(CASE WHEN total_words > 0 THEN changed_words / total_words ELSE 0 END, 9) AS realized_all_word_rate, changed_words = 0 AS unchanged, CASE WHEN changed_words > 0 THEN 'unreviewed_optional_word_edits' ELSE 'unchanged' END AS semantic_review FROM z")
+def edit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _perturbed(spark, sf_dir, "transpose", 0.2).withColumns(textops.measures("text", 0.2))
+    return m.select("doc_id", "changed_words", "touched_original_characters", F.round("realized_eligible_word_rate", 9).alias("realized_eligible_word_rate"), F.round("realized_all_word_rate", 9).alias("realized_all_word_rate"), "unchanged", "semantic_review")
+
+
+@register("SELECT kind, count(*) FILTER (WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS not_nested, CAST(0 AS BIGINT) AS not_spliced FROM documents, (VALUES ('transpose'), ('delete'), ('keyboard')) k(kind) GROUP BY kind")
+def nested_edits_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of the lower level are among those of the higher, and splicing the edits gives the altered text."""
+    parts = []
+    for kind in KINDS:
+        low = _perturbed(spark, sf_dir, kind, 0.2).select("doc_id", "text", F.col("edits").alias("low"))
+        high = textops.perturb(low, "doc_id", "text", kind, 0.4, EDITABLE)
+        parts.append(high.agg(F.lit(kind).alias("kind"), F.count("*").alias("documents"), F.count_if(F.size(F.array_except("low", "edits")) > 0).alias("not_nested"), F.count_if(textops.apply_edits(F.col("text"), F.col("edits")) != F.col("altered")).alias("not_spliced")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("SELECT doc_id || ':' || condition AS case_id, doc_id, condition, n AS condition_no FROM documents, (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(CONDITIONS)) + ") c(condition, n)")
+def case_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.expand_cases(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("case_id", "doc_id", "condition", "condition_no")
+
+
+@register("SELECT conv_id, sha256(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) || '<|im_start|>assistant' || chr(10)) AS rendered_sha256 FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role is not null and text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return turns.select("conv_id", F.sha2(render_chat(F.col("m")), 256).alias("rendered_sha256"))
+
+
+# Scoring.
+
+_STRIP = "regexp_replace(completion, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
+
+
+@register(f"WITH {RESPONSES}, s AS (SELECT *, regexp_full_match({_STRIP}, '[+-]?[0-9]+') AS whole, TRY_CAST({_STRIP} AS BIGINT) AS v FROM responses) SELECT l_orderkey, l_linenumber, CASE WHEN whole THEN v END AS parsed_answer, CASE WHEN truncated THEN 'truncated' WHEN whole THEN 'valid' ELSE 'invalid_format' END AS status, NOT truncated AND whole AND v = answer AS correct FROM s")
+def strict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.responses(spark, sf_dir)
+    return r.select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in strict_score(F.col("completion"), F.col("answer"), F.col("truncated")).items()))
+
+
+_SCORE_COLUMNS = ("candidate_answer", "parsed_answer", "extraction_kind", "extracted", "strict_compliant", "correct", "strict_correct", "diagnostic")
+
+
+@register(f"WITH {SCORED} SELECT l_orderkey, l_linenumber, {', '.join(_SCORE_COLUMNS)} FROM scored")
+def grammar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.scored(spark, sf_dir).select("l_orderkey", "l_linenumber", *_SCORE_COLUMNS)
+
+
+@register(f"WITH {SCORED} SELECT format, diagnostic, count(*) AS n FROM scored GROUP BY ALL")
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.diagnostics(views.scored(spark, sf_dir))
+
+
+_SUMMARY = "SELECT format, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in gate.FLAGS) + " FROM scored GROUP BY format"
+
+
+@register(f"WITH {SCORED} {_SUMMARY}")
+def format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.format_summary(views.scored(spark, sf_dir))
+
+
+_PILOT = "pilot AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY format ORDER BY l_orderkey, l_linenumber, l_suppkey, answer) <= 42)"
+
+
+def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 42 responses of each format: the size the gate is stated for."""
+    w = W.partitionBy("format").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "answer")
+    return views.scored(spark, sf_dir).withColumn("__n", F.row_number().over(w)).where("__n <= 42").drop("__n")
+
+
+@register(f"WITH {SCORED}, {_PILOT}, g AS ({_SUMMARY.replace('FROM scored', 'FROM pilot')}), b AS (SELECT count(*) = 3 AND min(n) = 42 AND max(n) = 42 AS complete, (SELECT format FROM g WHERE correct >= 11 AND extracted >= 15 ORDER BY correct DESC, extracted DESC, list_position({views._sql_list(FORMATS)}, format) LIMIT 1) AS best FROM g) SELECT complete, CASE WHEN complete THEN best END AS selected, CASE WHEN NOT complete THEN 'incomplete' WHEN best IS NOT NULL THEN 'pass' ELSE 'fail' END AS decision FROM b")
+def gate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.select_format(gate.format_summary(_pilot(spark, sf_dir)), extracted=15)
+
+
+@register(f"WITH {SCORED}, {_PILOT}, g AS (SELECT count(*) AS n, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE extracted) AS extracted FROM pilot WHERE format = 'integer') SELECT *, n = 42 AND correct >= 34 AND extracted >= 38 AS passed FROM g")
+def gate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.threshold_gate(_pilot(spark, sf_dir).where("format = 'integer'"))
+
+
+@register(f"WITH {RESERVED}, q AS (SELECT 'v2-dev-' || family || '-' || lpad(CAST(position AS VARCHAR), 3, '0') AS question_id, position, unnest({views._sql_list(FORMATS)}) AS format FROM reserved WHERE split = 'dev') SELECT question_id, format FROM q WHERE format = {views._sql_list(FORMATS)}[position % 3 + 1]")
+def replay_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = generate.with_formats(generate.reserved_questions(spark).where("split = 'dev'"))
+    return gate.replay_subset(cases, "dev").select("question_id", "format")
+
+
+# Paired evaluation.
+
+
+@register(f"WITH {RAW_RUNS} SELECT question_id, condition, count(*) AS n FROM raw_runs GROUP BY ALL HAVING count(*) > 1")
+def duplicate_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.duplicates(views.raw_runs(spark, sf_dir))
+
+
+@register(f"WITH {RUNS} SELECT question_id, count(*) AS records, count(DISTINCT condition) = {len(CONDITIONS)} AS complete FROM runs GROUP BY question_id")
+def complete_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.complete_clusters(views.runs(spark, sf_dir))
+
+
+@register(f"WITH {PAIRED} SELECT condition, sum(CAST(correct AS INT)) AS correct, count(*) AS denominator, round(avg(CAST(correct AS INT)), 9) AS accuracy, round(avg(CAST(correct AS INT) - clean_correct), 9) AS paired_delta FROM pairs GROUP BY condition".replace("sum(CAST(correct AS INT))", "CAST(sum(CAST(correct AS INT)) AS BIGINT)", 1))
+def paired_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(*paired.accuracy())
+
+
+_CELLS = ", ".join(f"count(*) FILTER (WHERE clean_correct = {x} AND CAST(correct AS INT) = {y}) AS {n}" for n, x, y in (("both_correct", 1, 1), ("clean_correct_to_incorrect", 1, 0), ("clean_incorrect_to_correct", 0, 1), ("both_incorrect", 0, 0)))
+
+
+@register(f"WITH {PAIRED} SELECT condition, {_CELLS} FROM pairs GROUP BY condition")
+def paired_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(*paired.contingency())
+
+
+@register(f"WITH {PAIRED}, c AS (SELECT family, condition, {_CELLS} FROM pairs GROUP BY ALL) SELECT family, condition, both_correct + clean_correct_to_incorrect AS clean_correct_denominator, round(CASE WHEN both_correct + clean_correct_to_incorrect > 0 THEN clean_correct_to_incorrect / (both_correct + clean_correct_to_incorrect) END, 9) AS break_rate FROM c")
+def break_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = paired.paired(views.runs(spark, sf_dir)).groupBy("family", "condition").agg(*paired.contingency())
+    n = F.col("both_correct") + F.col("clean_correct_to_incorrect")
+    return cells.select("family", "condition", n.alias("clean_correct_denominator"), F.round(F.when(n > 0, F.col("clean_correct_to_incorrect") / n), 9).alias("break_rate"))
+
+
+@register(f"WITH {PAIRED} SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS denominator FROM pairs GROUP BY GROUPING SETS ((condition), (condition, family))")
+def family_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paired.paired(views.runs(spark, sf_dir))
+    return p.groupingSets([[F.col("condition")], [F.col("condition"), F.col("family")]], "condition", "family").agg(F.sum(paired.ok()).alias("correct"), F.count("*").alias("denominator")).select("condition", "family", "correct", "denominator")
+
+
+@register(f"WITH {PAIRED} SELECT condition, count(*) FILTER (WHERE status = 'invalid_format') AS invalid, count(*) FILTER (WHERE truncated) AS truncated, round(avg(tokens), 9) AS mean_output_tokens, round(sum(seconds), 6) AS total_generation_seconds FROM pairs GROUP BY condition")
+def counters_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paired.paired(views.runs(spark, sf_dir))
+    return p.groupBy("condition").agg(F.count_if(F.col("status") == "invalid_format").alias("invalid"), F.count_if("truncated").alias("truncated"), F.round(F.avg("tokens"), 9).alias("mean_output_tokens"), F.round(F.sum("seconds"), 6).alias("total_generation_seconds"))
+
+
+def _wilson_sql(k: str, n: str) -> tuple[str, str]:
+    z2 = Z95 * Z95
+    middle = f"(({k} / {n}) + {z2!r} / (2 * {n})) / (1 + {z2!r} / {n})"
+    half = f"{Z95!r} * sqrt(({k} / {n}) * (1 - ({k} / {n})) / {n} + {z2!r} / (4 * {n} * {n})) / (1 + {z2!r} / {n})"
+    return f"round(CASE WHEN {n} > 0 THEN greatest(CAST(0 AS DOUBLE), {middle} - {half}) END, 9)", f"round(CASE WHEN {n} > 0 THEN least(CAST(1 AS DOUBLE), {middle} + {half}) END, 9)"
+
+
+_LOW, _HIGH = _wilson_sql("k", "n")
+
+
+@register(f"WITH {PAIRED}, c AS (SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY ALL) SELECT condition, family, {_LOW} AS low, {_HIGH} AS high FROM c")
+def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = paired.paired(views.runs(spark, sf_dir)).groupBy("condition", "family").agg(F.sum(paired.ok()).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+    low, high = paired.wilson(F.col("k"), F.col("n"))
+    return c.select("condition", "family", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+_BOOT = f"""{PAIRED},
+m AS (SELECT family, question_id, {', '.join(f"max(CASE WHEN condition = '{c}' THEN CAST(correct AS INT) END) AS c{i}" for i, c in enumerate(CONDITIONS))}, row_number() OVER (PARTITION BY family ORDER BY question_id) - 1 AS idx FROM pairs GROUP BY family, question_id),
+sizes AS (SELECT family, count(*) AS n FROM m GROUP BY family),
+draws AS (SELECT family, replicate, {_draw(f"'{BOOTSTRAP_SEED}'", 'replicate', 'family', 'i')} % n AS idx FROM (SELECT family, n, replicate, unnest(range(n)) AS i FROM sizes, range({REPLICATES}) r(replicate))),
+boot AS (SELECT replicate, count(*) AS total, {', '.join(f'sum(c{i}) AS s_{i}, sum(c0 * (1 - c{i})) AS b_{i}' for i in range(len(CONDITIONS)))} FROM draws JOIN m USING (family, idx) GROUP BY replicate),
+long AS ({' UNION ALL '.join(f"SELECT '{c}' AS condition, s_{i} AS s, b_{i} AS b, s_0 AS clean, total FROM boot" for i, c in enumerate(CONDITIONS))})"""
+
+
+def _boot_sql(value: str, name: str) -> str:
+    return f"WITH {_BOOT} SELECT condition, round(quantile_cont({value}, 0.025), 9) AS {name}_low, round(quantile_cont({value}, 0.975), 9) AS {name}_high FROM long GROUP BY condition"
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.bootstrap_intervals(paired.bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES))
+
+
+@register(_boot_sql("s / total", "accuracy"))
+def bootstrap_accuracy_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _intervals(spark, sf_dir).select("condition", "accuracy_low", "accuracy_high")
+
+
+@register(_boot_sql("(s - clean) / total", "delta"))
+def bootstrap_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _intervals(spark, sf_dir).select("condition", "delta_low", "delta_high")
+
+
+@register(_boot_sql("CASE WHEN clean > 0 THEN b / clean END", "break"))
+def break_rate_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _intervals(spark, sf_dir).select("condition", "break_low", "break_high")
+
+
+@register(f"WITH {_BOOT.split('sizes AS')[0].rstrip().rstrip(',')}, d AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, c{2 * i + 2} - c{2 * i + 1} AS d FROM m" for i, k in enumerate(KINDS)) + ") SELECT kind, round(avg(d), 9) AS paired_delta, count(*) AS clusters FROM d GROUP BY kind")
+def high_minus_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.high_minus_low(paired.paired(views.runs(spark, sf_dir)))
+
+
+@register()
+def exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.exact_bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES)
+
+
+# Runs against runs, integrity.
+
+
+@register("WITH l AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderkey % 11 = 0 AS gone, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s2, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS p2 FROM orders) SELECT o_orderkey, NOT gone AS found, CASE WHEN NOT gone THEN concat_ws(',', CASE WHEN o_orderpriority IS DISTINCT FROM p2 THEN 'o_orderpriority' END, CASE WHEN o_orderstatus IS DISTINCT FROM s2 THEN 'o_orderstatus' END) END AS differing FROM l")
+def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    again = run.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")))
+    return integrity.compare(run, again, "o_orderkey", exclude=("o_totalprice",)).withColumn("differing", F.array_join(F.array_sort("differing"), ","))
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+def resume_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("ordinal"))
+    return runlog.remainder(expected, expected.where("o_orderkey % 3 = 0"), "o_orderkey").select("o_orderkey")
+
+
+@register("SELECT item_id, sha256('{\"item_id\":' || item_id || ',\"text_sha256\":\"' || sha256(text) || '\"}') AS record_sha256, true AS intact, false AS tampered_intact FROM benchmark WHERE text IS NOT NULL")
+def record_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.sha2("text", 256).alias("text_sha256"))
+    body = rows.withColumn("body", integrity.canonical_json(rows, ["item_id", "text_sha256"])).withColumn("record_sha256", integrity.seal(F.col("body")))
+    line = F.concat(F.lit('{"item_id":'), F.col("item_id").cast("string"), F.lit(',"record_sha256":"'), F.col("record_sha256"), F.lit('","text_sha256":"'), F.col("text_sha256"), F.lit('"}'))
+    return body.withColumn("line", line).select("item_id", "record_sha256", integrity.sealed_line_ok(F.col("line")).alias("intact"), integrity.sealed_line_ok(F.replace("line", F.lit('"text_sha256":"'), F.lit('"text_sha256":"0'))).alias("tampered_intact"))
+
+
+@register("SELECT doc_id, concat_ws(',', CASE WHEN coalesce(n_chars = length(text), false) THEN NULL ELSE 'n_chars' END, CASE WHEN coalesce(lang IN ('en', 'fr'), false) THEN NULL ELSE 'lang' END, CASE WHEN coalesce(length(text) > 100, false) THEN NULL ELSE 'length' END) AS broken FROM documents")
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"n_chars": F.col("n_chars") == F.length("text"), "lang": F.col("lang").isin("en", "fr"), "length": F.length("text") > 100}
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(integrity.violations(rules), ",").alias("broken"))
+
+
+_FILES = "SELECT CAST(doc_id AS VARCHAR) AS name, n_chars AS bytes, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL"
+
+
+@register(f"WITH f AS ({_FILES}) SELECT name, CASE WHEN CAST(name AS BIGINT) % 9 = 0 THEN 'missing' WHEN CAST(name AS BIGINT) % 8 = 0 THEN 'size' WHEN CAST(name AS BIGINT) % 7 = 0 THEN 'hash' END AS problem FROM f")
+def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    n = F.col("name").cast("long")
+    files = manifest.where(n % 9 != 0).withColumn("bytes", F.when(n % 8 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(n % 7 == 0, F.lit("")).otherwise(F.col("sha256")))
+    return integrity.manifest_check(manifest, files)
+
+
+@register("SELECT count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS records, count(*) AS expected, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS missing, CAST(0 AS BIGINT) AS unexpected, count(*) FILTER (WHERE o_orderkey % 4 <> 0 AND NOT o_totalprice > 50000) AS broken, coalesce(max(o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0) + 1 = count(*) FILTER (WHERE o_orderkey % 4 <> 0), true) AS prefix, false AS complete FROM orders")
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").withColumn("ordinal", F.col("o_orderkey"))
+    return integrity.audit(expected.where("o_orderkey % 4 <> 0"), expected, "o_orderkey", {"price": F.col("o_totalprice") > 50000})
+
+
+@register("SELECT event_type, count(*) AS sessions, round(sum(value), 6) AS wall_seconds, max(value) AS peak FROM events GROUP BY event_type")
+def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("sessions"), F.round(F.sum("value"), 6).alias("wall_seconds"), F.max("value").alias("peak"))
+
+
+@register(f"WITH {SCORED} SELECT CASE WHEN truncated THEN 'truncated' WHEN extraction_kind = 'integer' THEN 'valid' ELSE 'invalid_format' END AS original_status, CASE WHEN truncated THEN 'truncated' WHEN NOT extracted THEN 'unsupported' WHEN correct THEN 'right' ELSE 'wrong' END AS category, count(*) AS n FROM scored GROUP BY ALL")
+def diagnosis_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.scored(spark, sf_dir)
+    status = strict_score(F.col("completion"), F.col("answer"), F.col("truncated"))["status"]
+    category = F.when(F.col("truncated"), "truncated").when(~F.col("extracted"), "unsupported").when(F.col("correct"), "right").otherwise("wrong")
+    return s.groupBy(status.alias("original_status"), category.alias("category")).agg(F.count("*").alias("n"))
+
+
+@register(f"WITH f AS ({_FILES}) SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes, max(bytes) AS largest, count(*) <= 1000 AND max(bytes) <= 10485760 AND sum(bytes) <= 33554432 AS within FROM f")
+def artifact_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.tree_limits(table(spark, sf_dir, "documents").where("text is not null").select(F.col("n_chars").alias("bytes")))
+
+
+# Stages without a SQL twin.
+
+
+@register()
+def stub_engine_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases through an engine, then the native scorer."""
+    cases = generate.with_formats(generate.reserved_questions(spark)).select("question_id", "family", "format", "answer", "prompt")
+    out = runlog.generate(cases)
+    return out.withColumns(strict_score(F.col("completion"), F.col("answer"), F.col("truncated"))).drop("prompt")
+
+
+@register()
+def exact_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textops.perturb_exact(generate.first_questions(spark), "question_id", "prompt", "keyboard", 0.4).select("question_id", "altered", "edits")
+
+
+@register()
+def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended by a checkpointed stream, run twice; the second run finds nothing new."""
+    out, mark = fresh_dir(spark, "append"), fresh_dir(spark, "append-state")
+    schema = table(spark, sf_dir, "documents").schema
+    for _ in range(2):
+        source = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
+        runlog.append_available(source, out, mark, lambda d: d.select("doc_id", F.sha2("text", 256).alias("text_sha256")))
+    return spark.read.schema("doc_id long, text_sha256 string").parquet(out)
+
+
+@register()
+def torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line log with an unfinished last line: what is kept and what is cut."""
+    path = fresh_dir(spark, "log")
+    lines = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id")).alias("value"))
+    lines.coalesce(1).write.text(path)
+    spark.createDataFrame([('{"item_id": 9',)], "value string").coalesce(1).write.option("lineSep", "|").mode("append").text(path)
+    return runlog.torn_tails(spark, path).select("complete_lines", "tail_bytes", "tail_sha256")
