@@ -9,7 +9,7 @@ starts in a smaller document.
 
 The references are indexed in blocks:
 
-1. Each window elects an anchor, the least hash of its 5-word runs. Equal windows
+1. Each window elects an anchor, the least hash of its 4-word runs. Equal windows
    elect equal anchors, and neighbours mostly the same one, so there is about
    one anchor for five windows. Only anchors go through the first shuffle.
 2. Anchors that two documents share are sent back to their documents. Only the
@@ -34,23 +34,27 @@ empty result. Extra columns pass through; output columns replace their likes.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.llm.text import Words, grams
+from pairlight.llm.text import Words, grams, slices
 
-WINDOW, RUN = 13, 5
+WINDOW, RUN = 13, 4
 #: An anchor in so many documents is dealt out by whole windows.
-HOT = 64
+HOT = 128
 LAST = 2**63 - 1
 _ANCHORS = "anchor long, did long, weight int"
 _SHARED = "did long, anchor long, hot boolean"
-_STRETCH = "key long, did long, th int, start int, text binary, n int, ref long, ref_at int"
+_STRETCH = "key long, did long, at long, text binary"
+#: A settled factor (windows, reference, place) travels where others carry their words; no stretch begins with a space.
+_ANSWER, _ANSWER_MARK = struct.Struct("<ciqi"), 0x20
 _FACTOR = "did long, th int, start int, n int, ref long, ref_at int"
 
 
@@ -81,7 +85,7 @@ def _runs(*same: np.ndarray) -> np.ndarray:
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], hot_at: int) -> Iterator[pa.RecordBatch]:
     """Distinct (anchor, document) of a batch; weight -1: settled here as shared and hot; else the batch's documents with that anchor."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         words = Words(batch.column("text"))
         anchor, at, _ = _windows(words)
         did = batch.column("did").to_numpy()[words.row[at]]
@@ -139,8 +143,8 @@ def _share(batches: Iterator[pa.RecordBatch], hot_at: int) -> Iterator[pa.Record
 
 
 def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches around shared anchors (text set), and what a batch has settled (text null)."""
-    for batch in batches:
+    """Stretches around shared anchors, and the factors that a batch has settled."""
+    for batch in (part for whole in batches for part in slices(whole)):
         words = Words(batch.column("text"))
         anchor, at, hashes = _windows(words)
         lists = {c: np.unique(batch.column(c).flatten().to_numpy().view(np.uint64)) for c in ("shared", "hot")}
@@ -163,49 +167,57 @@ def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if len(hot):
             h1, h2 = grams(hashes, WINDOW, 1)[at[hot]], grams(hashes, WINDOW, 2)[at[hot]]
             did = did_of[row[hot]]
-            order = np.lexsort((place[hot], did, h2, h1))
+            order = np.lexsort((place[hot], row[hot], did, h2, h1))
             firsts = _runs(h1[order], h2[order])
             sizes = np.diff(np.append(firsts, len(order)))
             owner = np.empty(len(hot), dtype=np.int64)
             owner[order] = np.repeat(order[firsts], sizes)
             least = did[owner]
-            goes = np.flatnonzero(did == least)
-            # Of one document's equal windows, and of rows with one doc_id, each goes on by itself.
+            # Of a row's equal windows the first goes on; the others repeat it, whatever becomes of it.
+            ordered = row[hot][order]
+            twin = _runs(h1[order], h2[order], ordered)
+            head = np.empty(len(hot), dtype=np.int64)
+            head[order] = np.repeat(order[twin], np.diff(np.append(twin, len(order))))
+            first = head == np.arange(len(hot))
+            goes = np.flatnonzero((did == least) & first)
             out.append([h1[goes].view(np.int64), did[goes], th_of[row[hot[goes]]], place[hot[goes]], at[hot[goes]], at[hot[goes]] + WINDOW - 1])
-            known = np.flatnonzero(did > least)
-            ref, ref_at, pos = least[known], place[hot[owner[known]]], place[hot[known]]
-            starts = _runs(row[hot[known]], pos - np.arange(len(known)), ref, ref_at - np.arange(len(known)))
-            n = np.diff(np.append(starts, len(known)))
-            answers = [did[known[starts]], th_of[row[hot[known[starts]]]], pos[starts], n, ref[starts], ref_at[starts]]
+            known, repeats = np.flatnonzero(did > least), np.flatnonzero((did == least) & ~first)
+            ref = np.concatenate([least[known], did[repeats]])
+            ref_at = np.concatenate([place[hot[owner[known]]], place[hot[head[repeats]]]])
+            sign = np.concatenate([np.ones(len(known), dtype=np.int64), -np.ones(len(repeats), dtype=np.int64)])
+            which = np.concatenate([known, repeats])
+            pos = place[hot[which]]
+            starts = _runs(row[hot[which]], pos - np.arange(len(which)), ref, ref_at - np.arange(len(which)), sign)
+            n = np.diff(np.append(starts, len(which))) * sign[starts]
+            answers = [did[which[starts]], th_of[row[hot[which[starts]]]], pos[starts], n, ref[starts], ref_at[starts]]
         key, did, th, start, w0, w1 = (np.concatenate(x) for x in zip(*out, strict=True))
         raw = words.bytes.tobytes()
         for i in range(0, len(key), 20_000):
             s = slice(i, i + 20_000)
-            n = len(key[s])
             texts = [raw[a:b] for a, b in zip(words.start[w0[s]].tolist(), words.end[w1[s]].tolist(), strict=True)]
-            empty = pa.nulls(n, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[s]), pa.array(did[s]), pa.array(th[s].astype(np.int32)), pa.array(start[s].astype(np.int32)), pa.array(texts, pa.binary()), empty, pa.nulls(n, pa.int64()), empty],
-                names=["key", "did", "th", "start", "text", "n", "ref", "ref_at"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(did[s]), pa.array(_joined(th[s], start[s])), pa.array(texts, pa.binary())], names=["key", "did", "at", "text"])
         if len(answers[0]):
-            d, t, p, n, r, ra = answers
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(d), dtype=np.int64)), pa.array(d), pa.array(t.astype(np.int32)), pa.array(p.astype(np.int32)), pa.nulls(len(d), pa.binary()), pa.array(n.astype(np.int32)), pa.array(r), pa.array(ra.astype(np.int32))],
-                names=["key", "did", "th", "start", "text", "n", "ref", "ref_at"],
-            )
+            d, t, p, *answer = answers
+            packed = [_ANSWER.pack(bytes([_ANSWER_MARK]), *x) for x in zip(*(x.tolist() for x in answer), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), dtype=np.int64)), pa.array(d), pa.array(_joined(t, p)), pa.array(packed, pa.binary())], names=["key", "did", "at", "text"])
+
+
+def _joined(th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A row's text hash and a place in it, in one long."""
+    return th.astype(np.int64) << 32 | start.astype(np.int64)
 
 
 def _factor_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, did, start): factor each stretch against the block's index, then index it."""
+    """Rows sorted by (key, did, at): factor each stretch against the block's index, then index it."""
     now = None
     index: dict[bytes, tuple[int, int]] = {}
     whole: dict[bytes, tuple[int, int]] = {}
     for batch in batches:
         out: list[tuple] = []
-        for key, did, th, start, text, n, ref, ref_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if text is None:
-                out.append((did, th, start, n, ref, ref_at))
+        for key, did, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            th, start = at >> 32, at & 0xFFFFFFFF
+            if text[0] == _ANSWER_MARK:
+                out.append((did, th, start, *_ANSWER.unpack(text)[1:]))
                 continue
             if key != now:
                 now, index, whole = key, {}, {}
@@ -243,8 +255,14 @@ def text_windows(text: bytes) -> int:
 def parse(n_words: int, pointers: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """The greedy parse into factors (start, words, reference, place) and the removed words.
 
-    ``pointers``: (start, windows, reference, place); each covers windows + 12 words.
+    ``pointers``: (start, windows, reference, place); each covers windows + 12 words. A negative number of windows
+    says that they repeat the document's own windows at ``place``, and share their fate.
     """
+    repeats = [p for p in pointers if p[1] < 0]
+    if repeats:
+        pointers = [p for p in pointers if p[1] > 0]
+        source = {start + i: (ref, place + i) for start, n, ref, place in pointers for i in range(n)}
+        pointers = pointers + [(start + i, 1, *source[place + i]) for start, n, _, place in repeats for i in range(-n) if place + i in source]
     removed = np.zeros(n_words + 1, dtype=np.int64)
     longest: dict[int, tuple[int, int, int]] = {}
     joined: list[list[int]] = []
@@ -276,17 +294,19 @@ _RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, factor
 def _finish(with_text: bool, with_factors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())]))
-        for whole_batch in batches:
-            for lo in range(0, whole_batch.num_rows, 500):
-                batch = whole_batch.slice(lo, 500)
+        for whole in batches:
+            for batch in slices(whole):
                 names = batch.schema.names
                 texts = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
                 ths = batch.column(names.index("th")).to_pylist()
-                found = batch.column(names.index("pointers")).to_pylist()
+                found = batch.column(names.index("pointers"))
+                flat = found.flatten()
+                fields = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("th", "start", "n", "ref", "ref_at")]
+                ends = np.cumsum(pc.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
                 n_words, n_removed, digests, kept, factors = [], [], [], [], []
-                for text, th, pointers in zip(texts, ths, found, strict=True):
+                for text, th, begin, end in zip(texts, ths, [0, *ends.tolist()], ends.tolist(), strict=False):
                     words = (text or b"").split()
-                    own = [(p["start"], p["n"], p["ref"], p["ref_at"]) for p in pointers or () if p["th"] == th]
+                    own = [p[1:] for p in zip(*(f[begin:end].tolist() for f in fields), strict=True) if p[0] == th] if end > begin else ()
                     if own:
                         parsed, gone = parse(len(words), own)
                         left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
@@ -318,11 +338,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     made = [f for f in T.StructType.fromDDL(_RESULT).fields if (f.name != "kept" or with_text) and (f.name != "factors" or with_factors)]
     kept = [c for c in docs.columns if c not in {f.name for f in made}]
     text = F.col(f"`{text_col}`").cast("string")
+    carried = [(i, c) for i, c in enumerate(kept) if c not in (id_col, text_col)]
     base = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("did"),
         F.hash(text).alias("th"),
         text.alias("text"),
-        *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept) if c != text_col),
+        *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in carried),
     )
     anchors = base.select("did", "text").mapInArrow(lambda batches: _emit_anchors(batches, hot), _ANCHORS)
     shared = (
@@ -335,18 +356,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     placed = base.repartition(parts, "did")
     stretches = placed.join(lists, "did").select("did", "th", "text", "shared", "hot").mapInArrow(_emit_stretches, _STRETCH)
     factors = (
-        stretches.repartition(parts, F.when(F.col("text").isNull(), F.col("did")).otherwise(F.col("key")))
-        .sortWithinPartitions("key", "did", "start")
+        stretches.repartition(parts, F.when(F.substring("text", 1, 1) == F.lit(b" "), F.col("did")).otherwise(F.col("key")))
+        .sortWithinPartitions("key", "did", "at")
         .mapInArrow(_factor_blocks, _FACTOR)
     )
     pointers = factors.groupBy("did").agg(F.collect_list(F.struct("th", "start", "n", "ref", "ref_at")).alias("pointers"))
-    schema = T.StructType([*(T.StructField(f"__c{i}", docs.schema[c].dataType) for i, c in enumerate(kept) if c != text_col), *([T.StructField("__ctext", T.StringType())] if text_col in kept else []), *made])
-    joined = placed.join(pointers, "did", "left")
-    if text_col in kept:
-        joined = joined.withColumn("__ctext", F.col("text"))
-    order = [f"__c{i}" for i, c in enumerate(kept) if c != text_col] + (["__ctext"] if text_col in kept else [])
-    out = joined.select("th", "text", "pointers", *order).mapInArrow(_finish(with_text, with_factors), schema)
-    return out.select(*(F.col("__ctext" if c == text_col else f"__c{i}").alias(c) for i, c in enumerate(kept)), *(f.name for f in made))
+    own = {id_col: F.when(F.col("did") != LAST, F.col("did")).cast(docs.schema[id_col].dataType), text_col: F.col("text")}
+    columns = [(own[c] if c in own else F.col(f"__c{i}")).alias(f"__c{i}") for i, c in enumerate(kept)]
+    types = [T.StringType() if c == text_col else docs.schema[c].dataType for c in kept]
+    schema = T.StructType([*(T.StructField(f"__c{i}", kind) for i, kind in enumerate(types)), *made])
+    out = placed.join(pointers, "did", "left").select("th", "text", "pointers", *columns).mapInArrow(_finish(with_text, with_factors), schema)
+    return out.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)), *(f.name for f in made))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``limit`` bytes of text, or one row; keeps a worker's tables small."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``limit`` bytes of text, or one row; keeps a worker's tables small."""
     texts = batch.column(batch.schema.get_field_index(column))
     if not len(texts):
         return
@@ -71,7 +71,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) ->
     at = 0
     while at < len(sizes):
         done = ends[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        upto = min(max(at + 1, int(np.searchsorted(ends, done + limit, side="right"))), at + rows)
         yield batch.slice(at, upto - at)
         at = upto
 
