@@ -64,11 +64,13 @@ def torn_tails(spark: SparkSession, path: str) -> DataFrame:
 
 def recovered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a line log. Only an unfinished last line may be dropped; a whole line that doesn't parse fails the query."""
-    tails = torn_tails(spark, path).where("tail_bytes > 0").select("file", F.col("tail_hex"))
+    tails = torn_tails(spark, path).where("tail_bytes > 0").select("file", "tail_hex")
     lines = spark.read.text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
-    kept = lines.join(F.broadcast(tails), "file", "left").where(F.col("tail_hex").isNull() | (F.lower(F.hex("value")) != F.col("tail_hex")))
-    parsed = kept.select("value", F.from_json("value", schema).alias("row"), F.get_json_object("value", "$").isNull().alias("bad"))
-    return parsed.where(F.when(F.col("bad"), F.raise_error(F.lit("damaged record")).cast("boolean")).otherwise(True)).select("row.*")
+    both = lines.join(F.broadcast(tails), "file", "left")
+    # One condition, so that no plan judges a line before it is known whether it is the torn one.
+    torn = F.coalesce(F.lower(F.hex("value")) == F.col("tail_hex"), F.lit(False))
+    keep = F.when(torn, F.lit(False)).when(F.get_json_object("value", "$").isNull(), F.raise_error(F.lit("damaged record")).cast("boolean")).otherwise(F.lit(True))
+    return both.where(keep).select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def append_available(source: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
