@@ -28,15 +28,25 @@ class Encoder:
 
     def _pass(self, xp: np.ndarray, mask: np.ndarray, u: np.ndarray, back: bool, tape: list | None) -> np.ndarray:
         steps, n, _ = xp.shape
-        h = self.h
+        h, full = self.h, mask.all(axis=1)
         state, out = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32)
         for t in range(steps - 1, -1, -1) if back else range(steps):
             rec = state @ u
-            gates = sigmoid(xp[t, :, : 2 * h] + rec[:, : 2 * h])
+            gates = xp[t, :, : 2 * h] + rec[:, : 2 * h]
+            gates *= np.float32(0.5)
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
             z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(xp[t, :, 2 * h :] + r * rec[:, 2 * h :])
+            new = r * rec[:, 2 * h :]
+            new += xp[t, :, 2 * h :]
+            np.tanh(new, out=new)
+            following = state - new
+            following *= z
+            following += new
             m = mask[t][:, None]
-            following = state + m * (1 - z) * (new - state)
+            if not full[t]:
+                following = state + m * (following - state)
             if tape is not None:
                 tape.append((t, state, z, r, new, rec[:, 2 * h :], m))
             state = following

@@ -3,7 +3,7 @@
 A word's vector is made by a bidirectional gated recurrent network over its
 characters with attention pooling, joined with an embedding of the word; so words
 never seen in training have vectors as well. A second such network reads windows
-of ``WINDOW`` words that overlap by half and cover the whole text. A document's
+of ``WINDOW`` words that overlap by a quarter and cover the whole text. A document's
 score is that of its highest window, calibrated. Both networks are trained here,
 in numpy, with gradients written out.
 
@@ -13,7 +13,7 @@ their id. Inputs are texts alone. As labels belong to documents, not to words, t
 character network learns from the words that stand in toxic documents alone and show
 strong statistical evidence, by themselves or by a run of characters.
 
-Null or empty text, or one without words: the score of an empty window. Very
+Null or empty text, or one without words: the median score of clean training texts. Very
 long words are read in pieces of ``CHARS`` characters. Null labels aren't trained
 on. Without rows of both labels the score is 0 throughout. Repeated rows: one
 score each. Extra columns pass through ``score``, whose columns replace theirs.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pairlight.llm.recurrent import Adam, Encoder, sigmoid
 from pairlight.llm.text import slices
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 24
 CHARS = 24
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 SAMPLE_WORDS, BATCH, HARD = 20_000, 128, 400
@@ -65,8 +65,10 @@ class Model:
         self.words = Encoder(13, 8, 8, rng)
         self.out = {"w": np.zeros(16, np.float32), "b": np.zeros(1, np.float32)}
         self.scale = np.array([1.0, 0.0])
-        self.known: dict[str, int] = {}
+        #: The logit of an empty window.
+        self.blank = np.float32(-1)
         self.rows = np.zeros((0, 2, 24), np.float32)
+        self.forget()
 
     # Characters.
 
@@ -77,8 +79,8 @@ class Model:
         codes, mask = np.zeros((steps, len(words)), np.int64), np.zeros((steps, len(words)), np.float32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        at = np.concatenate([np.arange(n) for n in lengths]) if len(flat) else np.zeros(0, np.int64)
         who = np.repeat(np.arange(len(words)), lengths)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         codes[at, who] = np.where(flat < 128, flat, 128 + flat * 7919 % 127)
         mask[at, who] = 1
         return codes, mask
@@ -128,49 +130,63 @@ class Model:
         out[:, 9:] = self.embedding[[self.vocabulary.get(w, 0) for w in words]]
         return out
 
-    def codes(self, texts: list[str]) -> list[list[int]]:
-        """Rows of the kept gate inputs, for each word of each text; unknown words are added together."""
-        known, out = self.known, []
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the kept gate inputs, for all words of all texts in order, and how many each text has; unknown words are added together."""
         split = [t.split() for t in texts]
-        fresh: dict[str, list[str]] = {}
-        for tokens in split:
-            for token in set(tokens):
-                if token not in known and token not in fresh:
-                    fresh[token] = pieces(token)
-        if len(known) + len(fresh) > CACHE and known:
-            known.clear()
-            self.rows = np.zeros((0, 2, 24), np.float32)
-            return self.codes(texts)
+        tokens = [t for ts in split for t in ts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        fresh = set(tokens).difference(self.known)
+        if len(self.known) + len(fresh) > CACHE and self.known:
+            self.forget()
+            fresh = set(tokens)
         if fresh:
-            units = list(dict.fromkeys(p for ps in fresh.values() for p in ps))
-            place = {p: i for i, p in enumerate(units)}
-            made = np.stack(self.words.project(self.vectors(units)), axis=1)
-            singles = [(t, place[ps[0]]) for t, ps in fresh.items() if len(ps) == 1]
-            base = len(self.rows)
-            self.rows = np.concatenate([self.rows, made])
-            known.update((t, base + i) for t, i in singles)
-            self.long = {t: [base + place[p] for p in ps] for t, ps in fresh.items() if len(ps) > 1}
-        else:
-            self.long = {}
-        for tokens in split:
-            if self.long and any(t in self.long for t in tokens):
-                out.append([c for t in tokens for c in (self.long[t] if t in self.long else (known[t],))])
-            else:
-                out.append([known[t] for t in tokens])
-        return out
+            cut = {t: pieces(t) for t in fresh}
+            units = list(dict.fromkeys(p for ps in cut.values() for p in ps))
+            base = self.add(np.stack(self.words.project(self.vectors(units)), axis=1))
+            place = {p: base + i for i, p in enumerate(units)}
+            for token, ps in cut.items():
+                if len(ps) == 1:
+                    self.known[token] = place[ps[0]]
+                else:  # a very long word is several units, told apart by a negative code
+                    self.known[token] = -1 - len(self.long)
+                    self.long.append([place[p] for p in ps])
+        flat = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            parts = [self.long[-1 - c] for c in flat[odd].tolist()]
+            length = np.ones(len(flat), np.int64)
+            length[odd] = list(map(len, parts))
+            first = np.concatenate([[0], np.cumsum(length)])
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            counts = first[ends[1:]] - first[ends[:-1]]
+            flat = np.repeat(flat, length)
+            for i, units in zip(odd.tolist(), parts, strict=True):
+                flat[first[i] : first[i + 1]] = units
+        return flat, counts
+
+    def forget(self) -> None:
+        self.known, self.long, self.used = {}, [], 0
+
+    def add(self, made: np.ndarray) -> int:
+        """Keep gate inputs; returns the first one's row."""
+        base = self.used
+        if base + len(made) > len(self.rows):
+            grown = np.zeros((max(base + len(made), 2 * len(self.rows)), 2, 24), np.float32)
+            grown[:base] = self.rows[:base]
+            self.rows = grown
+        self.rows[base : base + len(made)] = made
+        self.used = base + len(made)
+        return base
 
     @staticmethod
-    def windows(codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(steps, n) codes and mask of all overlapping windows, and the text of each window; a text without words has one empty window."""
-        counts = np.fromiter(map(len, codes), np.int64, len(codes))
         each = np.maximum(1, -(-(counts - WINDOW) // STRIDE) + 1)
-        owner = np.repeat(np.arange(len(codes)), each)
+        owner = np.repeat(np.arange(len(counts)), each)
         first = np.concatenate([[0], np.cumsum(counts)])
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-        start = nth * STRIDE
-        at = start[None] + np.arange(WINDOW)[:, None]
+        at = (nth * STRIDE)[None] + np.arange(WINDOW)[:, None]
         mask = (at < counts[owner][None]).astype(np.float32)
-        flat = np.fromiter((c for t in codes for c in t), np.int64, int(first[-1]))
         index = np.where(mask > 0, first[owner][None] + at, 0)
         return (flat[index] if len(flat) else np.zeros_like(index)), mask, owner
 
@@ -178,18 +194,17 @@ class Model:
         out = np.empty(codes.shape[1], np.float32)
         for lo in range(0, codes.shape[1], 4096):
             c, m = codes[:, lo : lo + 4096], mask[:, lo : lo + 4096]
-            if len(self.rows):
+            if self.used:
                 x = self.rows[c]
                 pooled = self.words.pool(x[:, :, 0], x[:, :, 1], m)
             else:
                 pooled = self.words.pool(*(np.zeros((*c.shape, 24), np.float32),) * 2, m)
-            pooled[m[0] == 0] = 0
-            out[lo : lo + 4096] = pooled @ self.out["w"] + self.out["b"]
+            out[lo : lo + 4096] = np.where(m[0] > 0, pooled @ self.out["w"] + self.out["b"], self.blank)
         return out
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The highest window's logit of each text."""
-        codes, mask, owner = self.windows(self.codes(texts))
+        codes, mask, owner = self.windows(*self.codes(texts))
         if not len(owner):
             return np.zeros(0, np.float32)
         return np.maximum.reduceat(self.window_logits(codes, mask), np.flatnonzero(np.diff(owner, prepend=-1)))
@@ -278,8 +293,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
     count = np.bincount(np.concatenate(held), minlength=len(words))
     model.vocabulary = {words[i]: 1 + n for n, i in enumerate(np.flatnonzero(count >= OWN))}
     model.embedding = np.zeros((1 + len(model.vocabulary), 4), np.float32)
-    coded = [[places[w] for w in ws] for ws in split]
-    codes, mask, owner = model.windows(coded)
+    flat = np.fromiter((places[w] for ws in split for w in ws), np.int64)
+    codes, mask, owner = model.windows(flat, np.array([len(ws) for ws in split]))
     best = np.where(mask > 0, scores[codes], -np.inf).max(axis=0)
     signal = np.where(mask > 0, blamed[codes], False).any(axis=0)
     positive = (labels[owner] == 1) & (signal | (best > 3))
@@ -289,6 +304,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
     model.train_windows(words, codes[:, own], mask[:, own], positive[own].astype(np.float32), 12, 0.01, rng)
     # Calibration: a logistic fit of the documents' highest windows, at the sample's own mix of labels.
     x = model.logits(texts).astype(np.float64)
+    model.blank = np.float32(np.median(x[labels == 0]))
     mean, spread = x.mean(), x.std() + 1e-9
     a, b = 1.0, 0.0
     for _ in range(500):
@@ -296,7 +312,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
         a -= float(((p - labels) * (x - mean) / spread).mean())
         b -= float((p - labels).mean())
     model.scale = np.array([max(a, 1e-3) / spread, b - max(a, 1e-3) * mean / spread])
-    model.known, model.rows = {}, np.zeros((0, 2, 24), np.float32)
+    model.forget()
+    model.rows = model.rows[:0]
     return model
 
 
