@@ -9,13 +9,13 @@ connected component is a group; its smallest doc_id stays.
 2. Equal sets are one representative: exact copies never meet in pairs.
 3. Representatives that share a band are candidates; at a similarity of 0.85 two
    miss all bands with a chance of (1 - 0.85**5)**24, below 1e-6.
-4. A bucket is not expanded into pairs. Pivots of each bucket are compared with
-   its members that aren't in the pivot's component yet; what then still lies in
-   a bucket with another component is compared with all of that bucket's other
-   components, so that no link that could join two components is left out.
-5. A candidate pair is estimated first: equal packed bits are counted and
-   corrected for chance. Only pairs five standard errors below the threshold are
-   let go. All others are confirmed on the full sets.
+4. A bucket is not expanded into pairs. Its pivot, the smallest document, is
+   compared with the other members. Such a pair is estimated first: equal packed
+   bits are counted and corrected for chance; only pairs five standard errors
+   below the threshold are let go, all others are confirmed on the full sets.
+5. Documents that then still lie outside their bucket's main component ask all
+   others of the bucket, in blocks of bounded size, again on the full sets, so
+   that no link that could join two components is left out.
 
 Null or empty texts and texts without words have an empty set and are linked to
 nothing. One to four words: the whole sequence is the one shingle. Rows that
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlight.llm.shingles import Sketcher, shingle_sets
-from pairlight.llm.text import mix
+from pairlight.llm.text import mix, slices
 from pairlight.session import stored
 
 SHARE, OF = 85, 100
@@ -45,8 +45,10 @@ BANDS, ROWS, BITS = 24, 5, 4
 LONGS = BANDS * ROWS * BITS // 64 + (BANDS * ROWS * BITS % 64 > 0)
 CHANCE = 2.0**-BITS
 LAST = 2**63 - 1
-#: Pivots in the first and second round.
-PIVOTS = (1, 3)
+#: Pivots in each round.
+PIVOTS = (1,)
+#: Documents of a bucket in one block, and those that ask it.
+BLOCK = 1500
 _SKETCH = "did long, n long, d1 long, d2 long, sig array<long>, bands array<long>"
 
 
@@ -59,8 +61,7 @@ def least_estimate(share: float, n: int = BANDS * ROWS) -> float:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketcher = Sketcher(BANDS, ROWS, BITS)
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1000):
-            batch = whole.slice(lo, 1000)
+        for batch in slices(whole, limit=4 << 20):
             values, first = shingle_sets(batch.column("text"))
             n = np.diff(first)
             own = np.flatnonzero(n)
@@ -84,12 +85,52 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1000):
-            batch = whole.slice(lo, 1000)
+        for batch in slices(whole, limit=4 << 20):
             values, first = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "s"])
 
 
+def _answer(batches: Iterator[pa.RecordBatch], share: int, of: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, answers before askers: an inverted index of the answers' shingles counts what each asker shares with each."""
+    now, held = None, []
+
+    def settle() -> pa.RecordBatch:
+        known, asks = [h for h in held if not h[0]], [h for h in held if h[0]]
+        a, b = [], []
+        if known and asks:
+            reps, labels = np.array([h[1] for h in known]), np.array([h[2] for h in known])
+            sizes = np.array([len(h[3]) for h in known])
+            values, owner = np.concatenate([h[3] for h in known]), np.repeat(np.arange(len(known)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for _, rep, label, own in asks:
+                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                shared = np.bincount(owner[at], minlength=len(known))
+                linked = np.flatnonzero((of * shared >= share * (sizes + len(own) - shared)) & (labels != label))
+                # One link to each component is enough to join it.
+                linked = linked[np.unique(labels[linked], return_index=True)[1]]
+                a += [rep] * len(linked)
+                b += reps[linked].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            keys = zip(*(part.column(c).to_pylist() for c in ("key", "i", "j")), strict=True)
+            sets = part.column("s")
+            values, offsets = sets.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+            for n, (key, odd, rep, label) in enumerate(zip(keys, *(part.column(c).to_pylist() for c in ("odd", "rep", "label")), strict=True)):
+                if key != now:
+                    if held:
+                        yield settle()
+                    now, held = key, []
+                held.append((odd, rep, label, values[offsets[n] : offsets[n + 1]].copy()))
+    if held:
+        yield settle()
+
+
 def estimate(a, b):
     """Collision-corrected similarity of two packed signatures, as a Spark expression: a bit count over the longs."""
 
@@ -146,16 +187,26 @@ class Links:
         pairs = rows.join(mixed, "key").select("rep", "label", F.explode(F.array(*(f"p{j}" for j in range(n)))).alias("p")).where("p.label <> label")
         return pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 
-    def rest(self) -> DataFrame:
-        """All pairs of a bucket's documents outside its most common component with documents of its other components."""
+    def rest(self, block: int = BLOCK) -> DataFrame:
+        """Links between a bucket's documents outside its most common component and those of its other components.
+
+        The outsiders ask, all the bucket's documents answer, in blocks of bounded size; only links leave a block.
+        Buckets of two are settled by their pivot, and equal buckets of several bands are one.
+        """
         rows = self._labelled()
-        parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-        mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-        open_rows = rows.join(mixed, "key").join(self.reps.select("rep", "sig"), "rep")
-        odd = open_rows.where("label <> main").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("sx"))
-        near = estimate(F.col("sx"), F.col("sig")) >= least_estimate(self.share / self.of)
-        pairs = odd.join(open_rows, "key").where((F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("rep"))) & near)
-        return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+        counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"))
+        mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.sum("x").alias("x")).where("parts > 1 and n > 2")
+        once = mixed.groupBy("n", "x").agg(F.min("key").alias("key"), F.first("main").alias("main"), F.first("most").alias("most"))
+        around, asking = F.ceil(F.col("n") / block).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most")) / block)).cast("int")
+        open_rows = rows.join(once.select("key", "main", around.alias("nb"), asking.alias("ob")), "key")
+        own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+        asks = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ob")).cast("int")
+        answers = open_rows.select("key", "rep", "label", F.lit(False).alias("odd"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("j"))
+        askers = open_rows.where("label <> main").select("key", "rep", "label", F.lit(True).alias("odd"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), asks.alias("j"))
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share, of = self.share, self.of
+        blocks = answers.unionByName(askers).join(self.sets, "rep").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "odd")
+        return blocks.select("key", "i", "j", "odd", "rep", "label", "s").mapInArrow(lambda batches: _answer(batches, share, of), "a long, b long")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the estimate's limit and then the threshold, on the full sets."""
@@ -171,8 +222,8 @@ class Links:
         both = F.size(F.array_intersect("sa", "sb"))
         return full.withColumn("both", both).where(self.of * F.col("both") >= self.share * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
-    def join_up(self, pairs: DataFrame) -> None:
-        linked = stored(self.confirm(pairs).distinct(), "links")
+    def join_up(self, found: DataFrame) -> None:
+        linked = stored(found.distinct(), "links")
         label = self.labels
         across = linked.join(label.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
         roots = components(across.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -197,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that share a doc_id but not their sets are one document already: the label is the doc_id.
     seed = 0
     for n in PIVOTS:
-        links.join_up(links.pivots(n, seed))
+        links.join_up(links.confirm(links.pivots(n, seed)))
         seed += n
     links.join_up(links.rest())
     root = reps.join(links.labels, "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("root"))
