@@ -82,15 +82,20 @@ def perturb(df: DataFrame, id_col: str, text_col: str, kind: str, level: float,
     def edit(r: Column, i: Column) -> Column:
         at, before, after = _edited(r, kind, seed, F.col(id_col), kind, i)
         chosen = F.col("__k").isNotNull() & F.lower(r).isin(*editable) & (order(i) <= F.col("__k"))
-        return F.when(chosen & (at >= 0), F.struct(i.alias("run"), at.alias("at"), before.alias("before"), after.alias("after"), r.alias("word")))
+        return F.when(chosen & (at >= 0), F.struct(at.alias("at"), before.alias("before"), after.alias("after")))
 
     out = out.withColumn("__x", F.transform("__r", edit))
     spliced = F.transform("__r", lambda r, i: F.coalesce(F.concat(F.substring(r, F.lit(1), F.get("__x", i)["at"]), F.get("__x", i)["after"], F.substring(r, F.get("__x", i)["at"] + F.length(F.get("__x", i)["before"]) + 1, F.length(r))), r))
-    start = lambda e: F.length(F.array_join(F.slice("__r", F.lit(1), e["run"]), ""))
-    edits = F.transform(
-        F.filter("__x", lambda e: e.isNotNull()),
-        lambda e: F.struct((start(e) + e["at"]).alias("start"), (start(e) + e["at"] + F.length(e["before"])).alias("end"), e["before"].alias("before"), e["after"].alias("after"), start(e).alias("word_start"), (start(e) + F.length(e["word"])).alias("word_end"), e["word"].alias("original_word")),
-    )
+    # One walk over the runs adds up the offsets; only edited words are written down.
+    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{EDIT}>)").alias("edits"))
+
+    def walk(a: Column, z: Column) -> Column:
+        at, x, end = a["at"], z["x"], a["at"] + F.length(z["r"])
+        spot = at + x["at"]
+        one = F.struct(spot.alias("start"), (spot + F.length(x["before"])).alias("end"), x["before"].alias("before"), x["after"].alias("after"), at.alias("word_start"), end.alias("word_end"), z["r"].alias("original_word"))
+        return F.struct(end.alias("at"), F.when(x.isNotNull(), F.concat(a["edits"], F.array(one))).otherwise(a["edits"]).alias("edits"))
+
+    edits = F.aggregate(F.zip_with("__r", "__x", lambda r, x: F.struct(r.alias("r"), x.alias("x"))), none, walk, lambda a: a["edits"])
     return (
         out.withColumn("total_words", F.size(F.filter("__r", is_word)).cast("long"))
         .withColumn("eligible_words", n.cast("long"))
