@@ -204,10 +204,11 @@ class Model:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The highest window's logit of each text."""
-        codes, mask, owner = self.windows(*self.codes(texts))
-        if not len(owner):
-            return np.zeros(0, np.float32)
-        return np.maximum.reduceat(self.window_logits(codes, mask), np.flatnonzero(np.diff(owner, prepend=-1)))
+        out = np.zeros(len(texts), np.float32)
+        for lo in range(0, len(texts), 500):
+            codes, mask, owner = self.windows(*self.codes(texts[lo : lo + 500]))
+            out[lo : lo + 500] = np.maximum.reduceat(self.window_logits(codes, mask), np.flatnonzero(np.diff(owner, prepend=-1)))
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale[0] * self.logits(texts).astype(np.float64) + self.scale[1])))
@@ -325,11 +326,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on a bounded sample of the labelled rows that aren't held out."""
     key = F.col(id_col).cast("string")
     own = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("y")).where((F.crc32(key.cast("binary")) % 5 != 0) & F.col("y").isin(0, 1))
-    text = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text")).where((F.length("text") > 0) & (F.length("text") <= sample_chars))
-    rows = own.join(text, id_col)
-    # Bounded by 3 * sample rows of sample_chars characters, whatever the corpus.
-    parts = [r for y, n in ((1, sample), (0, 2 * sample)) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64(id_col, "text")).limit(n).collect()]
-    return train([r.text for r in parts], np.array([r.y for r in parts])) if parts else None
+    text = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")).where((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    # Rows are chosen by id and hash alone; only the chosen ones' texts travel: 3 * sample rows of sample_chars characters, whatever the corpus.
+    keyed = text.withColumn("th", F.xxhash64("text"))
+    rows = own.join(keyed.select(id_col, "th"), id_col)
+    chosen = [r for y, n in ((1, sample), (0, 2 * sample)) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64(id_col, "th"), id_col, "th").limit(n).collect()]
+    if not chosen:
+        return None
+    named = docs.sparkSession.createDataFrame([(r[id_col], r.th, r.y) for r in chosen], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, th long, y int").distinct()
+    found = keyed.join(F.broadcast(named), [id_col, "th"]).orderBy(F.xxhash64(id_col, "th")).limit(3 * sample).collect()
+    return train([r.text for r in found], np.array([r.y for r in found]))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
