@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pairlight.llm import bpe, decontaminate, near_dedup, substrings, toxicity
 from pairlight.session import stored, table
 
+#: Of 100: the similarity from which documents are linked.
+NEAR_SHARE = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
+    """Of each group of documents linked at a similarity of 0.8 or more, the one with the smallest doc_id stays."""
     own = docs.select(*COLUMNS)
-    marked = near_dedup.near_duplicates(own)
+    marked = near_dedup.near_duplicates(own, share=NEAR_SHARE)
     return marked.where("kept").select(*COLUMNS)
 
 

@@ -1,14 +1,16 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Documents are linked if 100 * |A and B| >= 85 * |A or B| over their sets of
-distinct 5-word shingles (A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``). A
-connected component is a group; its smallest doc_id stays.
+Documents are linked if of * |A and B| >= share * |A or B| (85 of 100 unless
+asked otherwise) over their sets of distinct 5-word shingles (A-Z lower-cased,
+words ``[^\\x20\\x09-\\x0D]+``). A connected component is a group; its smallest
+doc_id stays.
 
-1. A scan makes each document's set, a digest of it, 120 minima in 24 bands of 5
-   and the low 4 bits of each minimum, packed into longs.
+1. A scan makes each document's set, a digest of it, minima in bands of 5 and the
+   low 4 bits of each minimum, packed into longs.
 2. Equal sets are one representative: exact copies never meet in pairs.
-3. Representatives that share a band are candidates; at a similarity of 0.85 two
-   miss all bands with a chance of (1 - 0.85**5)**24, below 1e-6.
+3. Representatives that share a band are candidates. There are as many bands as
+   keep the chance that two at the threshold miss all of them, (1 - share**5)**bands,
+   below 1e-6: 24 at 0.85, 35 at 0.8.
 4. A bucket is not expanded into pairs. Its pivot, the smallest document, is
    compared with the other members. Such a pair is estimated first: equal packed
    bits are counted and corrected for chance; only pairs five standard errors
@@ -28,6 +30,7 @@ replace their likes.
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,9 @@ from pairlight.llm.text import mix, slices
 from pairlight.session import stored
 
 SHARE, OF = 85, 100
-BANDS, ROWS, BITS = 24, 5, 4
-LONGS = BANDS * ROWS * BITS // 64 + (BANDS * ROWS * BITS % 64 > 0)
+ROWS, BITS = 5, 4
+#: Chance at most that two documents at the threshold share no band.
+MISS = 1e-6
 CHANCE = 2.0**-BITS
 LAST = 2**63 - 1
 #: Pivots in each round.
@@ -52,22 +56,31 @@ BLOCK = 1500
 _SKETCH = "did long, n long, d1 long, d2 long, sig array<long>, bands array<long>"
 
 
-def least_estimate(share: float, n: int = BANDS * ROWS) -> float:
+def bands_for(share: float) -> int:
+    """The least number of bands that keeps the chance of a miss at ``share`` below ``MISS``."""
+    return 1 if share >= 1 else math.floor(math.log(MISS) / math.log(1 - share**ROWS)) + 1
+
+
+def longs(bands: int) -> int:
+    return -(-bands * ROWS * BITS // 64)
+
+
+def least_estimate(share: float, n: int) -> float:
     """Five standard errors below ``share``."""
     p = share + (1 - share) * CHANCE
     return share - 5 * (p * (1 - p) / n) ** 0.5 / (1 - CHANCE)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketcher = Sketcher(BANDS, ROWS, BITS)
+def _sketch(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
+    sketcher = Sketcher(n_bands, ROWS, BITS)
     for whole in batches:
         for batch in slices(whole, limit=4 << 20):
             values, first = shingle_sets(batch.column("text"))
             n = np.diff(first)
             own = np.flatnonzero(n)
             d1, d2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
-            sig = np.zeros((len(n), LONGS * 8), dtype=np.uint8)
-            bands = np.zeros((len(n), BANDS), dtype=np.uint64)
+            sig = np.zeros((len(n), longs(n_bands) * 8), dtype=np.uint8)
+            bands = np.zeros((len(n), n_bands), dtype=np.uint64)
             if len(own):
                 starts = first[:-1][own]
                 d1[own] = np.add.reduceat(mix(values), starts)
@@ -131,7 +144,7 @@ def _answer(batches: Iterator[pa.RecordBatch], share: int, of: int) -> Iterator[
         yield settle()
 
 
-def estimate(a, b):
+def estimate(a, b, bands: int):
     """Collision-corrected similarity of two packed signatures, as a Spark expression: a bit count over the longs."""
 
     def unlike(x, y):
@@ -140,8 +153,8 @@ def estimate(a, b):
             d = d.bitwiseOR(F.shiftrightunsigned(d, by))
         return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
-    total = sum((unlike(F.get(a, i), F.get(b, i)) for i in range(1, LONGS)), unlike(F.get(a, 0), F.get(b, 0)))
-    return ((1 - total / F.lit(float(BANDS * ROWS))) - CHANCE) / (1 - CHANCE)
+    total = sum((unlike(F.get(a, i), F.get(b, i)) for i in range(1, longs(bands))), unlike(F.get(a, 0), F.get(b, 0)))
+    return ((1 - total / F.lit(float(bands * ROWS))) - CHANCE) / (1 - CHANCE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,6 +187,7 @@ class Links:
 
     def __init__(self, reps: DataFrame, buckets: DataFrame, sets: DataFrame, share: int, of: int) -> None:
         self.reps, self.buckets, self.sets, self.share, self.of = reps, buckets, sets, share, of
+        self.bands = bands_for(share / of)
         self.labels = buckets.select("rep", F.col("rep").alias("label")).distinct()
 
     def _labelled(self) -> DataFrame:
@@ -214,7 +228,7 @@ class Links:
         near = (
             pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
             .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-            .where(estimate(F.col("sa"), F.col("sb")) >= least_estimate(self.share / self.of))
+            .where(estimate(F.col("sa"), F.col("sb"), self.bands) >= least_estimate(self.share / self.of, self.bands * ROWS))
             .select("a", "b")
         )
         near = stored(near.distinct(), "pairs")
@@ -235,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with n_shingles, component_id and kept."""
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("did"), text.alias("text"))
-    sketch = stored(base.mapInArrow(_sketch, _SKETCH), "sketch")
+    bands = bands_for(share / of)
+    sketch = stored(base.mapInArrow(lambda batches: _sketch(batches, bands), _SKETCH), "sketch")
     reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
     spread = reps.select("rep", F.explode("bands").alias("key"))
     crowded = spread.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
