@@ -13,7 +13,7 @@ from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMI
 from pairlight.functions.scoring import render_chat, strict_score
 from pairlight.operators import gate, generate, integrity, paired
 from pairlight.plans import views
-from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
+from pairlight.plans.views import ALL_LINES, EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
 from pairlight.session import fresh_dir, table
 from pairlight.streaming import runlog
 
@@ -32,6 +32,20 @@ def register(oracle: str | None = None):
     return keep
 
 
+def register_paired(oracle: str):
+    """A query over one record a question and condition and, as NAME_all_lines, over every line."""
+
+    def keep(f):
+        def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir, views.all_lines)
+
+        all_lines.__name__ = f"{f.__name__}_all_lines"
+        register(oracle.replace(RUNS, ALL_LINES))(all_lines)
+        return register(oracle)(f)
+
+    return keep
+
+
 def _draw(*keys: str) -> str:
     return "CAST('0x' || substr(md5(" + " || ':' || ".join(keys) + "), 1, 8) AS BIGINT)"
 
@@ -238,40 +252,40 @@ def duplicate_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.duplicates(views.raw_runs(spark, sf_dir))
 
 
-@register(f"WITH {RUNS} SELECT question_id, count(*) AS records, count(DISTINCT condition) = {len(CONDITIONS)} AS complete FROM runs GROUP BY question_id")
-def complete_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.complete_clusters(views.runs(spark, sf_dir))
+@register_paired(f"WITH {RUNS} SELECT question_id, count(*) AS records, count(DISTINCT condition) = {len(CONDITIONS)} AS complete FROM runs GROUP BY question_id")
+def complete_clusters(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    return paired.complete_clusters(runs(spark, sf_dir))
 
 
-@register(f"WITH {PAIRED} SELECT condition, sum(CAST(correct AS INT)) AS correct, count(*) AS denominator, round(avg(CAST(correct AS INT)), 9) AS accuracy, round(avg(CAST(correct AS INT) - clean_correct), 9) AS paired_delta FROM pairs GROUP BY condition".replace("sum(CAST(correct AS INT))", "CAST(sum(CAST(correct AS INT)) AS BIGINT)", 1))
-def paired_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(*paired.accuracy())
+@register_paired(f"WITH {PAIRED} SELECT condition, sum(CAST(correct AS INT)) AS correct, count(*) AS denominator, round(avg(CAST(correct AS INT)), 9) AS accuracy, round(avg(CAST(correct AS INT) - clean_correct), 9) AS paired_delta FROM pairs GROUP BY condition".replace("sum(CAST(correct AS INT))", "CAST(sum(CAST(correct AS INT)) AS BIGINT)", 1))
+def paired_accuracy(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    return paired.paired(runs(spark, sf_dir)).groupBy("condition").agg(*paired.accuracy())
 
 
 _CELLS = ", ".join(f"count(*) FILTER (WHERE clean_correct = {x} AND CAST(correct AS INT) = {y}) AS {n}" for n, x, y in (("both_correct", 1, 1), ("clean_correct_to_incorrect", 1, 0), ("clean_incorrect_to_correct", 0, 1), ("both_incorrect", 0, 0)))
 
 
-@register(f"WITH {PAIRED} SELECT condition, {_CELLS} FROM pairs GROUP BY condition")
-def paired_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(*paired.contingency())
+@register_paired(f"WITH {PAIRED} SELECT condition, {_CELLS} FROM pairs GROUP BY condition")
+def paired_contingency(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    return paired.paired(runs(spark, sf_dir)).groupBy("condition").agg(*paired.contingency())
 
 
-@register(f"WITH {PAIRED}, c AS (SELECT family, condition, {_CELLS} FROM pairs GROUP BY ALL) SELECT family, condition, both_correct + clean_correct_to_incorrect AS clean_correct_denominator, round(CASE WHEN both_correct + clean_correct_to_incorrect > 0 THEN clean_correct_to_incorrect / (both_correct + clean_correct_to_incorrect) END, 9) AS break_rate FROM c")
-def break_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = paired.paired(views.runs(spark, sf_dir)).groupBy("family", "condition").agg(*paired.contingency())
+@register_paired(f"WITH {PAIRED}, c AS (SELECT family, condition, {_CELLS} FROM pairs GROUP BY ALL) SELECT family, condition, both_correct + clean_correct_to_incorrect AS clean_correct_denominator, round(CASE WHEN both_correct + clean_correct_to_incorrect > 0 THEN clean_correct_to_incorrect / (both_correct + clean_correct_to_incorrect) END, 9) AS break_rate FROM c")
+def break_rate(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    cells = paired.paired(runs(spark, sf_dir)).groupBy("family", "condition").agg(*paired.contingency())
     n = F.col("both_correct") + F.col("clean_correct_to_incorrect")
     return cells.select("family", "condition", n.alias("clean_correct_denominator"), F.round(F.when(n > 0, F.col("clean_correct_to_incorrect") / n), 9).alias("break_rate"))
 
 
-@register(f"WITH {PAIRED} SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS denominator FROM pairs GROUP BY GROUPING SETS ((condition), (condition, family))")
-def family_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paired.paired(views.runs(spark, sf_dir))
+@register_paired(f"WITH {PAIRED} SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS denominator FROM pairs GROUP BY GROUPING SETS ((condition), (condition, family))")
+def family_grouping_sets(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    p = paired.paired(runs(spark, sf_dir))
     return p.groupingSets([[F.col("condition")], [F.col("condition"), F.col("family")]], "condition", "family").agg(F.sum(paired.ok()).alias("correct"), F.count("*").alias("denominator")).select("condition", "family", "correct", "denominator")
 
 
-@register(f"WITH {PAIRED} SELECT condition, count(*) FILTER (WHERE status = 'invalid_format') AS invalid, count(*) FILTER (WHERE truncated) AS truncated, round(avg(tokens), 9) AS mean_output_tokens, round(sum(seconds), 6) AS total_generation_seconds FROM pairs GROUP BY condition")
-def counters_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paired.paired(views.runs(spark, sf_dir))
+@register_paired(f"WITH {PAIRED} SELECT condition, count(*) FILTER (WHERE status = 'invalid_format') AS invalid, count(*) FILTER (WHERE truncated) AS truncated, round(avg(tokens), 9) AS mean_output_tokens, round(sum(seconds), 6) AS total_generation_seconds FROM pairs GROUP BY condition")
+def counters_means(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    p = paired.paired(runs(spark, sf_dir))
     return p.groupBy("condition").agg(F.count_if(F.col("status") == "invalid_format").alias("invalid"), F.count_if("truncated").alias("truncated"), F.round(F.avg("tokens"), 9).alias("mean_output_tokens"), F.round(F.sum("seconds"), 6).alias("total_generation_seconds"))
 
 
@@ -285,9 +299,9 @@ def _wilson_sql(k: str, n: str) -> tuple[str, str]:
 _LOW, _HIGH = _wilson_sql("k", "n")
 
 
-@register(f"WITH {PAIRED}, c AS (SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY ALL) SELECT condition, family, {_LOW} AS low, {_HIGH} AS high FROM c")
-def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = paired.paired(views.runs(spark, sf_dir)).groupBy("condition", "family").agg(F.sum(paired.ok()).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+@register_paired(f"WITH {PAIRED}, c AS (SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY ALL) SELECT condition, family, {_LOW} AS low, {_HIGH} AS high FROM c")
+def wilson_ci(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    c = paired.paired(runs(spark, sf_dir)).groupBy("condition", "family").agg(F.sum(paired.ok()).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
     low, high = paired.wilson(F.col("k"), F.col("n"))
     return c.select("condition", "family", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
@@ -323,14 +337,14 @@ def break_rate_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _intervals(spark, sf_dir).select("condition", "break_low", "break_high")
 
 
-@register(f"WITH {_BOOT.split('sizes AS')[0].rstrip().rstrip(',')}, d AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, c{2 * i + 2} - c{2 * i + 1} AS d FROM m" for i, k in enumerate(KINDS)) + ") SELECT kind, round(avg(d), 9) AS paired_delta, count(*) AS clusters FROM d GROUP BY kind")
-def high_minus_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.high_minus_low(paired.paired(views.runs(spark, sf_dir)))
+@register_paired(f"WITH {_BOOT.split('sizes AS')[0].rstrip().rstrip(',')}, d AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, c{2 * i + 2} - c{2 * i + 1} AS d FROM m" for i, k in enumerate(KINDS)) + ") SELECT kind, round(avg(d), 9) AS paired_delta, count(*) AS clusters FROM d GROUP BY kind")
+def high_minus_low(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
+    return paired.high_minus_low(paired.paired(runs(spark, sf_dir)))
 
 
 @register()
 def exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.exact_bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES)
+    return paired.exact_bootstrap(paired.paired(views.all_lines(spark, sf_dir)), REPLICATES)
 
 
 # Runs against runs, integrity.

@@ -34,11 +34,34 @@ ORDER = ("l_orderkey", "l_suppkey", "l_extendedprice", "tokens", "status", "seco
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record a question and condition."""
+    """One record a question and condition: the first line of each part and number, all others are left out."""
     w = W.partitionBy("question_id", "condition").orderBy(*ORDER)
     return raw_runs(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+#: Ranges of orders within which lines are numbered.
+RANGES = 512
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a record: a part's k-th lines of each number make up its k-th question.
+
+    Lines are numbered within ranges of orders, after the lines of the ranges before, so that no task
+    holds all lines of a part.
+    """
+    raw = raw_runs(spark, sf_dir)
+    low, high = raw.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    at = F.floor((F.col("l_orderkey") - (low or 0)) / ((high or 0) - (low or 0) + 1.0) * RANGES)
+    key = ["question_id", "condition", "part"]
+    lines = raw.withColumn("part", F.coalesce(at, F.lit(-1)))
+    before = F.sum("c").over(W.partitionBy("question_id", "condition").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    counts = lines.groupBy(*key).agg(F.count("*").alias("c")).select(*(F.col(k).alias(f"_{k}") for k in key), F.coalesce(before, F.lit(0)).alias("before"))
+    own = lines.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(*ORDER)))
+    numbered = own.join(counts, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    question = F.concat_ws("-", F.col("question_id").cast("string"), (F.col("before") + F.col("n")).cast("string"))
+    return numbered.withColumn("question_id", question).select(raw.columns)
+
+
 def _sql_list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -49,6 +72,8 @@ RAW_RUNS = f"""raw_runs AS (SELECT l_partkey AS question_id, {_sql_list(FAMILIES
   CAST(l_quantity AS BIGINT) AS tokens, l_tax AS seconds, l_orderkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber BETWEEN 1 AND {len(CONDITIONS)})"""
 RUNS = f"""{RAW_RUNS},
 runs AS (SELECT * FROM raw_runs QUALIFY row_number() OVER (PARTITION BY question_id, condition ORDER BY {', '.join(ORDER)}) = 1)"""
+ALL_LINES = f"""{RAW_RUNS},
+runs AS (SELECT * REPLACE (concat_ws('-', question_id, row_number() OVER (PARTITION BY question_id, condition ORDER BY {', '.join(ORDER)})) AS question_id) FROM raw_runs)"""
 PAIRED = f"""{RUNS},
 pairs AS (SELECT * FROM (SELECT *, max(CASE WHEN condition = 'clean' THEN CAST(correct AS INT) END) OVER (PARTITION BY question_id) AS clean_correct,
   count(*) OVER (PARTITION BY question_id) AS n FROM runs) WHERE n = {len(CONDITIONS)})"""
