@@ -10,27 +10,27 @@ from pairlight.functions.dims import FORMATS
 FLAGS = ("correct", "extracted", "strict_compliant", "strict_correct", "truncated")
 
 
-def format_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("format").agg(F.count("*").alias("n"), *(F.count_if(F.col(k)).alias(k) for k in FLAGS))
+def format_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return rows.groupBy(*by, "format").agg(F.count("*").alias("n"), *(F.count_if(F.col(k)).alias(k) for k in FLAGS))
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("format", "diagnostic").agg(F.count("*").alias("n"))
 
 
-def select_format(summary: DataFrame, n: int = 42, correct: int = 11, extracted: int = 34, formats: tuple[str, ...] = FORMATS) -> DataFrame:
-    """One row: complete, selected, decision. The best passing format by correct, then extracted, then order."""
+def select_format(summary: DataFrame, n: int = 42, correct: int = 11, extracted: int = 34, formats: tuple[str, ...] = FORMATS, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each ``by``: complete, selected, decision. The best passing format by correct, then extracted, then order."""
     order = F.array_position(F.array(*(F.lit(f) for f in formats)), F.col("format"))
     passing = (F.col("correct") >= correct) & (F.col("extracted") >= extracted)
     best = F.max_by(F.when(passing, F.col("format")), F.when(passing, F.struct("correct", "extracted", -order)))
     whole = (F.count("*") == len(formats)) & (F.min("n") == n) & (F.max("n") == n)
-    out = summary.where(F.col("format").isin(*formats)).agg(F.coalesce(whole, F.lit(False)).alias("complete"), best.alias("best"))
+    out = summary.where(F.col("format").isin(*formats)).groupBy(*by).agg(F.coalesce(whole, F.lit(False)).alias("complete"), best.alias("best"))
     selected = F.when(F.col("complete"), F.col("best"))
-    return out.select("complete", selected.alias("selected"), F.when(~F.col("complete"), "incomplete").when(selected.isNotNull(), "pass").otherwise("fail").alias("decision"))
+    return out.select(*by, "complete", selected.alias("selected"), F.when(~F.col("complete"), "incomplete").when(selected.isNotNull(), "pass").otherwise("fail").alias("decision"))
 
 
-def threshold_gate(rows: DataFrame, n: int = 42, correct: int = 34, extracted: int = 38) -> DataFrame:
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"), F.count_if("extracted").alias("extracted"))
+def threshold_gate(rows: DataFrame, n: int = 42, correct: int = 34, extracted: int = 38, by: tuple[str, ...] = ()) -> DataFrame:
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"), F.count_if("extracted").alias("extracted"))
     return counts.withColumn("passed", (F.col("n") == n) & (F.col("correct") >= correct) & (F.col("extracted") >= extracted))
 
 

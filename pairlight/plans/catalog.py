@@ -238,6 +238,25 @@ def gate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.threshold_gate(_pilot(spark, sf_dir).where("format = 'integer'"))
 
 
+# Each supplier's responses as a pilot, whole: none is cut to the gate's size.
+_PILOTS = _SUMMARY.replace("SELECT format", "SELECT l_suppkey AS pilot, format").replace("GROUP BY format", "GROUP BY l_suppkey, format")
+
+
+def _pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.scored(spark, sf_dir).withColumn("pilot", F.col("l_suppkey"))
+
+
+@register(f"WITH {SCORED}, g AS ({_PILOTS}), b AS (SELECT pilot, count(*) = 3 AND min(n) = 42 AND max(n) = 42 AS complete, first(format ORDER BY correct DESC, extracted DESC, list_position({views._sql_list(FORMATS)}, format)) FILTER (WHERE correct >= 11 AND extracted >= 34) AS best FROM g GROUP BY pilot) SELECT pilot, complete, CASE WHEN complete THEN best END AS selected, CASE WHEN NOT complete THEN 'incomplete' WHEN best IS NOT NULL THEN 'pass' ELSE 'fail' END AS decision FROM b")
+def gate_select_pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate at its own 11 correct and 34 extracted of 42."""
+    return gate.select_format(gate.format_summary(_pilots(spark, sf_dir), by=("pilot",)), by=("pilot",))
+
+
+@register(f"WITH {SCORED}, g AS ({_PILOTS}) SELECT pilot, n, correct, extracted, n = 42 AND correct >= 34 AND extracted >= 38 AS passed FROM g WHERE format = 'integer'")
+def gate_threshold_pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.threshold_gate(_pilots(spark, sf_dir).where("format = 'integer'"), by=("pilot",))
+
+
 @register(f"WITH {RESERVED}, q AS (SELECT 'v2-dev-' || family || '-' || lpad(CAST(position AS VARCHAR), 3, '0') AS question_id, position, unnest({views._sql_list(FORMATS)}) AS format FROM reserved WHERE split = 'dev') SELECT question_id, format FROM q WHERE format = {views._sql_list(FORMATS)}[position % 3 + 1]")
 def replay_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = generate.with_formats(generate.reserved_questions(spark).where("split = 'dev'"))
