@@ -19,7 +19,9 @@ from pairlight.streaming import runlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Replicates of the queries that a SQL twin repeats; the others have all that production draws.
 REPLICATES = 200
+ALL_REPLICATES = 10_000
 
 
 def register(oracle: str | None = None):
@@ -363,7 +365,13 @@ def high_minus_low(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFra
 
 @register()
 def exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.exact_bootstrap(paired.paired(views.all_lines(spark, sf_dir)), REPLICATES)
+    return paired.exact_bootstrap(paired.paired(views.all_lines(spark, sf_dir)), ALL_REPLICATES)
+
+
+@register()
+def bootstrap_intervals_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accuracy, delta and break rate intervals over every line, from all replicates."""
+    return paired.bootstrap_intervals(paired.bootstrap(paired.paired(views.all_lines(spark, sf_dir)), ALL_REPLICATES))
 
 
 # Runs against runs, integrity.
