@@ -153,10 +153,10 @@ class Automaton:
         return ranges, items, longest
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of at most ``block_words`` words (one item at least), streamed to the driver a partition at a time."""
     block, n = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("binary").alias("t")).where("k is not null and t is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
     for row in rows.toLocalIterator():
         words = normalised(bytes(row.t))
         if block and n + len(words) > block_words:
@@ -184,6 +184,7 @@ def _scan(automata: list, with_text: bool):
                     ranges += r
                     items |= found
                     longest = max(longest, most)
+                items.discard(None)  # an item without an id hits words, but is not listed
                 hit = np.zeros(len(words) + 1, dtype=np.int64)
                 for begin, end in ranges:
                     hit[begin] += 1
