@@ -1,11 +1,11 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is parsed against all documents with a smaller doc_id: it is
-factored into copies, each a pointer (reference document, place, length). Copies
-of at least ``WINDOW`` words become duplicate spans. Where one factor ends and the
-next begins, the windows that straddle the boundary are looked up on their own,
-so that a word is removed exactly if some window of 13 words over it also
-starts in a smaller document.
+Every document is parsed against all documents with a smaller doc_id: at each
+place the longest factor is taken that a reference holds from the place its
+window points to, and the parse goes on at the factor's boundary. Factors have at
+least ``WINDOW`` words; they are the duplicate spans. The windows that straddle a
+boundary are looked up on their own, so that a word is removed exactly if some
+window of 13 words over it also starts in a smaller document.
 
 The references are indexed in blocks:
 
@@ -15,26 +15,28 @@ The references are indexed in blocks:
 2. Anchors that two documents share are sent back to their documents. Only the
    stretches around them can be copies; about a quarter of a corpus with copies.
 3. Stretches with one anchor meet in one reference block, smallest doc_id first.
-   A stretch is factored against the block's index of windows, word by word as
-   bytes, and then joins the index.
-4. The factors go back to their documents.
-
-An anchor in many documents (``HOT`` or more) would make one huge block. A batch
-that holds that many copies of an anchor settles them on the spot: its documents
-are factored against the batch itself, and only the smallest document of each
-window goes on, under the window's own hash. So no key gets more than HOT rows
-from a batch, whatever the group's size.
+   A stretch is factored against the block's words and then joins the block.
+4. The factors go back to their documents, where those that continue each other
+   are one, and the document's greedy parse decides what is removed.
+
+An anchor in ``HOT`` documents or more would make a huge block. Its windows are
+dealt out by their own hashes instead, 128 bits each, in two levels: first each
+batch of documents settles which of its documents is the smallest to hold a
+window, then those meet. A batch in which ``CROWD`` documents share an anchor
+doesn't send these to the anchor's block either. So a key gets at most CROWD
+rows from each batch of 10,000 documents, and a hot window one, whatever the
+group's size; no task holds a key's rows.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null or empty text: no words, nothing removed.
 Null doc_id: later than all others. Repeated doc_ids: neither row is smaller, each
-is judged by itself. Texts of fewer than 13 words lose nothing. Empty table:
+is judged by itself. Texts of fewer than 13 words lose nothing. A very long text
+is one row and is read in one piece, at some ten times its size. Empty table:
 empty result. Extra columns pass through; output columns replace their likes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,14 +49,16 @@ from pyspark.sql import types as T
 from pairlight.llm.text import Words, grams, slices
 
 WINDOW, RUN = 13, 4
-#: An anchor in so many documents is dealt out by whole windows.
-HOT = 128
+#: An anchor in so many documents is dealt out by whole windows; also if a batch alone has CROWD of them.
+HOT, CROWD = 128, 16
+#: Bytes of text, anchors and hot windows that a worker looks at together.
+SLICE, HELD = 2 << 20, 400_000
 LAST = 2**63 - 1
 _ANCHORS = "anchor long, did long, weight int"
 _SHARED = "did long, anchor long, hot boolean"
-_STRETCH = "key long, did long, at long, text binary"
-#: A settled factor (windows, reference, place) travels where others carry their words; no stretch begins with a space.
-_ANSWER, _ANSWER_MARK = struct.Struct("<ciqi"), 0x20
+#: kind: a stretch around an anchor (key), a hot window (key, key2: its hash), or a settled factor.
+STRETCH, HOT_WINDOW, SETTLED = 0, 1, 2
+_PIECE = "kind int, key long, key2 long, did long, at long, text binary"
 _FACTOR = "did long, th int, start int, n int, ref long, ref_at int"
 
 
@@ -83,123 +87,78 @@ def _runs(*same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch], hot_at: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (anchor, document) of a batch; weight -1: settled here as shared and hot; else the batch's documents with that anchor."""
-    for batch in (part for whole in batches for part in slices(whole)):
-        words = Words(batch.column("text"))
-        anchor, at, _ = _windows(words)
-        did = batch.column("did").to_numpy()[words.row[at]]
-        first = _runs(anchor, did)
-        anchor, did = anchor[first], did[first]
+def _emit_anchors(batches: Iterator[pa.RecordBatch], hot_at: int, crowd: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (anchor, document) of a batch; weight -1: settled here as shared and hot; else the documents it stands for."""
+
+    def settle(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        anchor, did = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((did, anchor))
         anchor, did = anchor[order], did[order]
         first = _runs(anchor, did)
         anchor, did = anchor[first], did[first]
         starts = _runs(anchor)
         sizes = np.diff(np.append(starts, len(anchor)))
-        each = np.repeat(sizes, sizes)
-        weight = np.ones(len(anchor), dtype=np.int32)
-        hot = each >= hot_at
-        weight[hot] = -1
-        speaks = starts[sizes >= hot_at]  # one row of each settled anchor tells the others
-        out = [np.concatenate(x) for x in ((anchor, anchor[speaks]), (did, did[speaks]), (weight, sizes[sizes >= hot_at].astype(np.int32)))]
+        weight = np.where(np.repeat(sizes, sizes) >= crowd, -1, 1).astype(np.int32)
+        crowded = sizes >= crowd
+        speaks = starts[crowded]  # one row of each settled anchor tells the others
+        out = [np.concatenate(x) for x in ((anchor, anchor[speaks]), (did, did[speaks]), (weight, np.maximum(sizes[crowded], hot_at).astype(np.int32)))]
         for i in range(0, len(out[0]), 200_000):
             a, d, w = (x[i : i + 200_000] for x in out)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d), pa.array(w)], names=["anchor", "did", "weight"])
 
+    for whole in batches:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in slices(whole, limit=SLICE):
+            words = Words(batch.column("text"))
+            anchor, at, _ = _windows(words)
+            did = batch.column("did").to_numpy()[words.row[at]]
+            first = _runs(anchor, did)
+            held.append((anchor[first], did[first]))
+            if sum(len(a) for a, _ in held) >= HELD:
+                yield from settle(held)
+                held = []
+        if held:
+            yield from settle(held)
+
 
 def _share(batches: Iterator[pa.RecordBatch], hot_at: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: keep those of anchors that two documents share."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Rows sorted by anchor: keep those of anchors that two documents share. At most ``hot_at`` rows of an anchor are held."""
+    kept = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    told = None  # the anchor at hand, once it is known to be hot
 
-    def settle(anchor: np.ndarray, did: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        done = weight < 0
-        a, d, w = anchor[~done], did[~done], weight[~done]
+    def settle(a: np.ndarray, d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = _runs(a)
-        if len(starts):
-            sizes = np.diff(np.append(starts, len(a)))
-            shared = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
-            total = np.add.reduceat(w.astype(np.int64), starts)
-            shared |= total >= hot_at
-            keep, hot = np.repeat(shared, sizes), np.repeat(total >= hot_at, sizes)
-            # A settled anchor's speaker has its answer already, in a row of its own.
-            a, d, hot = a[keep], d[keep], hot[keep]
-        else:
-            hot = np.zeros(0, dtype=bool)
-        out = [np.concatenate(x) for x in ((d, did[done]), (a, anchor[done]), (hot, np.ones(int(done.sum()), dtype=bool)))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["did", "anchor", "hot"])
+        if not len(starts):
+            return d, a, np.zeros(0, dtype=bool)
+        sizes = np.diff(np.append(starts, len(a)))
+        hot = np.add.reduceat(w, starts) >= hot_at
+        shared = hot | (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
+        keep = np.repeat(shared, sizes)
+        return d[keep], a[keep], np.repeat(hot, sizes)[keep]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(tuple(batch.column(c).to_numpy() for c in ("anchor", "did", "weight")))
-        anchor, did, weight = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
-        if cut:
-            yield settle(anchor[:cut], did[:cut], weight[:cut])
-        held = [(anchor[cut:], did[cut:], weight[cut:])]
-    if held:
-        yield settle(*held[0])
+    def batch_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["did", "anchor", "hot"])
 
-
-def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches around shared anchors, and the factors that a batch has settled."""
-    for batch in (part for whole in batches for part in slices(whole)):
-        words = Words(batch.column("text"))
-        anchor, at, hashes = _windows(words)
-        lists = {c: np.unique(batch.column(c).flatten().to_numpy().view(np.uint64)) for c in ("shared", "hot")}
-        took = np.isin(anchor, lists["shared"])
-        anchor, at = anchor[took], at[took]
-        is_hot = np.isin(anchor, lists["hot"])
-        did_of, th_of = batch.column("did").to_numpy(), batch.column("th").to_numpy()
-        row = words.row[at]
-        place = at - words.first[row]
-        out: list[list[np.ndarray]] = []
-        # Anchors of few documents: a run of windows with one anchor is one stretch.
-        cold = np.flatnonzero(~is_hot)
-        starts = _runs(anchor[cold], at[cold] - np.arange(len(cold)), row[cold])
-        sizes = np.diff(np.append(starts, len(cold)))
-        head = cold[starts]
-        out.append([anchor[head].view(np.int64), did_of[row[head]], th_of[row[head]], place[head], at[head], at[head] + sizes + WINDOW - 2])
-        # Hot ones: each window by itself; equal windows of the batch point to its smallest document's.
-        hot = np.flatnonzero(is_hot)
-        answers = [np.zeros(0, dtype=np.int64)] * 6
-        if len(hot):
-            h1, h2 = grams(hashes, WINDOW, 1)[at[hot]], grams(hashes, WINDOW, 2)[at[hot]]
-            did = did_of[row[hot]]
-            order = np.lexsort((place[hot], row[hot], did, h2, h1))
-            firsts = _runs(h1[order], h2[order])
-            sizes = np.diff(np.append(firsts, len(order)))
-            owner = np.empty(len(hot), dtype=np.int64)
-            owner[order] = np.repeat(order[firsts], sizes)
-            least = did[owner]
-            # Of a row's equal windows the first goes on; the others repeat it, whatever becomes of it.
-            ordered = row[hot][order]
-            twin = _runs(h1[order], h2[order], ordered)
-            head = np.empty(len(hot), dtype=np.int64)
-            head[order] = np.repeat(order[twin], np.diff(np.append(twin, len(order))))
-            first = head == np.arange(len(hot))
-            goes = np.flatnonzero((did == least) & first)
-            out.append([h1[goes].view(np.int64), did[goes], th_of[row[hot[goes]]], place[hot[goes]], at[hot[goes]], at[hot[goes]] + WINDOW - 1])
-            known, repeats = np.flatnonzero(did > least), np.flatnonzero((did == least) & ~first)
-            ref = np.concatenate([least[known], did[repeats]])
-            ref_at = np.concatenate([place[hot[owner[known]]], place[hot[head[repeats]]]])
-            sign = np.concatenate([np.ones(len(known), dtype=np.int64), -np.ones(len(repeats), dtype=np.int64)])
-            which = np.concatenate([known, repeats])
-            pos = place[hot[which]]
-            starts = _runs(row[hot[which]], pos - np.arange(len(which)), ref, ref_at - np.arange(len(which)), sign)
-            n = np.diff(np.append(starts, len(which))) * sign[starts]
-            answers = [did[which[starts]], th_of[row[hot[which[starts]]]], pos[starts], n, ref[starts], ref_at[starts]]
-        key, did, th, start, w0, w1 = (np.concatenate(x) for x in zip(*out, strict=True))
-        raw = words.bytes.tobytes()
-        for i in range(0, len(key), 20_000):
-            s = slice(i, i + 20_000)
-            texts = [raw[a:b] for a, b in zip(words.start[w0[s]].tolist(), words.end[w1[s]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(did[s]), pa.array(_joined(th[s], start[s])), pa.array(texts, pa.binary())], names=["key", "did", "at", "text"])
-        if len(answers[0]):
-            d, t, p, *answer = answers
-            packed = [_ANSWER.pack(bytes([_ANSWER_MARK]), *x) for x in zip(*(x.tolist() for x in answer), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), dtype=np.int64)), pa.array(d), pa.array(_joined(t, p)), pa.array(packed, pa.binary())], names=["key", "did", "at", "text"])
+    for batch in batches:
+        a, d, w = (batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "did", "weight"))
+        done = w < 0
+        parts = [(d[done], a[done], np.ones(int(done.sum()), dtype=bool))]
+        a, d, w = (np.concatenate([k, x[~done]]) for k, x in zip(kept, (a, d, w), strict=True))
+        if told is not None and len(a):
+            n = int(np.searchsorted(a, told, side="right"))
+            parts.append((d[:n], a[:n], np.ones(n, dtype=bool)))
+            a, d, w = a[n:], d[n:], w[n:]
+        if len(a):
+            cut = int(np.searchsorted(a, a[-1]))  # the last anchor may go on in the next batch
+            told = a[-1] if w[cut:].sum() >= hot_at else None
+            end = len(a) if told is not None else cut
+            parts.append(settle(a[:end], d[:end], w[:end]))
+            kept = a[end:], d[end:], w[end:]
+        else:
+            kept = a, d, w
+        yield batch_of(parts)
+    if len(kept[0]):
+        yield batch_of([settle(*kept)])
 
 
 def _joined(th: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -207,85 +166,193 @@ def _joined(th: np.ndarray, start: np.ndarray) -> np.ndarray:
     return th.astype(np.int64) << 32 | start.astype(np.int64)
 
 
-def _factor_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, did, at): factor each stretch against the block's index, then index it."""
-    now = None
-    index: dict[bytes, tuple[int, int]] = {}
-    whole: dict[bytes, tuple[int, int]] = {}
-    for batch in batches:
-        out: list[tuple] = []
-        for key, did, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            th, start = at >> 32, at & 0xFFFFFFFF
-            if text[0] == _ANSWER_MARK:
-                out.append((did, th, start, *_ANSWER.unpack(text)[1:]))
-                continue
-            if key != now:
-                now, index, whole = key, {}, {}
-            seen = whole.get(text)
-            if seen is not None and seen[0] < did:
-                out.append((did, th, start, text_windows(text), seen[0], seen[1]))
+def _pieces(kind: int, key: np.ndarray, key2: np.ndarray, did: np.ndarray, at: np.ndarray, texts: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 20_000):
+        s = slice(i, i + 20_000)
+        n = len(key[s])
+        text = pa.nulls(n, pa.binary()) if texts is None else pa.array(texts[s], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(x[s].astype(np.int64, copy=False)) for x in (key, key2, did, at)), text], names=["kind", "key", "key2", "did", "at", "text"])
+
+
+def _settle_windows(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Hot windows of a batch: only its smallest document's go on, the others point to these."""
+    h1, h2, did, th, place, row = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((place, row, did, h2, h1))
+    firsts = _runs(h1[order], h2[order])
+    owner = np.empty(len(h1), dtype=np.int64)
+    owner[order] = np.repeat(order[firsts], np.diff(np.append(firsts, len(order))))
+    least = did[owner]
+    # Of a row's equal windows the first goes on; the others repeat it, whatever becomes of it.
+    twin = _runs(h1[order], h2[order], row[order])
+    head = np.empty(len(h1), dtype=np.int64)
+    head[order] = np.repeat(order[twin], np.diff(np.append(twin, len(order))))
+    first = head == np.arange(len(h1))
+    goes = np.flatnonzero((did == least) & first)
+    yield from _pieces(HOT_WINDOW, h1[goes].view(np.int64), h2[goes].view(np.int64), did[goes], _joined(th[goes], place[goes]))
+    known, repeats = np.flatnonzero(did > least), np.flatnonzero((did == least) & ~first)
+    which = np.concatenate([known, repeats])
+    ref = np.concatenate([least[known], did[repeats]])
+    ref_at = np.concatenate([place[owner[known]], place[head[repeats]]])
+    sign = np.concatenate([np.ones(len(known), dtype=np.int64), -np.ones(len(repeats), dtype=np.int64)])
+    starts = _runs(row[which], place[which] - np.arange(len(which)), ref, ref_at - np.arange(len(which)), sign)
+    n = np.diff(np.append(starts, len(which))) * sign[starts]
+    own = which[starts]
+    yield from _pieces(SETTLED, n << 32 | ref_at[starts], ref[starts], did[own], _joined(th[own], place[own]))
+
+
+def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches around shared anchors, hot windows, and the factors that a batch has settled."""
+    for whole in batches:
+        held: list[list[np.ndarray]] = []
+        seen = 0
+        for batch in slices(whole, limit=SLICE):
+            words = Words(batch.column("text"))
+            anchor, at, hashes = _windows(words)
+            lists = {c: np.unique(batch.column(c).flatten().to_numpy().view(np.uint64)) for c in ("shared", "hot")}
+            took = np.isin(anchor, lists["shared"])
+            anchor, at = anchor[took], at[took]
+            is_hot = np.isin(anchor, lists["hot"])
+            did_of, th_of = batch.column("did").to_numpy(), batch.column("th").to_numpy()
+            row = words.row[at]
+            place = at - words.first[row]
+            # Anchors of few documents: a run of windows with one anchor is one stretch.
+            cold = np.flatnonzero(~is_hot)
+            starts = _runs(anchor[cold], at[cold] - np.arange(len(cold)), row[cold])
+            sizes = np.diff(np.append(starts, len(cold)))
+            head = cold[starts]
+            raw = words.bytes.tobytes()
+            texts = [raw[a:b] for a, b in zip(words.start[at[head]].tolist(), words.end[at[head] + sizes + WINDOW - 2].tolist(), strict=True)]
+            yield from _pieces(STRETCH, anchor[head].view(np.int64), np.zeros(len(head), dtype=np.int64), did_of[row[head]], _joined(th_of[row[head]], place[head]), texts)
+            hot = np.flatnonzero(is_hot)
+            if len(hot):
+                held.append([grams(hashes, WINDOW, 1)[at[hot]], grams(hashes, WINDOW, 2)[at[hot]], did_of[row[hot]], th_of[row[hot]], place[hot], row[hot] + seen])
+            seen += batch.num_rows
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from _settle_windows(held)
+                held = []
+        if held:
+            yield from _settle_windows(held)
+
+
+class Block:
+    """The stretches around one anchor, smallest document first: what they say, and the first place of each window."""
+
+    __slots__ = ("index", "whole", "held")
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, tuple[int, int]] = {}
+        self.whole: dict[bytes, tuple[int, int, int]] = {}
+        #: (document, place, words) of each stretch that brought a new window.
+        self.held: list[tuple[int, int, list[bytes]]] = []
+
+    def factors(self, did: int, start: int, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(start, windows, reference, place): the stretch's greedy parse against the block, which it then joins."""
+        seen = self.whole.get(text)
+        if seen is not None and seen[0] < did:
+            return [(start, seen[2], seen[0], seen[1])]
+        words = text.split()
+        n = len(words) - WINDOW + 1
+        out, own, at, index, held = [], len(self.held), 0, self.index, self.held
+        while at < n:
+            window = b" ".join(words[at : at + WINDOW])
+            found = index.setdefault(window, (own, at))
+            ref, place = found
+            if ref == own or held[ref][0] >= did:
+                at += 1
                 continue
-            words = text.split()
-            begin = -1  # of the factor that is being extended
-            source = (0, 0)
-            for i in range(len(words) - WINDOW + 1):
-                window = b" ".join(words[i : i + WINDOW])
-                found = index.setdefault(window, (did, start + i))
-                if found[0] < did:
-                    if begin >= 0 and found == (source[0], source[1] + i - begin):
-                        continue
-                    if begin >= 0:
-                        out.append((did, th, start + begin, i - begin, *source))
-                    begin, source = i, found
-                elif begin >= 0:
-                    out.append((did, th, start + begin, i - begin, *source))
-                    begin = -1
-            if begin >= 0:
-                out.append((did, th, start + begin, len(words) - WINDOW + 1 - begin, *source))
-            whole.setdefault(text, (did, start))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["did", "th", "start", "n", "ref", "ref_at"])
-
-
-def text_windows(text: bytes) -> int:
-    return len(text.split()) - WINDOW + 1
+            ref_did, ref_start, ref_words = held[ref]
+            most, length = min(len(words) - at, len(ref_words) - place), WINDOW
+            while length < most and words[at + length] == ref_words[place + length]:
+                length += 1
+            out.append((start + at, length - WINDOW + 1, ref_did, ref_start + place))
+            at += length - WINDOW + 1  # the next window straddles the factor's boundary
+        if n > sum(f[1] for f in out):
+            held.append((did, start, words))
+        self.whole.setdefault(text, (did, start, n))
+        return out
+
+
+def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (kind, key, key2, did, at): the factors of stretches, hot windows and what batches settled."""
+    now, block = None, Block()
+    hot: tuple | None = None  # the window at hand and its smallest document
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        key, key2, did, at = (batch.column(c).to_numpy() for c in ("key", "key2", "did", "at"))
+        parts: list[list[np.ndarray]] = []
+        cold, settled = int(np.searchsorted(kind, HOT_WINDOW)), int(np.searchsorted(kind, SETTLED))
+        for lo in range(0, cold, 2000):
+            s = slice(lo, min(cold, lo + 2000))
+            rows, own = [], []
+            for i, (k, d, a, text) in enumerate(zip(key[s].tolist(), did[s].tolist(), at[s].tolist(), batch.column("text").slice(lo, s.stop - lo).to_pylist(), strict=True)):
+                if k != now:
+                    now, block = k, Block()
+                found = block.factors(d, a & 0xFFFFFFFF, text)
+                rows += found
+                own += [lo + i] * len(found)
+            if rows:
+                own = np.array(own)
+                start, n, ref, place = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
+                parts.append([did[own], at[own] >> 32, start, n, ref, place])
+        if settled > cold:
+            s = slice(cold, settled)
+            a, b, d, p = key[s], key2[s], did[s], at[s]
+            starts = _runs(a, b)
+            sizes = np.diff(np.append(starts, len(a)))
+            least, place = d[starts].copy(), (p[starts] & 0xFFFFFFFF).copy()
+            if hot is not None and hot[:2] == (a[0], b[0]):
+                least[0], place[0] = hot[2:]
+            hot = (a[-1], b[-1], least[-1], place[-1])
+            least, place = np.repeat(least, sizes), np.repeat(place, sizes)
+            more = d > least
+            parts.append([d[more], p[more] >> 32, p[more] & 0xFFFFFFFF, np.ones(int(more.sum()), dtype=np.int64), least[more], place[more]])
+        s = slice(settled, None)
+        parts.append([did[s], at[s] >> 32, at[s] & 0xFFFFFFFF, key[s] >> 32, key2[s], key[s] & 0xFFFFFFFF])
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["did", "th", "start", "n", "ref", "ref_at"])
 
 
 def parse(n_words: int, pointers: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-    """The greedy parse into factors (start, words, reference, place) and the removed words.
+    """The greedy parse into factors (start, words, reference, place), and the words that they cover, which are removed.
 
     ``pointers``: (start, windows, reference, place); each covers windows + 12 words. A negative number of windows
-    says that they repeat the document's own windows at ``place``, and share their fate.
+    says that they repeat the document's own windows at ``place``, and share their fate. A factor that begins in the
+    last words of the one before is listed from where that ends.
     """
     repeats = [p for p in pointers if p[1] < 0]
     if repeats:
         pointers = [p for p in pointers if p[1] > 0]
         source = {start + i: (ref, place + i) for start, n, ref, place in pointers for i in range(n)}
         pointers = pointers + [(start + i, 1, *source[place + i]) for start, n, _, place in repeats for i in range(-n) if place + i in source]
-    removed = np.zeros(n_words + 1, dtype=np.int64)
-    longest: dict[int, tuple[int, int, int]] = {}
-    joined: list[list[int]] = []
+    joined: list[list[int]] = []  # pointers that continue each other
     for start, n, ref, place in sorted(pointers, key=lambda p: (p[2], p[3] - p[0], p[0])):
-        removed[start] += 1
-        removed[start + n + WINDOW - 1] -= 1
         last = joined[-1] if joined else None
         if last and last[2] == ref and last[3] - last[0] == place - start and start <= last[1]:
             last[1] = max(last[1], start + n)
         else:
             joined.append([start, start + n, ref, place])
-    for start, stop, ref, place in joined:
-        if start not in longest or longest[start][0] < stop:
-            longest[start] = (stop, ref, place)
-    factors, at = [], 0
-    for start in sorted(longest):
-        stop, ref, place = longest[start]
-        end = stop + WINDOW - 1
-        if end > at:  # greedy: what an earlier factor covers stays its own
-            skip = max(0, at - start)
-            factors.append((start + skip, end - start - skip, ref, place + skip))
-            at = end
-    return factors, np.cumsum(removed)[:n_words] > 0
+    joined.sort()
+    removed = np.zeros(n_words, dtype=bool)
+    factors: list[tuple[int, int, int, int]] = []
+    at = nth = covered = 0
+    best = (0, 0, 0, 0)  # of the copies that hold the window at hand, the one that goes furthest
+    while True:
+        while nth < len(joined) and joined[nth][0] <= at:
+            if joined[nth][1] > best[1]:
+                best = tuple(joined[nth])
+            nth += 1
+        start, stop, ref, place = best
+        if stop > at:
+            end = stop + WINDOW - 1
+            removed[at:end] = True
+            begin = max(at, covered)
+            factors.append((begin, end - begin, ref, place + begin - start))
+            at, covered = stop, end
+        elif nth < len(joined):
+            at = joined[nth][0]
+        else:
+            return factors, removed
 
 
 _RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:int,words:int,ref_doc_id:long,ref_start:int>>"
@@ -295,7 +362,7 @@ def _finish(with_text: bool, with_factors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())]))
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 names = batch.schema.names
                 texts = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
                 ths = batch.column(names.index("th")).to_pylist()
@@ -345,7 +412,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         text.alias("text"),
         *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in carried),
     )
-    anchors = base.select("did", "text").mapInArrow(lambda batches: _emit_anchors(batches, hot), _ANCHORS)
+    anchors = base.select("did", "text").mapInArrow(lambda batches: _emit_anchors(batches, hot, min(hot, CROWD)), _ANCHORS)
     shared = (
         anchors.repartition(parts, F.when(F.col("weight") < 0, F.col("did")).otherwise(F.col("anchor")))
         .sortWithinPartitions("anchor")
@@ -354,11 +421,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     lists = shared.groupBy("did").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     # One shuffle of the texts serves both joins.
     placed = base.repartition(parts, "did")
-    stretches = placed.join(lists, "did").select("did", "th", "text", "shared", "hot").mapInArrow(_emit_stretches, _STRETCH)
+    stretches = placed.join(lists, "did").select("did", "th", "text", "shared", "hot").mapInArrow(_emit_stretches, _PIECE)
     factors = (
-        stretches.repartition(parts, F.when(F.substring("text", 1, 1) == F.lit(b" "), F.col("did")).otherwise(F.col("key")))
-        .sortWithinPartitions("key", "did", "at")
-        .mapInArrow(_factor_blocks, _FACTOR)
+        stretches.repartition(parts, F.when(F.col("kind") == SETTLED, F.col("did")).otherwise(F.col("key")))
+        .sortWithinPartitions("kind", "key", "key2", "did", "at")
+        .mapInArrow(_factor, _FACTOR)
     )
     pointers = factors.groupBy("did").agg(F.collect_list(F.struct("th", "start", "n", "ref", "ref_at")).alias("pointers"))
     own = {id_col: F.when(F.col("did") != LAST, F.col("did")).cast(docs.schema[id_col].dataType), text_col: F.col("text")}

@@ -420,3 +420,25 @@ def test_html_frames(spark, model):
     rows = {r.page_id: r for r in html_text.extract(df, model=model).collect()}
     assert (rows[1].text, rows[1].n_chars, rows[2].text, rows[2].n_chars) == ("some words of text", 18, "", 0)
     assert html_text.extract(df.limit(0), model=model).count() == 0
+
+
+def test_substrings_long_repeated_and_crowded(spark):
+    r = random.Random(31)
+    lines = [" ".join(words(15, 400 + i, 900)) for i in range(30)]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9))) + f" own{i} " + " ".join(words(9, 700 + i, 900))) for i in range(150)]
+    rows += [(500, " ".join(words(60_000, 41, 30)) + " " + lines[0]), (501, " ".join(words(60_000, 41, 30))), (502, "z" * 300_000 + " " + lines[1])]
+    rows += [rows[3]] * 3 + [(7, lines[2] + " " + lines[2]), (7, lines[2] + " " + lines[2]), (None, lines[3]), (None, lines[3])]
+    for hot in (3, 200):
+        got = [tuple(x) for x in substrings.dedup(spark.createDataFrame(rows, DOCS), hot=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+        assert sorted(got, key=repr) == sorted(brute_substrings(rows), key=repr)
+
+
+def test_the_parse_covers_what_its_pointers_do():
+    r = random.Random(32)
+    for _ in range(300):
+        n = r.randrange(13, 90)
+        pointers = [(s, k, r.randrange(3), s + r.choice((0, 5))) for s in (r.randrange(n - 12) for _ in range(r.randrange(6))) for k in (r.randrange(1, n - 12 - s + 1),)]
+        factors, removed = substrings.parse(n, pointers)
+        want = {w for s, k, _, _ in pointers for w in range(s, s + k + 12)}
+        assert {i for i, x in enumerate(removed) if x} == want == {w for s, k, _, _ in factors for w in range(s, s + k)}
+        assert sum(f[1] for f in factors) == len(want)
