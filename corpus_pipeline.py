@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at a similarity of 0.8 or more, the one with the smallest doc_id stays."""
     own = docs.select(*COLUMNS)
-    marked = near_dedup.near_duplicates(own, share=NEAR_SHARE)
-    return marked.where("kept").select(*COLUMNS)
+    marked = near_dedup.near_duplicates(own, share=NEAR_SHARE, once=True)
+    return marked.where("stays").select(*COLUMNS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

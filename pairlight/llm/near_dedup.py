@@ -22,9 +22,13 @@ doc_id stays.
 Null or empty texts and texts without words have an empty set and are linked to
 nothing. One to four words: the whole sequence is the one shingle. Rows that
 share a doc_id are one document, linked with what any of its rows is linked
-with. Null doc_ids count as one document, later than all others. Empty table:
-empty result. Extra columns pass through ``near_duplicates``; output columns
-replace their likes.
+with; ``n_shingles`` is a row's own. A row without a doc_id is a document by
+itself: it links others like any text, its component_id is null if nothing it
+reaches has an id, and it is kept only then. ``once`` adds ``stays``, true for
+exactly one row of each component, be its rows repeated or without ids. Very
+long texts: a block holds a bounded number of shingles, or one document. Empty
+table: empty result. Extra columns pass through ``near_duplicates`` and change
+no result; output columns replace their likes.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,12 +53,13 @@ ROWS, BITS = 5, 4
 #: Chance at most that two documents at the threshold share no band.
 MISS = 1e-6
 CHANCE = 2.0**-BITS
-LAST = 2**63 - 1
 #: Pivots in each round.
 PIVOTS = (1,)
-#: Documents of a bucket in one block, and those that ask it.
-BLOCK = 1500
-_SKETCH = "did long, n long, d1 long, d2 long, sig array<long>, bands array<long>"
+#: Shingles of a bucket's documents in one block, and of those that ask it.
+BLOCK = 1_000_000
+_SKETCH = "did long, th long, n long, d1 long, d2 long, sig array<long>, bands array<long>"
+#: What tells rows apart: doc_id, whether it is null, and the text's hash.
+_ROW = ["did", "none", "th"]
 
 
 def bands_for(share: float) -> int:
@@ -91,8 +97,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.Reco
                 bands[own] = sketcher.keys(minima)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("did"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(np.ascontiguousarray(sig).view(np.uint64)), lists(bands)],
-                names=["did", "n", "d1", "d2", "sig", "bands"],
+                [batch.column("did"), batch.column("th"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(np.ascontiguousarray(sig).view(np.uint64)), lists(bands)],
+                names=["did", "th", "n", "d1", "d2", "sig", "bands"],
             )
 
 
@@ -100,7 +106,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, limit=4 << 20):
             values, first = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "s"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], share: int, of: int) -> Iterator[pa.RecordBatch]:
@@ -185,10 +191,11 @@ def release(spark: SparkSession) -> None:
 class Links:
     """Components of representatives, grown round by round."""
 
-    def __init__(self, reps: DataFrame, buckets: DataFrame, sets: DataFrame, share: int, of: int) -> None:
+    def __init__(self, reps: DataFrame, buckets: DataFrame, sets: DataFrame, same: DataFrame, share: int, of: int) -> None:
         self.reps, self.buckets, self.sets, self.share, self.of = reps, buckets, sets, share, of
         self.bands = bands_for(share / of)
-        self.labels = buckets.select("rep", F.col("rep").alias("label")).distinct()
+        nodes = buckets.select("rep").unionByName(same.select(F.col("a").alias("rep"))).unionByName(same.select(F.col("b").alias("rep")))
+        self.labels = nodes.distinct().withColumn("label", F.col("rep"))
 
     def _labelled(self) -> DataFrame:
         return self.buckets.join(self.labels, "rep")
@@ -208,10 +215,11 @@ class Links:
         Buckets of two are settled by their pivot, and equal buckets of several bands are one.
         """
         rows = self._labelled()
-        counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"))
-        mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.sum("x").alias("x")).where("parts > 1 and n > 2")
-        once = mixed.groupBy("n", "x").agg(F.min("key").alias("key"), F.first("main").alias("main"), F.first("most").alias("most"))
-        around, asking = F.ceil(F.col("n") / block).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most")) / block)).cast("int")
+        counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"))
+        most = F.struct("c", "label")
+        mixed = counts.groupBy("key").agg(F.max_by("label", most).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("w"), F.max_by("w", most).alias("most"), F.count("*").alias("parts"), F.sum("x").alias("x")).where("parts > 1 and n > 2")
+        once = mixed.groupBy("n", "x").agg(*(F.min(F.struct("key", "main", "w", "most")).getField(c).alias(c) for c in ("key", "main", "w", "most")))
+        around, asking = F.ceil(F.col("w") / block).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("most")) / block)).cast("int")
         open_rows = rows.join(once.select("key", "main", around.alias("nb"), asking.alias("ob")), "key")
         own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
         asks = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ob")).cast("int")
@@ -245,44 +253,64 @@ class Links:
         release(linked.sparkSession)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, of: int = OF) -> DataFrame:
-    """``docs`` with n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, of: int = OF, once: bool = False) -> DataFrame:
+    """``docs`` with n_shingles, component_id and kept; with ``once`` also stays, which picks one row of each component."""
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("did"), text.alias("text"))
+    keyed = lambda d, *more: d.select(F.col(f"`{id_col}`").cast("long").alias("did"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), *more)
+    base = keyed(docs, text.alias("text"))
     bands = bands_for(share / of)
     sketch = stored(base.mapInArrow(lambda batches: _sketch(batches, bands), _SKETCH), "sketch")
-    reps = stored(sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("did").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
-    spread = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = spread.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    least = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th"))
+    full = sketch.where("n > 0").groupBy("d1", "d2", "n").agg(least.alias("m"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # A set goes by its smallest doc_id; one that has none, by its digest.
+    reps = stored(full.select("d1", "d2", "n", F.coalesce("m.did", "d1").alias("rep"), F.col("m.did").alias("least"), F.col("m.th").alias("th"), "sig", "bands"), "reps")
+    spread = reps.select("rep", "n", F.explode("bands").alias("key"))
+    crowded = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     buckets = stored(spread.join(crowded, "key").distinct(), "buckets")
     # Only documents that share a band with another need their sets.
-    wanted = buckets.select(F.col("rep").alias("did")).distinct()
-    sets = stored(base.join(wanted, "did", "left_semi").mapInArrow(_sets, "rep long, s array<long>"), "sets")
+    wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "least", F.col("th").alias("own"))
+    sets = stored(base.join(wanted, F.col("did").eqNullSafe(F.col("least")) & (F.col("th") == F.col("own"))).select("rep", "text").mapInArrow(_sets, "rep long, s array<long>"), "sets")
     release(docs.sparkSession)
-    links = Links(reps, buckets, sets, share, of)
-    # Rows that share a doc_id but not their sets are one document already: the label is the doc_id.
+    # Rows that share a doc_id but not their sets are one document, which joins their components.
+    rows = sketch.select("did", "th", "n", "d1", "d2")
+    several = rows.where("did is not null").groupBy("did").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("did")
+    same = stored(rows.join(several, "did").join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").select(F.col("did").alias("a"), F.coalesce("rep", "did").alias("b")).distinct(), "same")
+    links = Links(reps, buckets, sets, same, share, of)
     seed = 0
     for n in PIVOTS:
-        links.join_up(links.confirm(links.pivots(n, seed)))
+        found = links.confirm(links.pivots(n, seed))
+        links.join_up(found if seed else found.unionByName(same))
         seed += n
     links.join_up(links.rest())
-    root = reps.join(links.labels, "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("root"))
-    # A document with several sets joins their components.
-    by_set = sketch.select("did", "n", "d1", "d2").join(root, ["d1", "d2", "n"], "left").select("did", "n", "d1", "d2", F.coalesce("root", "did").alias("root"))
-    return _attach(docs, by_set, id_col, text_col)
-
-
-def _attach(docs: DataFrame, by_set: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One result for each row; n_shingles is the row's own."""
-    own = F.when(F.col("root") == LAST, F.lit(None)).otherwise(F.col("root"))
-    if set(docs.columns) <= {id_col, text_col}:  # nothing else to carry: the sketch has a row for each
-        out = by_set.select(F.when(F.col("did") != LAST, F.col("did")).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
-    else:
-        made = ("n_shingles", "component_id", "kept")
-        roots = by_set.groupBy("did").agg(F.max("n").alias("n_shingles"), F.min("root").alias("root")).select("did", "n_shingles", own.alias("component_id"))
-        kept = [c for c in docs.columns if c not in made]
-        out = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("did")).join(roots, "did").drop("did")
-    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col(f"`{id_col}`")))
+    return _attach(docs, keyed, rows, reps, links.labels, same, id_col, once)
+
+
+def _attach(docs: DataFrame, keyed, rows: DataFrame, reps: DataFrame, labels: DataFrame, same: DataFrame, id_col: str, once: bool) -> DataFrame:
+    """One result for each row, found by its doc_id and text alone."""
+    in_all = reps.select("d1", "d2", "n", "rep", "least", "th").join(labels, "rep", "left").withColumn("root", F.coalesce("label", "rep"))
+    named = in_all.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "th")).alias("m")).select("root", F.col("m.least").alias("component_id"), F.col("m.th").alias("first"))
+    told = in_all.join(named, "root").select("d1", "d2", "n", "component_id", "first")
+    worded = rows.where("n > 0").join(told, ["d1", "d2", "n"]).select("did", "th", "n", "component_id", "first")
+    # A text without words has no set; it goes with other rows of its doc_id.
+    hubs = same.select(F.col("a").alias("rep")).distinct().join(labels, "rep").join(named, F.col("label") == F.col("root")).select(F.col("rep").alias("did"), "component_id", "first")
+    blank = rows.where("n = 0").join(hubs, "did", "left").select("did", "th", "n", F.coalesce("component_id", "did").alias("component_id"), F.coalesce("first", "th").alias("first"))
+    by_row = worded.unionByName(blank)
+    own = F.coalesce(F.col("did") == F.col("component_id"), F.col("did").isNull() & F.col("component_id").isNull()).alias("kept")
+    made = ["n_shingles", "component_id", "kept"]
+    if not once and len(docs.columns) <= 2:  # nothing to carry: the sketch has a row for each
+        return by_row.select(F.col("did").alias(id_col), F.col("n").alias("n_shingles"), "component_id", own)
+    known = by_row.withColumn("none", F.col("did").isNull()).withColumn("did", F.coalesce("did", F.lit(0))).groupBy(*_ROW).agg(*(F.min(c).alias(f"__{c}") for c in ("n", "component_id", "first")))
+    kept = [c for c in docs.columns if c not in (*made, "stays")]
+    named_rows = keyed(docs, *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept))).withColumn("none", F.col("did").isNull()).withColumn("did", F.coalesce("did", F.lit(0)))
+    both = named_rows.join(known, _ROW).withColumns({"component_id": F.col("__component_id"), "did": F.when(~F.col("none"), F.col("did"))} if not once else {"component_id": F.col("__component_id")})
+    out = [F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)]
+    if not once:
+        return both.select(*out, F.col("__n").alias("n_shingles"), "component_id", own)
+    # The join leaves a row's repeats side by side.
+    nth = F.row_number().over(W.partitionBy(*_ROW).orderBy("th"))
+    own = F.when(F.col("none"), F.col("component_id").isNull()).otherwise(F.col("did") == F.col("component_id"))
+    stays = own & (F.col("th") == F.col("__first")) & ((F.col("nth") == 1) | (F.col("none") & (F.col("__n") == 0)))
+    return both.withColumn("nth", nth).select(*out, F.col("__n").alias("n_shingles"), "component_id", own.alias("kept"), stays.alias("stays"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

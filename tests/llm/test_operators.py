@@ -306,33 +306,33 @@ def test_bpe_frames(spark, library):
 # Near duplicates.
 
 
-def brute_near(rows):
-    sets = {}
+def brute_near(rows, share=85):
+    """Rows without an id are documents by themselves; rows that share one are one document."""
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    n = []
-    for i, t in rows:
+    sets, n, own = {}, [], []
+    for k, (i, t) in enumerate(rows):
         w = (t or "").translate(lower).split()
-        s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        own.append((i is None, k if i is None else i))
         n.append(len(s))
-        sets.setdefault(LAST if i is None else i, []).append(s)
-    ids = sorted(sets)
-    root = {i: i for i in ids}
+        sets.setdefault(own[-1], []).append(s)
+    nodes = sorted(sets)
+    root = {i: i for i in nodes}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b and any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+    for a in nodes:
+        for b in nodes:
+            if a < b and any(x and y and 100 * len(x & y) >= share * len(x | y) for x in sets[a] for y in sets[b]):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     out = []
-    for (i, _), k in zip(rows, n, strict=True):
-        c = find(LAST if i is None else i)
-        c = None if c == LAST else c
-        out.append((i, k, c, i == c))
+    for (i, _), k, node in zip(rows, n, own, strict=True):
+        none, c = find(node)
+        out.append((i, k, None if none else c, none if i is None else (False, i) == (none, c)))
     return out
 
 
@@ -355,6 +355,50 @@ def test_near_duplicates(spark):
     assert sorted(got, key=repr) == sorted(brute_near(rows), key=repr)
 
 
+def same_near(spark, rows, **how):
+    """The result is the brute-force one, whatever columns come along."""
+    columns = ("doc_id", "n_shingles", "component_id", "kept")
+    want = sorted(brute_near(rows, how.get("share", 85)), key=repr)
+    df = spark.createDataFrame(rows, DOCS)
+    for docs in (df, df.withColumn("rep", F.lit("x")).withColumn("kept", F.lit(3))):
+        assert sorted((tuple(x) for x in near_dedup.near_duplicates(docs, **how).select(*columns).collect()), key=repr) == want
+
+
+def test_near_duplicates_repeated_and_missing_ids(spark):
+    x, y = " ".join(words(50, 1, 900)), " ".join(words(50, 2, 900))
+    same_near(spark, [(3, x), (5, x), (5, y), (7, y)])
+    same_near(spark, [(None, x), (None, x), (None, y), (None, None), (None, ""), (8, ""), (8, y), (9, None), (9, None), (4, y + " more"), (6, x), (6, x)])
+    same_near(spark, [(2**62 + 5, x), (-4, x + " tail"), (-4, ""), (None, x), (2, "long " * 20_000 + x), (1, "Long " * 20_000 + x)])
+
+
+def test_near_duplicates_one_row_of_each_component(spark):
+    x, y, z = (" ".join(words(50, k, 900)) for k in (1, 2, 3))
+    rows = [(3, x), (3, x), (5, x), (5, y), (7, y), (None, z), (None, z), (None, z + " a"), (None, ""), (None, None), (8, ""), (8, ""), (9, "q"), (9, "r"), (None, "q")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], DOCS + ", extra int")
+    out = near_dedup.near_duplicates(df, once=True).collect()
+    assert len(out) == len(rows)
+    stays = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in out if r.stays and r.n_shingles)
+    assert [i for i, _ in stays] == [-1, 3, 9] and sum(r.stays for r in out if not r.n_shingles) == 3
+
+
+def test_blocks_of_unlinked_documents_lose_no_link(spark):
+    """Documents of one template share bands, but few of them are linked; the blocks are made small."""
+    r = random.Random(12)
+    base = words(200, 77, 5000)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.choice((2, 6, 9))):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    old = near_dedup.Links.rest
+    try:
+        near_dedup.Links.rest = lambda self: old(self, block=1500)
+        same_near(spark, rows)
+    finally:
+        near_dedup.Links.rest = old
+
+
 def test_near_duplicates_carries_columns(spark):
     df = spark.createDataFrame([(2, "a b c d e f", "x", 1), (1, "A b c d e f", "y", 2), (3, None, "z", 3)], DOCS + ", rep string, kept int")
     rows = {r.doc_id: r for r in near_dedup.near_duplicates(df).collect()}

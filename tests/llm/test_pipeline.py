@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     assert len(gone & truly) > 0.9 * len(truly) and len(gone - truly) < 10
 
     unique = stage["near_dedup"](spark, frame(spark, left), sf)
-    assert {r.doc_id for r in unique.collect()} == {i for i, _, _, k in brute_near(left) if k}
+    assert {r.doc_id for r in unique.collect()} == {i for i, _, _, k in brute_near(left, pipeline.NEAR_SHARE) if k}
 
     left = [(r.doc_id, r.text) for r in unique.collect()]
     trimmed = {r.doc_id: r for r in stage["substring_dedup"](spark, frame(spark, left), sf).collect()}
