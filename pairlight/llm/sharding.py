@@ -3,35 +3,41 @@
 Rows with equal texts form an indivisible group; a group goes to one shard.
 Groups are sorted by size, largest first, and each enters the bin with the
 tightest remaining capacity that still holds it, found in a balanced search
-tree over the remaining capacities. The number of bins is least for a fixed
-capacity (``pack``); ``balance`` looks for the least capacity that needs no more
-than the wanted number of bins, which makes the shards' sizes near equal.
-
-Scale: only a bounded number of units ever reaches the driver. A group larger
-than total / (shards * HEAVY) is a unit of its own: there are at most
-shards * HEAVY such groups. All smaller groups are dealt by their digest to
-LIGHT bundles, each a unit. Both bounds are parameters and don't grow with the
-rows; every group is placed. A group larger than a shard's share can't be split
-and takes a shard by itself, the others then share the rest.
+tree over the remaining capacities. The number of bins is least that way for a
+fixed capacity (``pack``, or ``assign`` with ``capacity``); ``balance`` looks for the
+least capacity that needs no more than the wanted number of bins, which makes the
+shards' sizes near equal.
+
+Every group is packed, at every scale. Groups of one size are alike to the
+packing, so the driver sees a row for each distinct size, not for each group: as
+sizes are distinct whole bytes, there are at most sqrt(2 * total bytes) of them,
+245,000 for 30 GB at worst and some ten thousand in practice. The plan says how
+many groups of a size each bin takes; within a size groups are ranked by digest
+and dealt out by rank. Ranks and slots are numbered in stretches, so that neither
+a common size nor a shard is one task's. Texts that more than a thousandth of
+all rows share, a thousand at most, are broadcast; so no task holds a hot text's
+rows. A group larger than a shard's share can't be split and takes a shard by
+itself, the others then share the rest.
 
 Null text: size 8, CRC 0, one group, apart from empty texts. Repeated rows,
-doc_ids included, each get their slot. Empty table: empty result. Extra columns
-are carried along where ``carry`` names them, unless they bear an output's name.
+doc_ids included, each get their slot. Very long texts: one row each, of which
+only size and digest travel. Empty table: empty result. Extra columns are
+carried along where ``carry`` names them, unless they bear an output's name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlight.session import stored
+
 SHARDS = 24
-#: Groups above 1 / HEAVY of a shard's share are packed one by one.
-HEAVY = 200
-#: Bundles of all smaller groups.
-LIGHT = 8192
-#: Stretches of a shard whose slots are numbered apart.
-STRETCHES = 32
+#: A text that more than one in so many rows share is hot.
+HOT = 1000
+#: Stretches of a shard whose slots are numbered apart, and groups of a size that are ranked together.
+STRETCHES, RANKED = 32, 100_000
 
 
 class Remaining:
@@ -87,54 +93,71 @@ class Remaining:
         return best
 
 
-def pack(units: list[tuple[int, str]], capacity: int) -> tuple[dict[str, int], int]:
-    """Best-fit-decreasing: unit -> bin, and the number of bins. A unit over the capacity opens a bin of its own."""
-    bins, free, placed = 0, Remaining(), {}
-    for size, key in sorted(units, key=lambda u: (-u[0], u[1])):
-        found = free.take(size)
-        if found is None:
-            left, at = capacity - size, bins
-            bins += 1
-        else:
-            left, at = found[0] - size, found[1]
-        placed[key] = at
-        if left > 0:
-            free.add(left, at)
-    return placed, bins
-
-
-def balance(units: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """unit -> shard, by the least capacity at which best-fit-decreasing needs at most ``shards`` bins.
+def pack(sizes: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Best-fit-decreasing of (size, how many groups): runs (size, first, end, bin) of groups of a size, and the number of bins.
 
-    Units over an even share of what is left first take shards of their own.
+    The bin that a group enters stays the tightest for the next one of its size as long as it holds it, so a run is
+    one step. A group over the capacity opens a bin of its own.
     """
-    rest, placed, first = sorted(units, key=lambda u: (-u[0], u[1])), {}, 0
-    total = sum(u[0] for u in rest)
-    while rest and shards - first > 1 and rest[0][0] * (shards - first) > total:
-        size, key = rest.pop(0)
-        placed[key] = first
+    bins, free, runs = 0, Remaining(), []
+    for size, many in sorted(sizes, reverse=True):
+        at = 0
+        while at < many:
+            found = free.take(size)
+            if found is None:
+                found = capacity, bins
+                bins += 1
+            left, where = found
+            n = min(many - at, max(1, left // size))
+            runs.append((size, at, at + n, where))
+            at += n
+            if left > n * size:
+                free.add(left - n * size, where)
+    return runs, bins
+
+
+def balance(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Runs (size, first, end, shard), by the least capacity at which best-fit-decreasing needs at most ``shards`` bins.
+
+    Groups over an even share of what is left first take shards of their own.
+    """
+    rest, own = sorted(sizes), []
+    total = sum(size * many for size, many in rest)
+    while rest and shards - len(own) > 1 and rest[-1][0] * (shards - len(own)) > total:
+        size, many = rest.pop()
+        own.append((size, sum(x[0] == size for x in own), len(own)))
         total -= size
-        first += 1
-    wanted = shards - first
-    low, high = -(-total // wanted), max(2 * -(-total // wanted), rest[0][0] if rest else 1)
+        if many > 1:
+            rest.append((size, many - 1))
+    first, wanted = len(own), shards - len(own)
+    low = -(-total // wanted)
+    high = max(2 * low, rest[-1][0] if rest else 1)
     found, bins = pack(rest, high)
     while bins > wanted:
         high *= 2
         found, bins = pack(rest, high)
-    while low < high:
+    while low < high and high - low > total // (wanted * 100_000):
         mid = (low + high) // 2
         trial, bins = pack(rest, mid)
         if bins <= wanted:
             found, high = trial, mid
         else:
             low = mid + 1
-        if high - low <= max(1, total // (wanted * 100_000)):
-            break
-    return placed | {key: first + at for key, at in found.items()}
+    before = {size: sum(x[0] == size for x in own) for size, _, _ in own}
+    return [(size, nth, nth + 1, shard) for size, nth, shard in own] + [(size, a + before.get(size, 0), b + before.get(size, 0), first + at) for size, a, b, at in found]
+
+
+def _numbered(rows: DataFrame, within: str, stretch: Column, order: list[str], name: str) -> DataFrame:
+    """``rows`` with a gapless number from 0 within ``within``: counted in stretches, each behind the rows of those before it."""
+    cut = rows.withColumn("__stretch", stretch.cast("int"))
+    counts = cut.groupBy(within, "__stretch").count()
+    ahead = counts.select(within, "__stretch", (F.sum("count").over(W.partitionBy(within).orderBy("__stretch")) - F.col("count")).alias("__ahead"))
+    at = F.row_number().over(W.partitionBy(within, "__stretch").orderBy(*order)) - 1
+    return cut.withColumn("__at", at).join(ahead, [within, "__stretch"]).withColumn(name, (F.col("__ahead") + F.col("__at")).cast("long")).drop("__stretch", "__at", "__ahead")
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, heavy: int = HEAVY, light: int = LIGHT, stretches: int = STRETCHES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``."""
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, capacity: int | None = None, hot: int = HOT, stretches: int = STRETCHES, ranked: int = RANKED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``; with ``capacity`` as few shards of so many bytes as it takes."""
     spark: SparkSession = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
     raw = F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
@@ -144,35 +167,28 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.when(text.isNull(), F.lit("null")).otherwise(F.sha2(raw, 256)).alias("g"),
-    )
-    # Sums of groups: partial sums leave the scan, so that a hot group is a row a task.
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    bundle = F.concat(F.lit("~"), F.pmod(F.xxhash64("g"), F.lit(light)).cast("string"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    least = max(1, total // (shards * heavy))
-    unit = F.when(F.col("bytes") > least, F.col("g")).otherwise(bundle)
-    # At most shards * heavy + light rows, whatever the number of documents.
-    units = [(int(r.bytes), r.u) for r in groups.groupBy(unit.alias("u")).agg(F.sum("bytes").alias("bytes")).toLocalIterator()]
-    placed = balance(units, shards) if units else {}
-    plan = F.broadcast(spark.createDataFrame(list(placed.items()), "u string, shard int"))
-    big = F.broadcast(spark.createDataFrame([(k,) for _, k in units if not k.startswith("~")], "g string").withColumn("own", F.lit(True)))
-    dealt = (
-        rows.join(big, "g", "left")
-        .withColumn("u", F.when(F.col("own"), F.col("g")).otherwise(bundle))
-        .join(plan, "u")
-        .withColumn("stretch", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(stretches)).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "stretch", *carry)
-    )
-    # Slots: numbered within stretches of a shard, behind the rows of the stretches before it (shards * stretches counts).
-    counts = dealt.groupBy("shard", "stretch").count()
-    ahead = counts.select("shard", "stretch", (F.sum("count").over(W.partitionBy("shard").orderBy("stretch")) - F.col("count")).alias("ahead"))
-    place = F.row_number().over(W.partitionBy("shard", "stretch").orderBy("doc_id", "text_crc32", "size")) - 1
-    return (
-        dealt.withColumn("at", place)
-        .join(F.broadcast(ahead), ["shard", "stretch"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry)
+        F.when(text.isNull(), F.lit(b"null")).otherwise(F.unhex(F.sha2(raw, 256))).alias("g"),
     )
+    rows = stored(rows, "sharding-rows")  # texts are read and digested once
+    # Partial sums leave the scan, so that a hot group is a row a task.
+    groups = stored(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), "sharding-groups")
+    sizes = [(int(r["bytes"]), int(r["count"])) for r in groups.groupBy("bytes").count().toLocalIterator()]
+    plan = ([] if not sizes else balance(sizes, shards)) if capacity is None else pack(sizes, capacity)[0]
+    runs = spark.createDataFrame(plan, "bytes long, first long, end long, shard int")
+    many = dict(sizes)
+    parted = {size for size, first, _, _ in plan if first}
+    split = spark.createDataFrame([(size, -(-many[size] // ranked)) for size in parted], "bytes long, pieces int")
+    # Sizes that one bin takes whole need no ranks.
+    whole = groups.join(F.broadcast(runs.join(F.broadcast(split), "bytes", "left_anti")), "bytes").select("g", "shard", "copies")
+    piece = F.pmod(F.xxhash64("g", F.lit(1)), F.col("pieces"))
+    by_rank = _numbered(groups.join(F.broadcast(split), "bytes"), "bytes", piece, ["g"], "nth").join(F.broadcast(runs), "bytes").where("nth >= first and nth < end").select("g", "shard", "copies")
+    placed = stored(whole.unionByName(by_rank), "sharding-placed")
+    total = rows.count()
+    known = F.broadcast(placed.where(F.col("copies") * hot > total).select("g", "shard"))  # fewer than ``hot`` rows
+    others = rows.join(known.select("g"), "g", "left_anti").join(placed.where(F.col("copies") * hot <= total).select("g", "shard"), "g")
+    dealt = others.unionByName(rows.join(known, "g").select(others.columns)).drop("g")
+    slotted = _numbered(dealt, "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(stretches)), ["doc_id", "text_crc32", "size"], "slot")
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *carry)
 
 
 def write_shards(docs: DataFrame, path: str, text_col: str = "text", rows_per_file: int = 100_000, **how) -> None:

@@ -237,25 +237,51 @@ def test_block_tables_find_all(spark):
 # Sharding.
 
 
+def best_fit(units, capacity):
+    """One unit after the other, the plain way: (size, bin) of each, and the number of bins."""
+    free, placed = [], []
+    for size in sorted(units, reverse=True):
+        fits = [b for b in range(len(free)) if free[b] >= size]
+        b = min(fits, key=lambda x: (free[x], x)) if fits else len(free)
+        if not fits:
+            free.append(capacity)
+        free[b] -= size
+        placed.append((size, b))
+    return sorted(placed), len(free)
+
+
 def test_packing():
     r = random.Random(4)
-    for _ in range(20):
-        units = [(r.randrange(1, 60), f"u{i}") for i in range(r.randrange(1, 60))]
-        placed, bins = sharding.pack(units, 60)
-        free, want = [], {}
-        for size, key in sorted(units, key=lambda u: (-u[0], u[1])):  # best fit, the plain way
-            fits = [b for b in range(len(free)) if free[b] >= size]
-            b = min(fits, key=lambda x: (free[x], x)) if fits else len(free)
-            if not fits:
-                free.append(60)
-            free[b] -= size
-            want[key] = b
-        assert placed == want and bins == len(free)
+    for most in (8, 60, 90):
+        for _ in range(30):
+            units = [r.randrange(1, most) for _ in range(r.randrange(1, 80))]
+            runs, bins = sharding.pack([(u, units.count(u)) for u in set(units)], 60)
+            assert (sorted((size, at) for size, first, end, at in runs for _ in range(first, end)), bins) == best_fit(units, 60)
+            spread = sharding.balance([(u, units.count(u)) for u in set(units)], 5)
+            assert sorted(size for size, first, end, _ in spread for _ in range(first, end)) == sorted(units)
+            for u in set(units):
+                own = sorted((first, end) for size, first, end, _ in spread if size == u)
+                assert own[0][0] == 0 and own[-1][1] == units.count(u) and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_every_group_is_packed_at_every_size(spark, n):
+    r = random.Random(n)
+    rows = [(i, "x" * r.randrange(1, 30) + str(i % (n // 2))) for i in range(n)]
+    out = sharding.assign(spark.createDataFrame(rows, DOCS), capacity=500, ranked=3, stretches=2, carry=("text",)).collect()
+    groups = {}
+    for _, t in rows:
+        groups[t] = groups.get(t, 0) + len(t) + 8
+    placed, bins = best_fit(list(groups.values()), 500)
+    where = {x.text: x.shard for x in out}
+    assert sorted((size, where[t]) for t, size in groups.items()) == placed and len(set(where.values())) == bins
+    for shard in set(where.values()):
+        assert sorted(x.slot for x in out if x.shard == shard) == list(range(sum(x.shard == shard for x in out)))
 
 
 def test_sharding(spark):
     rows = [(i, "t" * (i % 37)) for i in range(300)] + [(1000 + i, "copy " * 20) for i in range(100)] + [(None, None), (5, "again"), (5, "again"), (7, "")]
-    out = sharding.assign(spark.createDataFrame(rows, DOCS), shards=4, light=64, carry=("text",)).collect()
+    out = sharding.assign(spark.createDataFrame(rows, DOCS), shards=4, hot=10, carry=("text",)).collect()
     assert len(out) == len(rows)
     by_text, slots = {}, {}
     for r in out:
@@ -268,7 +294,7 @@ def test_sharding(spark):
     # The copies outweigh a shard and stand alone; the others share the rest evenly.
     assert sum(s > 3000 for s in sizes) == 1 and max(sorted(sizes)[:3]) - min(sizes) < 0.02 * sorted(sizes)[2]
     light = [r for r in rows if not (r[1] or "").startswith("copy")]
-    even = [r["sum(size)"] for r in sharding.assign(spark.createDataFrame(light, DOCS), shards=4, light=64).groupBy("shard").sum("size").collect()]
+    even = [r["sum(size)"] for r in sharding.assign(spark.createDataFrame(light, DOCS), shards=4).groupBy("shard").sum("size").collect()]
     assert len(even) == 4 and max(even) - min(even) < 0.02 * max(even)
     assert sharding.assign(spark.createDataFrame([], DOCS)).count() == 0
 
