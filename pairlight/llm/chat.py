@@ -16,7 +16,8 @@ not for markers, roles or separators.
 
 Null text or role: empty. Null turn: sorts first. Equal turn numbers: ordered by
 role, then text. Repeated rows: each is a turn. A null conv_id is one
-conversation. Empty table: empty result. Other columns aren't read.
+conversation. A conversation is one row of the result, however long it is. Empty
+table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,22 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def merged_turns(t: str) -> Column:
+    """array<struct<role, texts>>: the sorted turns of column ``t``, adjacent ones of one role in one element.
+
+    A block begins where the role changes and ends where the next one begins, so each turn is copied once however
+    long the conversation is.
+    """
+    starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1)["role"] != x["role"]), i)), lambda i: i.isNotNull())
+
+    def block(s: Column) -> Column:
+        texts = F.transform(F.slice(t, s["begin"] + 1, s["end"] - s["begin"]), lambda x: x["text"])
+        return F.struct(F.get(t, s["begin"])["role"].alias("role"), texts.alias("texts"))
+
+    ends = F.concat(F.slice(starts, 2, F.size(t)), F.array(F.size(t)))
+    return F.transform(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("begin"), b.alias("end"))), block)
+
+
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, segments array<struct<text, loss>>, formatted string: a row for each conversation."""
     one = F.struct(
@@ -47,17 +64,17 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     )
     sorted_turns = turns.groupBy(F.col(f"`{conv_id}`").alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("t"))
 
-    def pieces(x: Column, i: Column) -> Column:
-        opens = (i == 0) | (F.get("t", i - 1)["role"] != x["role"])
-        closes = (i == F.size("t") - 1) | (F.get("t", i + 1)["role"] != x["role"])
-        header = F.concat(F.lit(START), F.replace(escape(x["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
-        return F.array(
-            F.struct(F.when(opens, header).otherwise(F.lit(TURN)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(x["text"]).alias("text"), (x["role"] == LOSS_ROLE).alias("loss")),
-            F.struct(F.when(closes, F.lit(END + "\n")).otherwise(F.lit("")).alias("text"), F.lit(False).alias("loss")),
-        )
-
-    made = sorted_turns.select("conv_id", F.filter(F.flatten(F.transform("t", pieces)), lambda s: s["loss"] | (s["text"] != "")).alias("segments"))
+    def mark(text: Column) -> Column:
+        return F.array(F.struct(text.alias("text"), F.lit(False).alias("loss")))
+
+    def pieces(block: Column) -> Column:
+        header = F.concat(F.lit(START), F.replace(escape(block["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
+        own = lambda x: F.array(F.struct(escape(x).alias("text"), (block["role"] == LOSS_ROLE).alias("loss")))
+        said = F.transform(block["texts"], lambda x, i: F.when(i > 0, F.concat(mark(F.lit(TURN)), own(x))).otherwise(own(x)))
+        return F.concat(mark(header), F.flatten(said), mark(F.lit(END + "\n")))
+
+    merged = sorted_turns.select("conv_id", merged_turns("t").alias("blocks"))
+    made = merged.select("conv_id", F.filter(F.flatten(F.transform("blocks", pieces)), lambda s: s["loss"] | (s["text"] != "")).alias("segments"))
     return made.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 

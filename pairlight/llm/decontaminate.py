@@ -1,8 +1,11 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised words of all test items are built into one suffix automaton
-(in blocks of bounded size, so that a broadcast never exceeds a stated bound).
-Every document is streamed through it once; the automaton keeps the length of
+The normalised words of all test items are built into suffix automata, in blocks
+of ``BLOCK_WORDS`` words, about 70 MB of a worker's memory each. The driver builds
+one at a time and writes it to the shared folder; a worker holds one at a time,
+and takes each batch of documents through all of them before the next batch. So
+memory doesn't grow with the benchmark; time does, block by block. Every document
+is streamed through an automaton once; it keeps the length of
 the longest suffix of the words read that occurs in some item. Wherever that
 length reaches an item's window, the words of the window are hit.
 
@@ -11,27 +14,35 @@ separates words, bytes of non-ASCII characters belong to words. A window is 13
 consecutive item words; an item of 1 to 12 words is one window.
 
 Null or empty text: no words, no hits, never contaminated. Null item text or an
-item without words: no window. Repeated documents: one result a row. Items
-that share an item_id count once. Empty tables: an empty result, or no hits.
+item without words: no window. An item without an item_id hits words like any
+other, and is neither counted nor listed among the items. Repeated documents: one
+result a row. Items that share an item_id count once. Very long texts are read in
+one piece. Empty tables: an empty result, or no hits.
 Columns besides the named ones pass through ``decontaminate`` untouched, except
 that its own output columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlight.llm.text import slices
+from pairlight.session import fresh_dir
+
 WINDOW = 13
 #: Words of items in one automaton; more items make more blocks.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 100_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _WORD = re.compile(rb"[^ ]+")
@@ -123,7 +134,7 @@ class Automaton:
             while at > 0:
                 found |= self.short.get(at, set())
                 at = self.link[at]
-            self._shorts[state] = tuple(sorted(found))
+            self._shorts[state] = tuple(found)
         return self._shorts[state]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
@@ -171,20 +182,44 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 HIT_FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, kept string"
 
 
-def _scan(automata: list, with_text: bool):
+@functools.lru_cache(maxsize=1)
+def _automaton(path: str) -> Automaton:
+    """The automaton written under ``path``; a worker keeps the last one."""
+    system, where = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(where) as f:
+        return pickle.loads(f.read())
+
+
+def written(spark: SparkSession, blocks: Iterator[list[tuple[str | None, list[bytes]]]], window: int) -> list[str]:
+    """Paths of the blocks' automata in the shared folder, which are built and written one after the other."""
+    paths: list[str] = []
+    system, folder = None, fresh_dir(spark, "automata")
+    for i, block in enumerate(blocks):
+        if system is None:
+            system, where = fs.FileSystem.from_uri(folder)
+            system.create_dir(where, recursive=True)
+        with system.open_output_stream(f"{where}/{i}") as f:
+            f.write(pickle.dumps(Automaton(block, window), pickle.HIGHEST_PROTOCOL))
+        paths.append(f"{folder}/{i}")
+    return paths
+
+
+def _scan(paths: list[str], with_text: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "__text", 16 << 20, 10_000)):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "kept")}
-            for text in texts:
+            all_hits: list[tuple[list[tuple[int, int]], set[str | None], int]] = [([], set(), 0)] * len(texts)
+            for path in paths:
+                automaton = _automaton(path)
+                for i, text in enumerate(texts):
+                    r, found, most = automaton.hits(normalised(text or b""))
+                    ranges, items, longest = all_hits[i]
+                    if r or most > longest:
+                        all_hits[i] = (ranges + r, items | found, max(longest, most))
+            for text, (ranges, items, longest) in zip(texts, all_hits, strict=True):
                 words = normalised(text or b"")
-                ranges, items, longest = [], set(), 0
-                for automaton in automata:
-                    r, found, most = automaton.value.hits(words)
-                    ranges += r
-                    items |= found
-                    longest = max(longest, most)
-                items.discard(None)  # an item without an id hits words, but is not listed
+                items = items - {None}  # an item without an id hits words, but is not listed
                 hit = np.zeros(len(words) + 1, dtype=np.int64)
                 for begin, end in ranges:
                     hit[begin] += 1
@@ -218,12 +253,12 @@ def _without(text: bytes, hit: np.ndarray) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, longest_match and, on request, the text less its hit words (``kept``; null where nothing was hit)."""
     spark: SparkSession = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(Automaton(block, window)) for block in item_blocks(benchmark, item_id, item_text, block_words)]
+    paths = written(spark, item_blocks(benchmark, item_id, item_text, block_words), window)
     made = T.StructType.fromDDL(HIT_FIELDS)
     kept = [c for c in docs.columns if c not in made.names]
     frame = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), *made.fields])
-    out = frame.mapInArrow(_scan(automata, with_text), schema)
+    out = frame.mapInArrow(_scan(paths, with_text), schema)
     return out if with_text else out.drop("kept")
 
 

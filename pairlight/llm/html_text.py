@@ -16,12 +16,15 @@ as content if it holds main text.
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined in page order by one space. Null or empty html, or a
 page without content: empty text. Unclosed, crossed or cut-off markup is read as
-far as it goes. Repeated rows: one result each. Empty table: empty. Extra columns
+far as it goes: a quote opens a value only behind an equals sign, and one that
+nothing closes ends with its tag. Repeated rows: one result each. A very long page
+is one row and is held whole, with its tree. Empty table: empty. Extra columns
 pass through ``extract``; ``text`` and ``n_chars`` replace columns of that name.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -36,17 +39,26 @@ from pairlight.llm.text import slices
 
 PAGES, STEPS, SEED = 600, 120, 10
 # Fixed values of HTML: elements without content, with raw text, and those that run inside a line.
+#: Only there does a slash at a tag's end close the element.
+FOREIGN = frozenset(["math"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template svg xmp".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i ins kbd label mark q ruby rp rt s samp small span strong sub sup time tt u var wbr img del big strike".split())
+#: Lists, tables and their parts; they, inline elements and all others have parent-child potentials of their own.
+PARTED = frozenset("ul ol dl table li dt dd tr td th tbody thead tfoot caption figcaption option summary".split())
+KINDS = 3
 # An element on the left is closed by the start of one on the right.
 CLOSES = {
     "p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li td th tr".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"]),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: An attribute's value. A quote opens only behind the equals sign; one that nothing closes ends with the tag.
+_VALUE = r"""\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[\"'][^>]*|[^\s>\"'][^\s>]*|"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE}))?+)*+)(?:>|\Z)|([^<]+|<)", re.S)
+_ATTR = re.compile(rf"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+", re.S)
+#: The attributes whose words tell what an element is for.
+NAMED = frozenset("class id role itemprop aria-label".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -103,7 +115,7 @@ class Page:
             self.parent.append(stack[-1])
             self.depth.append(self.depth[stack[-1]] + 1)
             self.tag.append(name)
-            self.names.append(tuple(_WORD.findall(_CAMEL.sub(" ", " ".join(next(filter(None, a[1:]), "") for a in _ATTR.findall(attrs))).lower())) if "=" in attrs else ())
+            self.names.append(tuple(_WORD.findall(_CAMEL.sub(" ", html.unescape(" ".join(value for key, value in _ATTR.findall(attrs) if key.lower() in NAMED))).lower())) if "=" in attrs else ())
             self.text.append(0)
             self.links.append(0)
             if name not in INLINE:
@@ -112,10 +124,13 @@ class Page:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else end
                 self.runs.append((node, None))
-            elif not attrs.endswith("/"):
+            elif not (attrs.endswith("/") and self.inside(stack, FOREIGN)):
                 stack.append(node)
                 linked += name == "a"
 
+    def inside(self, stack: list[int], tags: frozenset) -> bool:
+        return any(self.tag[i] in tags for i in stack)
+
     def features(self) -> list[list[str]]:
         n = len(self.tag)
         text, links = list(self.text), list(self.links)
@@ -128,6 +143,9 @@ class Page:
             own = ["1", "t=" + self.tag[i]]
             if self.parent[i] >= 0:
                 own.append("p=" + self.tag[self.parent[i]])
+                own.append("p=" + self.tag[self.parent[i]] + " " + self.tag[i])
+            if not self.names[i]:
+                own.append("n=")
             own += ["n=" + w for w in dict.fromkeys(self.names[i])]
             size = text[i]
             own.append("s=" + ("0" if not size else "1" if size < 25 else "2" if size < 80 else "3" if size < 240 else "4"))
@@ -160,6 +178,7 @@ class Forest:
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.parent = np.concatenate([np.array(p.parent) + a for p, a in zip(pages, self.first, strict=False)])
         depth = np.concatenate([np.array(p.depth) for p in pages])
+        self.kind = np.array([1 if t in PARTED else 2 if t in INLINE else 0 for p in pages for t in p.tag])
         self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
         node, feature = [], []
         at = 0
@@ -180,18 +199,20 @@ class Forest:
         up[:, 1] = score
         sent = np.zeros((self.n, 2))
         for own in reversed(self.levels[1:]):
-            sent[own] = np.logaddexp(edge[:, 0][None] + up[own, :1], edge[:, 1][None] + up[own, 1:])
+            e = edge[self.kind[own]]
+            sent[own] = np.logaddexp(e[:, :, 0] + up[own, :1], e[:, :, 1] + up[own, 1:])
             np.add.at(up, self.parent[own], sent[own])
         down = np.zeros((self.n, 2))
-        pairs = np.zeros((2, 2))
+        pairs = np.zeros((KINDS, 2, 2))
         for own in self.levels[1:]:
             above = down[self.parent[own]] + up[self.parent[own]] - sent[own]  # the parent without this child
-            joint = above[:, :, None] + edge[None] + up[own][:, None, :]
+            e = edge[self.kind[own]]
+            joint = above[:, :, None] + e + up[own][:, None, :]
             joint -= joint.max(axis=(1, 2), keepdims=True)
             p = np.exp(joint)
             p /= p.sum(axis=(1, 2), keepdims=True)
-            pairs += p.sum(axis=0)
-            down[own] = np.logaddexp(above[:, :1] + edge[0][None], above[:, 1:] + edge[1][None])
+            np.add.at(pairs, self.kind[own], p)
+            down[own] = np.logaddexp(above[:, :1] + e[:, 0], above[:, 1:] + e[:, 1])
         belief = up + down
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), pairs
 
@@ -200,16 +221,16 @@ class TreeModel:
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.weights = np.zeros(0)
-        self.edge = np.zeros((2, 2))
+        self.edge = np.zeros((KINDS, 2, 2))
 
     def fit(self, pages: list[Page], labels: list[np.ndarray], steps: int = STEPS, decay: float = 2e-3) -> None:
         forest = Forest(pages, self.known, grow=True)
         y = np.concatenate(labels).astype(float)
         self.weights = np.zeros(len(self.known))
         inner = np.concatenate(forest.levels[1:])
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[forest.parent[inner]].astype(int), y[inner].astype(int)), 1)
-        square, square_edge = np.full(len(self.weights), 1e-6), np.full((2, 2), 1e-6)
+        seen = np.zeros((KINDS, 2, 2))
+        np.add.at(seen, (forest.kind[inner], y[forest.parent[inner]].astype(int), y[inner].astype(int)), 1)
+        square, square_edge = np.full(len(self.weights), 1e-6), np.full((KINDS, 2, 2), 1e-6)
         for _ in range(steps):
             p, pairs = forest.marginals(self.weights, self.edge)
             g = np.bincount(forest.feature, (y - p)[forest.node], minlength=len(self.weights)) / len(pages) - decay * self.weights
@@ -269,13 +290,14 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
         return f' {pick(["class", "class", "id"])}="{" ".join(own)}"' if chance(always) else ""
 
     def link_list(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a>' + pick(["</li>", "</li>", ""]) for i in range(k)) + "</ul>"
+        tag = pick(["ul", "ul", "ul", "ol"])
+        return f"<{tag}>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a>' + pick(["</li>", "</li>", ""]) for i in range(k)) + f"</{tag}>"
 
     def junk(kind: str) -> str:
         tag = pick(_TAGS[kind])
         own_tag = tag in ("nav", "footer", "header", "aside", "form")
         if tag == "ul":
-            return f"<ul{named(kind, 1)}>" + link_list(int(rng.integers(3, 8)))[4:]
+            return f"<ul{named(kind, 1)}>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(int(rng.integers(3, 8)))) + "</ul>"
         inner = {
             "nav": lambda: link_list(int(rng.integers(3, 9))),
             "header": lambda: pick(["", f"<h1>{words(1, 3)}</h1>", f"<div>{words(1, 4)}</div>"]) + f"<p>{words(2, 8)}</p>" * int(rng.integers(0, 2)) + pick(["", link_list(4)]),
@@ -290,7 +312,14 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
         return f"<{tag}{named(kind, 0.4 if own_tag else 1)}>{inner}</{tag}>"
 
     def main_block() -> str:
-        kind = pick(["p"] * 8 + ["h2", "h3", "ul", "blockquote", "pre", "table", "bold"])
+        kind = pick(["p"] * 8 + ["h2", "h3", "ul", "links", "links", "linked", "figure", "blockquote", "pre", "table", "bold"])
+        if kind == "figure":
+            return f"<figure><img src=/i.png><figcaption>{words(1, 15, True)}</figcaption></figure>"
+        if kind == "links":
+            tag = pick(["ul", "ul", "ol"])
+            return f"<{tag}>" + "".join(f'<li><a href="/{i}">{words(1, 9, True)}</a>' + pick(["</li>", "</li>", ""]) for i in range(int(rng.integers(2, 9)))) + f"</{tag}>"
+        if kind == "linked":
+            return f'<p><a href="/y">{words(2, 20, True)}</a></p>'
         if kind == "ul":
             return "<ul>" + "".join(f"<li>{words(3, 20, True)}</li>" for _ in range(int(rng.integers(2, 5)))) + "</ul>"
         if kind == "table":
@@ -321,8 +350,9 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
     return [(page, re.findall(r"qz\w+", page, re.I)) for page in out]
 
 
+@functools.lru_cache(maxsize=4)
 def trained(pages: int = PAGES, steps: int = STEPS, seed: int = SEED) -> TreeModel:
-    """A model fitted on ``pages`` generated pages; a node is content if main text stands in it."""
+    """A model, kept for the session, fitted on ``pages`` generated pages; a node is content if main text stands in it."""
     parsed, labels = [], []
     for source, _ in labelled_pages(pages, seed):
         page = Page(source)

@@ -12,8 +12,9 @@ blocks, so they share a key in some table. Equal fingerprints are one entry.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, as they are. Null or empty text: no terms,
 fingerprint 0. Null doc_id: after all others. Ties of doc_id are ordered by the
-text's hash; repeated rows each have a result. A single row is its own next.
-Empty table: empty result. Extra columns aren't read.
+text's hash; repeated rows each have a result. A single row is its own next. Very
+long texts: one row each, exploded to terms, which spill. Empty table: empty
+result. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -81,6 +82,13 @@ def within(asking: DataFrame, fingerprints: DataFrame, radius: int = RADIUS) ->
     return asks.join(known, "key").where((F.col("ask") != F.col("fp")) & (apart <= radius)).select("ask", "fp", apart.alias("distance")).distinct()
 
 
+def seats_of(spark: SparkSession, n: int) -> list[int]:
+    """For each of n ranges a number that hashes to a partition of its own, so that a task gets one range, not two or three."""
+    found = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("s")).groupBy(F.pmod(F.hash("s"), F.lit(n)).alias("at")).agg(F.min("s").alias("s")).collect()
+    own = {r.at: r.s for r in found}
+    return [own.get(i, -1 - i) for i in range(n)]
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with the text of the next document in descending order of id; after the last comes the first.
 
@@ -93,11 +101,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cuts = sorted(set(rows.select(F.col("o").cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     ranged = rows.withColumn("r", F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col("o").cast("double"))) if cuts else F.lit(0))
     first = sorted((r.r, r.f.o, r.f.th) for r in ranged.groupBy("r").agg(F.min(F.struct("o", "th")).alias("f")).collect())  # a row a range
+    seats = seats_of(spark, n)
     ghosts = spark.createDataFrame([(first[i - 1][0], first[i][1], first[i][2]) for i in range(len(first))], "at int, o long, th long")
     told = ranged.join(F.broadcast(ghosts), ["o", "th"], "left")
     places = F.when(F.col("at").isNull(), F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("ghost")), F.struct(F.col("at").alias("r"), F.lit(1).alias("ghost"))))
-    placed = told.select("o", "th", "text", F.explode(places).alias("p")).select("o", "th", "text", "p.r", "p.ghost")
-    w = W.partitionBy("r").orderBy("ghost", "o", "th")
+    placed = told.select("o", "th", "text", F.explode(places).alias("p")).select("o", "th", "text", "p.r", "p.ghost").withColumn("seat", F.get(F.array(*(F.lit(s) for s in seats)), F.col("r")))
+    w = W.partitionBy("seat").orderBy("ghost", "o", "th")
     return placed.select(
         "o", "th", "text", "ghost",
         (F.col("r").cast("long") * (1 << 40) + F.row_number().over(w)).alias("rid"),

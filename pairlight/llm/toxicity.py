@@ -8,8 +8,9 @@ score is that of its highest window, calibrated. Both networks are trained here,
 in numpy, with gradients written out.
 
 Training sees a sample of labelled texts that is bounded by ``SAMPLE`` rows of each
-label, each of at most ``SAMPLE_CHARS`` characters; rows are chosen by a hash of
-their id. Inputs are texts alone. As labels belong to documents, not to words, the
+label; rows are chosen by a hash of their id. Of a text above ``SAMPLE_CHARS``
+characters a stretch of so many is taken, at a place that its hash chooses, so
+that long texts are learned and calibrated on as well. Inputs are texts alone. As labels belong to documents, not to words, the
 character network learns from the words that stand in toxic documents alone and show
 strong statistical evidence, by themselves or by a run of characters.
 
@@ -326,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on a bounded sample of the labelled rows that aren't held out."""
     key = F.col(id_col).cast("string")
     own = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("y")).where((F.crc32(key.cast("binary")) % 5 != 0) & F.col("y").isin(0, 1))
-    text = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")).where((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    text = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.length("text") > 0)
     # Rows are chosen by id and hash alone; only the chosen ones' texts travel: 3 * sample rows of sample_chars characters, whatever the corpus.
     keyed = text.withColumn("th", F.xxhash64("text"))
     rows = own.join(keyed.select(id_col, "th"), id_col)
@@ -334,7 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not chosen:
         return None
     named = docs.sparkSession.createDataFrame([(r[id_col], r.th, r.y) for r in chosen], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, th long, y int").distinct()
-    found = keyed.join(F.broadcast(named), [id_col, "th"]).orderBy(F.xxhash64(id_col, "th")).limit(3 * sample).collect()
+    start = F.pmod(F.col("th"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1))).cast("int") + 1
+    stretch = F.substring("text", start, F.lit(sample_chars)).alias("text")
+    found = keyed.join(F.broadcast(named), [id_col, "th"]).select(F.xxhash64(id_col, "th").alias("place"), "y", stretch).orderBy("place").limit(3 * sample).collect()
     return train([r.text for r in found], np.array([r.y for r in found]))
 
 
