@@ -16,12 +16,17 @@ def strip(text: Column) -> Column:
 
 
 def strict_score(text: Column, answer: Column, truncated: Column) -> dict[str, Column]:
-    """The whole response is an integer of fewer than 100 characters; its value is kept even when truncated."""
+    """The whole response is an integer of fewer than 100 characters; its value is kept even when truncated.
+
+    ``parsed_answer`` is a long, null beyond 64 bits; ``parsed_digits`` has the value as plain digits whatever its length.
+    """
     t = strip(text)
     whole = t.rlike(r"\A[+-]?[0-9]+\z") & (F.length(t) < 100)
     parsed = F.when(whole, t.try_cast("long"))
+    digits = F.regexp_replace(t, "^[+-]?0*", "")
+    plain = F.when(digits == "", "0").otherwise(F.concat(F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit("")), digits))
     status = F.when(truncated, "truncated").when(whole, "valid").otherwise("invalid_format")
-    return {"parsed_answer": parsed, "status": status, "correct": F.coalesce((status == "valid") & (parsed == answer), F.lit(False))}
+    return {"parsed_answer": parsed, "parsed_digits": F.when(whole, plain), "status": status, "correct": F.coalesce((status == "valid") & (parsed == answer), F.lit(False))}
 
 
 def _patterns(expression: Column) -> list[tuple[str, Column]]:

@@ -154,8 +154,9 @@ def exact_edits(question_id: str, text: str, kind: str, level: float, editable:
 
 def perturb_exact(df: DataFrame, id_col: str, text_col: str, kind: str, level: float) -> DataFrame:
     """Adds edits and altered as ``exact_edits`` draws them, in Arrow batches."""
-    @F.pandas_udf(f"array<{EDIT}>", F.PandasUDFType.SCALAR)
-    def edits(ids, texts):
+
+    @F.pandas_udf(f"array<{EDIT}>")
+    def edits(ids: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([exact_edits(i, t, kind, level) for i, t in zip(ids, texts, strict=True)])
 
     out = df.withColumn("edits", edits(F.col(id_col).cast("string"), F.col(text_col)))

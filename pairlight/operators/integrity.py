@@ -45,7 +45,7 @@ def output_rules(version: int = 1, eos: int = 2, cap: int = 64, vocabulary: int
         scored = strict_score(c("completion"), c("answer"), c("truncated"))
     else:
         scored = grammar_score(c("completion"), c("expression"), c("answer"), c("format"), c("truncated"))
-    rules = {f"score_{k}": c(k).eqNullSafe(v) for k, v in scored.items()}
+    rules = {f"score_{k}": c(k).eqNullSafe(v) for k, v in scored.items() if k != "parsed_digits"}
     rules |= {
         "prompt_hash": c("rendered_prompt_sha256") == F.sha2(c("rendered_prompt"), 256),
         "token_hash": c("input_token_sha256") == F.sha2(ids_json(c("input_token_ids")), 256),

@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 from pairlight.functions import textops
 from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMILIES, FORMATS, KEYBOARD, KINDS, PROMPT, RESERVED_SEED, TYPO_SEED, Z95
 from pairlight.functions.scoring import render_chat, strict_score
-from pairlight.operators import gate, generate, integrity, paired
+from pairlight.operators import gate, generate, integrity, paired, provenance
 from pairlight.plans import views
-from pairlight.plans.views import ALL_LINES, EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
+from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
 from pairlight.session import fresh_dir, table
 from pairlight.streaming import runlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Replicates of the queries that a SQL twin repeats; the others have all that production draws.
-REPLICATES = 200
-ALL_REPLICATES = 10_000
+REPLICATES = 10_000
 
 
 def register(oracle: str | None = None):
@@ -34,20 +32,6 @@ def register(oracle: str | None = None):
     return keep
 
 
-def register_paired(oracle: str):
-    """A query over one record a question and condition and, as NAME_all_lines, over every line."""
-
-    def keep(f):
-        def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir, views.all_lines)
-
-        all_lines.__name__ = f"{f.__name__}_all_lines"
-        register(oracle.replace(RUNS, ALL_LINES))(all_lines)
-        return register(oracle)(f)
-
-    return keep
-
-
 def _draw(*keys: str) -> str:
     return "CAST('0x' || substr(md5(" + " || ':' || ".join(keys) + "), 1, 8) AS BIGINT)"
 
@@ -117,9 +101,9 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("doc_id", "s.words", "s.letters", "s.starts").where("words > 0")
 
 
-@register(f"WITH {_RUNS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words, count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words FROM r GROUP BY doc_id")
+@register(f"WITH {_RUNS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words, count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id")
 def eligible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", textops.runs(F.col("text")).alias("r"))
+    r = table(spark, sf_dir, "documents").select("doc_id", textops.runs(F.coalesce("text", F.lit(""))).alias("r"))
     return r.select("doc_id", F.size(F.filter("r", textops.is_word)).cast("long").alias("total_words"), F.size(F.filter("r", lambda w: F.lower(w).isin(*EDITABLE))).cast("long").alias("eligible_words"))
 
 
@@ -194,7 +178,7 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRIP = "regexp_replace(completion, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
 
 
-@register(f"WITH {RESPONSES}, s AS (SELECT *, regexp_full_match({_STRIP}, '[+-]?[0-9]+') AS whole, TRY_CAST({_STRIP} AS BIGINT) AS v FROM responses) SELECT l_orderkey, l_linenumber, CASE WHEN whole THEN v END AS parsed_answer, CASE WHEN truncated THEN 'truncated' WHEN whole THEN 'valid' ELSE 'invalid_format' END AS status, NOT truncated AND whole AND v = answer AS correct FROM s")
+@register(f"WITH {RESPONSES}, s AS (SELECT *, regexp_full_match({_STRIP}, '[+-]?[0-9]+') AS whole, TRY_CAST({_STRIP} AS BIGINT) AS v FROM responses) SELECT l_orderkey, l_linenumber, CASE WHEN whole THEN v END AS parsed_answer, CASE WHEN whole THEN (CASE WHEN ltrim({_STRIP}, '+-0') = '' THEN '0' ELSE (CASE WHEN {_STRIP} LIKE '-%' THEN '-' ELSE '' END) || ltrim(ltrim({_STRIP}, '+-'), '0') END) END AS parsed_digits, CASE WHEN truncated THEN 'truncated' WHEN whole THEN 'valid' ELSE 'invalid_format' END AS status, NOT truncated AND whole AND v = answer AS correct FROM s")
 def strict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.responses(spark, sf_dir)
     return r.select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in strict_score(F.col("completion"), F.col("answer"), F.col("truncated")).items()))
@@ -221,25 +205,6 @@ def format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.format_summary(views.scored(spark, sf_dir))
 
 
-_PILOT = "pilot AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY format ORDER BY l_orderkey, l_linenumber, l_suppkey, answer) <= 42)"
-
-
-def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 42 responses of each format: the size the gate is stated for."""
-    w = W.partitionBy("format").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "answer")
-    return views.scored(spark, sf_dir).withColumn("__n", F.row_number().over(w)).where("__n <= 42").drop("__n")
-
-
-@register(f"WITH {SCORED}, {_PILOT}, g AS ({_SUMMARY.replace('FROM scored', 'FROM pilot')}), b AS (SELECT count(*) = 3 AND min(n) = 42 AND max(n) = 42 AS complete, (SELECT format FROM g WHERE correct >= 11 AND extracted >= 15 ORDER BY correct DESC, extracted DESC, list_position({views._sql_list(FORMATS)}, format) LIMIT 1) AS best FROM g) SELECT complete, CASE WHEN complete THEN best END AS selected, CASE WHEN NOT complete THEN 'incomplete' WHEN best IS NOT NULL THEN 'pass' ELSE 'fail' END AS decision FROM b")
-def gate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.select_format(gate.format_summary(_pilot(spark, sf_dir)), extracted=15)
-
-
-@register(f"WITH {SCORED}, {_PILOT}, g AS (SELECT count(*) AS n, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE extracted) AS extracted FROM pilot WHERE format = 'integer') SELECT *, n = 42 AND correct >= 34 AND extracted >= 38 AS passed FROM g")
-def gate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.threshold_gate(_pilot(spark, sf_dir).where("format = 'integer'"))
-
-
 # Each supplier's responses as a pilot, whole: none is cut to the gate's size.
 _PILOTS = _SUMMARY.replace("SELECT format", "SELECT l_suppkey AS pilot, format").replace("GROUP BY format", "GROUP BY l_suppkey, format")
 
@@ -249,13 +214,13 @@ def _pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"WITH {SCORED}, g AS ({_PILOTS}), b AS (SELECT pilot, count(*) = 3 AND min(n) = 42 AND max(n) = 42 AS complete, first(format ORDER BY correct DESC, extracted DESC, list_position({views._sql_list(FORMATS)}, format)) FILTER (WHERE correct >= 11 AND extracted >= 34) AS best FROM g GROUP BY pilot) SELECT pilot, complete, CASE WHEN complete THEN best END AS selected, CASE WHEN NOT complete THEN 'incomplete' WHEN best IS NOT NULL THEN 'pass' ELSE 'fail' END AS decision FROM b")
-def gate_select_pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate at its own 11 correct and 34 extracted of 42."""
     return gate.select_format(gate.format_summary(_pilots(spark, sf_dir), by=("pilot",)), by=("pilot",))
 
 
 @register(f"WITH {SCORED}, g AS ({_PILOTS}) SELECT pilot, n, correct, extracted, n = 42 AND correct >= 34 AND extracted >= 38 AS passed FROM g WHERE format = 'integer'")
-def gate_threshold_pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.threshold_gate(_pilots(spark, sf_dir).where("format = 'integer'"), by=("pilot",))
 
 
@@ -273,40 +238,40 @@ def duplicate_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.duplicates(views.raw_runs(spark, sf_dir))
 
 
-@register_paired(f"WITH {RUNS} SELECT question_id, count(*) AS records, count(DISTINCT condition) = {len(CONDITIONS)} AS complete FROM runs GROUP BY question_id")
-def complete_clusters(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    return paired.complete_clusters(runs(spark, sf_dir))
+@register(f"WITH {RUNS} SELECT question_id, count(*) AS records, count(DISTINCT condition) = {len(CONDITIONS)} AS complete FROM runs GROUP BY question_id")
+def complete_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.complete_clusters(views.runs(spark, sf_dir))
 
 
-@register_paired(f"WITH {PAIRED} SELECT condition, sum(CAST(correct AS INT)) AS correct, count(*) AS denominator, round(avg(CAST(correct AS INT)), 9) AS accuracy, round(avg(CAST(correct AS INT) - clean_correct), 9) AS paired_delta FROM pairs GROUP BY condition".replace("sum(CAST(correct AS INT))", "CAST(sum(CAST(correct AS INT)) AS BIGINT)", 1))
-def paired_accuracy(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    return paired.paired(runs(spark, sf_dir)).groupBy("condition").agg(*paired.accuracy())
+@register(f"WITH {PAIRED} SELECT condition, sum(CAST(correct AS INT)) AS correct, count(*) AS denominator, round(avg(CAST(correct AS INT)), 9) AS accuracy, round(avg(CAST(correct AS INT) - clean_correct), 9) AS paired_delta FROM pairs GROUP BY condition".replace("sum(CAST(correct AS INT))", "CAST(sum(CAST(correct AS INT)) AS BIGINT)", 1))
+def paired_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(*paired.accuracy())
 
 
 _CELLS = ", ".join(f"count(*) FILTER (WHERE clean_correct = {x} AND CAST(correct AS INT) = {y}) AS {n}" for n, x, y in (("both_correct", 1, 1), ("clean_correct_to_incorrect", 1, 0), ("clean_incorrect_to_correct", 0, 1), ("both_incorrect", 0, 0)))
 
 
-@register_paired(f"WITH {PAIRED} SELECT condition, {_CELLS} FROM pairs GROUP BY condition")
-def paired_contingency(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    return paired.paired(runs(spark, sf_dir)).groupBy("condition").agg(*paired.contingency())
+@register(f"WITH {PAIRED} SELECT condition, {_CELLS} FROM pairs GROUP BY condition")
+def paired_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(*paired.contingency())
 
 
-@register_paired(f"WITH {PAIRED}, c AS (SELECT family, condition, {_CELLS} FROM pairs GROUP BY ALL) SELECT family, condition, both_correct + clean_correct_to_incorrect AS clean_correct_denominator, round(CASE WHEN both_correct + clean_correct_to_incorrect > 0 THEN clean_correct_to_incorrect / (both_correct + clean_correct_to_incorrect) END, 9) AS break_rate FROM c")
-def break_rate(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    cells = paired.paired(runs(spark, sf_dir)).groupBy("family", "condition").agg(*paired.contingency())
+@register(f"WITH {PAIRED}, c AS (SELECT family, condition, {_CELLS} FROM pairs GROUP BY ALL) SELECT family, condition, both_correct + clean_correct_to_incorrect AS clean_correct_denominator, round(CASE WHEN both_correct + clean_correct_to_incorrect > 0 THEN clean_correct_to_incorrect / (both_correct + clean_correct_to_incorrect) END, 9) AS break_rate FROM c")
+def break_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = paired.paired(views.runs(spark, sf_dir)).groupBy("family", "condition").agg(*paired.contingency())
     n = F.col("both_correct") + F.col("clean_correct_to_incorrect")
     return cells.select("family", "condition", n.alias("clean_correct_denominator"), F.round(F.when(n > 0, F.col("clean_correct_to_incorrect") / n), 9).alias("break_rate"))
 
 
-@register_paired(f"WITH {PAIRED} SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS denominator FROM pairs GROUP BY GROUPING SETS ((condition), (condition, family))")
-def family_grouping_sets(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    p = paired.paired(runs(spark, sf_dir))
+@register(f"WITH {PAIRED} SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS denominator FROM pairs GROUP BY GROUPING SETS ((condition), (condition, family))")
+def family_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paired.paired(views.runs(spark, sf_dir))
     return p.groupingSets([[F.col("condition")], [F.col("condition"), F.col("family")]], "condition", "family").agg(F.sum(paired.ok()).alias("correct"), F.count("*").alias("denominator")).select("condition", "family", "correct", "denominator")
 
 
-@register_paired(f"WITH {PAIRED} SELECT condition, count(*) FILTER (WHERE status = 'invalid_format') AS invalid, count(*) FILTER (WHERE truncated) AS truncated, round(avg(tokens), 9) AS mean_output_tokens, round(sum(seconds), 6) AS total_generation_seconds FROM pairs GROUP BY condition")
-def counters_means(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    p = paired.paired(runs(spark, sf_dir))
+@register(f"WITH {PAIRED} SELECT condition, count(*) FILTER (WHERE status = 'invalid_format') AS invalid, count(*) FILTER (WHERE truncated) AS truncated, round(avg(tokens), 9) AS mean_output_tokens, round(sum(seconds), 6) AS total_generation_seconds FROM pairs GROUP BY condition")
+def counters_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paired.paired(views.runs(spark, sf_dir))
     return p.groupBy("condition").agg(F.count_if(F.col("status") == "invalid_format").alias("invalid"), F.count_if("truncated").alias("truncated"), F.round(F.avg("tokens"), 9).alias("mean_output_tokens"), F.round(F.sum("seconds"), 6).alias("total_generation_seconds"))
 
 
@@ -320,17 +285,19 @@ def _wilson_sql(k: str, n: str) -> tuple[str, str]:
 _LOW, _HIGH = _wilson_sql("k", "n")
 
 
-@register_paired(f"WITH {PAIRED}, c AS (SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY ALL) SELECT condition, family, {_LOW} AS low, {_HIGH} AS high FROM c")
-def wilson_ci(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    c = paired.paired(runs(spark, sf_dir)).groupBy("condition", "family").agg(F.sum(paired.ok()).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+@register(f"WITH {PAIRED}, c AS (SELECT condition, family, CAST(sum(CAST(correct AS INT)) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY ALL) SELECT condition, family, {_LOW} AS low, {_HIGH} AS high FROM c")
+def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = paired.paired(views.runs(spark, sf_dir)).groupBy("condition", "family").agg(F.sum(paired.ok()).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
     low, high = paired.wilson(F.col("k"), F.col("n"))
     return c.select("condition", "family", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-_BOOT = f"""{PAIRED},
-m AS (SELECT family, question_id, {', '.join(f"max(CASE WHEN condition = '{c}' THEN CAST(correct AS INT) END) AS c{i}" for i, c in enumerate(CONDITIONS))}, row_number() OVER (PARTITION BY family ORDER BY question_id) - 1 AS idx FROM pairs GROUP BY family, question_id),
+_M = f"""{PAIRED},
+m AS (SELECT family, question_id, {', '.join(f"max(CASE WHEN condition = '{c}' THEN CAST(correct AS INT) END) AS c{i}" for i, c in enumerate(CONDITIONS))}, row_number() OVER (PARTITION BY family ORDER BY {_draw("'part'", 'question_id')} % {paired.PARTS}, question_id) - 1 AS idx FROM pairs GROUP BY family, question_id)"""
+_BOOT = f"""{_M},
 sizes AS (SELECT family, count(*) AS n FROM m GROUP BY family),
-draws AS (SELECT family, replicate, {_draw(f"'{BOOTSTRAP_SEED}'", 'replicate', 'family', 'i')} % n AS idx FROM (SELECT family, n, replicate, unnest(range(n)) AS i FROM sizes, range({REPLICATES}) r(replicate))),
+hashed AS (SELECT family, n, replicate, block, md5('{BOOTSTRAP_SEED}:' || replicate || ':' || family || ':' || block) AS h FROM (SELECT family, n, replicate, unnest(range((n + 3) // 4)) AS block FROM sizes, range({REPLICATES}) r(replicate))),
+draws AS ({' UNION ALL '.join(f"SELECT family, replicate, CAST('0x' || substr(h, {8 * j + 1}, 8) AS BIGINT) % n AS idx FROM hashed WHERE 4 * block + {j} < n" for j in range(4))}),
 boot AS (SELECT replicate, count(*) AS total, {', '.join(f'sum(c{i}) AS s_{i}, sum(c0 * (1 - c{i})) AS b_{i}' for i in range(len(CONDITIONS)))} FROM draws JOIN m USING (family, idx) GROUP BY replicate),
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS condition, s_{i} AS s, b_{i} AS b, s_0 AS clean, total FROM boot" for i, c in enumerate(CONDITIONS))})"""
 
@@ -358,20 +325,53 @@ def break_rate_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _intervals(spark, sf_dir).select("condition", "break_low", "break_high")
 
 
-@register_paired(f"WITH {_BOOT.split('sizes AS')[0].rstrip().rstrip(',')}, d AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, c{2 * i + 2} - c{2 * i + 1} AS d FROM m" for i, k in enumerate(KINDS)) + ") SELECT kind, round(avg(d), 9) AS paired_delta, count(*) AS clusters FROM d GROUP BY kind")
-def high_minus_low(spark: SparkSession, sf_dir: str, runs=views.runs) -> DataFrame:
-    return paired.high_minus_low(paired.paired(runs(spark, sf_dir)))
+@register(f"WITH {_M}, d AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, c{2 * i + 2} - c{2 * i + 1} AS d FROM m" for i, k in enumerate(KINDS)) + ") SELECT kind, round(avg(d), 9) AS paired_delta, count(*) AS clusters FROM d GROUP BY kind")
+def high_minus_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.high_minus_low(paired.paired(views.runs(spark, sf_dir)))
+
+
+_KINDS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, (s_{2 * i + 2} - s_{2 * i + 1}) / total AS d FROM boot" for i, k in enumerate(KINDS))
+
+
+@register(f"WITH {_BOOT}, d AS ({_KINDS_SQL}) SELECT kind, round(quantile_cont(d, 0.025), 9) AS delta_low, round(quantile_cont(d, 0.975), 9) AS delta_high FROM d GROUP BY kind")
+def high_minus_low_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.high_minus_low_intervals(paired.bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES))
 
 
 @register()
 def exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.exact_bootstrap(paired.paired(views.all_lines(spark, sf_dir)), ALL_REPLICATES)
+    return paired.exact_bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES)
+
+
+_BREAK_LOW, _BREAK_HIGH = _wilson_sql("x", "y")
+_POINTS = f"""WITH {PAIRED}, c AS (SELECT condition, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(*) AS denominator, round(avg(CAST(correct AS INT)), 9) AS accuracy, round(avg(CAST(correct AS INT) - clean_correct), 9) AS paired_delta, {_CELLS},
+  count(*) FILTER (WHERE status = 'invalid_format') AS invalid, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE changed_words = 0) AS unchanged, count(*) FILTER (WHERE changed_words > 0) AS possible_meaning_change,
+  round(avg(realized_rate), 9) AS mean_realized_rate, round(avg(input_tokens), 9) AS mean_input_tokens, round(avg(tokens), 9) AS mean_output_tokens, round(sum(seconds), 6) AS total_seconds FROM pairs GROUP BY condition),
+w AS (SELECT *, CAST(correct AS DOUBLE) AS k, CAST(denominator AS DOUBLE) AS n, CAST(clean_correct_to_incorrect AS DOUBLE) AS x, CAST(both_correct + clean_correct_to_incorrect AS DOUBLE) AS y FROM c)
+SELECT * EXCLUDE (k, n, x, y), round(CASE WHEN y > 0 THEN x / y END, 9) AS break_rate, {_LOW} AS accuracy_wilson_low, {_HIGH} AS accuracy_wilson_high, {_BREAK_LOW} AS break_wilson_low, {_BREAK_HIGH} AS break_wilson_high FROM w"""
+
+
+@register(_POINTS)
+def condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.point_summary(paired.paired(views.runs(spark, sf_dir)))
 
 
 @register()
-def bootstrap_intervals_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The accuracy, delta and break rate intervals over every line, from all replicates."""
-    return paired.bootstrap_intervals(paired.bootstrap(paired.paired(views.all_lines(spark, sf_dir)), ALL_REPLICATES))
+def whole_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, Wilson bounds and the intervals of all replicates together, over guarded runs."""
+    return paired.summarize(views.runs(spark, sf_dir), REPLICATES)
+
+
+@register(f"WITH {RUNS}, c AS (SELECT question_id, count(*) AS records, count(DISTINCT condition) = {len(CONDITIONS)} AS complete FROM runs GROUP BY question_id) SELECT count(*) FILTER (WHERE complete) AS clusters, count(*) FILTER (WHERE NOT complete) AS excluded_clusters, CAST(coalesce(sum(records) FILTER (WHERE NOT complete), 0) AS BIGINT) AS excluded_records FROM c")
+def excluded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.excluded(views.runs(spark, sf_dir))
+
+
+@register(f"WITH {SCORED} SELECT format, CASE WHEN extracted THEN 'valid' ELSE 'invalid_format' END AS status, count(*) AS n, count(*) FILTER (WHERE extracted) AS extracted, count(*) FILTER (WHERE strict_compliant) AS strict_compliant, count(*) FILTER (WHERE strict_correct) AS strict_correct, CAST(sum(answer) AS BIGINT) AS tokens FROM scored GROUP BY ALL")
+def remapped_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grammar scores as the first version's statuses, with the sums that go with them."""
+    remapped = F.when(F.col("extracted"), "valid").otherwise("invalid_format")
+    return views.scored(spark, sf_dir).groupBy("format", remapped.alias("status")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("extracted", "strict_compliant", "strict_correct")), F.sum("answer").alias("tokens"))
 
 
 # Runs against runs, integrity.
@@ -439,6 +439,85 @@ def artifact_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.tree_limits(table(spark, sf_dir, "documents").where("text is not null").select(F.col("n_chars").alias("bytes")))
 
 
+# Provenance.
+
+_ORDERS_NOW = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 17 <> 0"
+
+
+def _sealed_sql(t: str) -> str:
+    return f"sha256('{{\"o_orderkey\":' || {t}.o_orderkey || ',\"o_orderpriority\":\"' || {t}.o_orderpriority || '\",\"o_orderstatus\":\"' || {t}.o_orderstatus || '\"}}')"
+
+
+@register(f"WITH now AS ({_ORDERS_NOW}) SELECT f.o_orderkey, {_sealed_sql('f')} AS frozen_sha256, CASE WHEN now.o_orderkey IS NULL THEN 'missing' WHEN {_sealed_sql('now')} <> {_sealed_sql('f')} THEN 'drifted' ELSE 'same' END AS state FROM orders f LEFT JOIN now ON now.o_orderkey = f.o_orderkey")
+def freeze_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frozen = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    now = frozen.where("o_orderkey % 17 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, "Z").otherwise(F.col("o_orderstatus")))
+    return provenance.drift(provenance.frozen(frozen, "o_orderkey"), now, "o_orderkey")
+
+
+@register("SELECT o_orderkey, concat_ws(',', CASE WHEN min(l_shipdate) > o_orderdate THEN NULL ELSE 'order<ship' END, CASE WHEN max(l_shipdate) >= min(l_shipdate) THEN NULL ELSE 'first<=last' END) AS broken FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate")
+def chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders (freezes) before their first shipment (run), and that not after their last (evaluation); a missing time breaks."""
+    ships = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    both = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(ships, "o_orderkey", "left")
+    return provenance.chronology(both, [("o_orderdate", "first", True), ("first", "last", False)], {"o_orderdate": "order", "first": "first", "last": "last"}, {0: "order<ship"}).select("o_orderkey", F.array_join("broken", ",").alias("broken"))
+
+
+@register("WITH s AS (SELECT o_orderkey + (CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END) AS ordinal, o_orderkey AS id FROM orders WHERE o_orderkey % 23 <> 0), j AS (SELECT s.ordinal, s.id, e.o_orderkey AS e FROM s LEFT JOIN orders e ON e.o_orderkey = s.ordinal) SELECT count(*) AS records, count(*) FILTER (WHERE e IS NULL) AS extra, count(*) FILTER (WHERE e <> id) AS wrong_id, count(*) - count(DISTINCT ordinal) AS repeated, max(ordinal) + 1 = count(*) AND count(DISTINCT ordinal) = count(*) AND count(*) FILTER (WHERE e IS NULL OR e <> id) = 0 AS valid_prefix FROM j")
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("ordinal"))
+    records = expected.where("o_orderkey % 23 <> 0").withColumn("ordinal", F.col("ordinal") + F.when(F.col("o_orderkey") % 19 == 0, 1).otherwise(0))
+    return provenance.positional(records, expected, "o_orderkey")
+
+
+@register(f"WITH {SCORED}, s AS (SELECT o_orderpriority, diagnostic, l_orderkey, l_linenumber, l_suppkey, completion FROM scored JOIN orders ON o_orderkey = l_orderkey) SELECT o_orderpriority, diagnostic, l_orderkey, l_linenumber, completion FROM s QUALIFY row_number() OVER (PARTITION BY o_orderpriority, diagnostic ORDER BY l_orderkey, l_linenumber, l_suppkey, completion) <= 12")
+def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs with their questions; of each category the first twelve, which is the report."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    both = views.scored(spark, sf_dir).join(asked, "l_orderkey")
+    return provenance.first_of(both, ["o_orderpriority", "diagnostic"], ["l_orderkey", "l_linenumber", "l_suppkey", "completion"], 12).select("o_orderpriority", "diagnostic", "l_orderkey", "l_linenumber", "completion")
+
+
+@register(f"WITH {SCORED} SELECT format, count(*) AS n, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE extracted AND NOT correct) AS extracted_wrong, count(*) FILTER (WHERE NOT truncated AND NOT extracted) AS unsupported_nontruncated FROM scored GROUP BY format")
+def recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format summary once more, by a reader that shares no grammar with the scorer."""
+    return provenance.recount(views.responses(spark, sf_dir))
+
+
+@register(f"WITH {SCORED}, g AS ({_PILOTS}), b AS (SELECT pilot, count(*) = 3 AND min(n) = 42 AND max(n) = 42 AS complete, first(format ORDER BY correct DESC, extracted DESC, list_position({views._sql_list(FORMATS)}, format)) FILTER (WHERE correct >= 11 AND extracted >= 34) AS best FROM g GROUP BY pilot), d AS (SELECT pilot, CASE WHEN complete THEN best END AS selected, CASE WHEN NOT complete THEN 'incomplete' WHEN best IS NOT NULL THEN 'pass' ELSE 'fail' END AS decision FROM b) SELECT pilot, decision = 'pass' AS allowed, sha256('{{\"decision\":\"' || decision || '\",\"pilot\":' || pilot || ',\"selected\":' || CASE WHEN selected IS NULL THEN 'null' ELSE '\"' || selected || '\"' END || '}}') AS evidence_sha256 FROM d")
+def evaluation_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation is blocked unless its pilot passed; the decision's hash goes into the evaluation's record."""
+    decisions = gate.select_format(gate.format_summary(_pilots(spark, sf_dir), by=("pilot",)), by=("pilot",))
+    return provenance.allowed(decisions, ["pilot", "selected", "decision"]).select("pilot", "allowed", "evidence_sha256")
+
+
+@register("WITH f AS (SELECT user_id, min(ts) AS started FROM events GROUP BY user_id) SELECT event_id, epoch(ts - started) <= 43200 AS within_budget FROM events JOIN f USING (user_id)")
+def wall_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions against a budget that counts from a run's first start, whatever restarts there were."""
+    return provenance.within_budget(table(spark, sf_dir, "events"), "user_id", "ts", 43_200).select("event_id", "within_budget")
+
+
+@register("WITH l AS (SELECT *, l_orderkey % 3 <> 0 AS ended FROM lineitem), " + SCORED.replace("FROM lineitem)", "FROM l)").replace("l_linestatus = 'F' AND l_discount > 0.08 AS truncated FROM base", "answer >= 40 AND NOT ended AS truncated FROM base") + " SELECT l_orderkey, l_linenumber, truncated, extracted, correct FROM scored")
+def capped_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs under a cap of 40 tokens: truncation and scores recomputed."""
+    r = views.responses(spark, sf_dir).withColumn("output_tokens", F.col("answer")).withColumn("ended_with_eos", F.col("l_orderkey") % 3 != 0)
+    return runlog.capped(r, 40).select("l_orderkey", "l_linenumber", "truncated", "extracted", "correct")
+
+
+@register(f"WITH {PAIRED}, p AS (SELECT condition, avg(CAST(correct AS INT)) AS accuracy, count(*) AS n FROM pairs GROUP BY condition) SELECT condition, CASE WHEN condition = 'delete-40' THEN 'accuracy' ELSE '' END AS differing FROM p")
+def stored_summary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored summary against one computed anew, to 1e-12; one stored figure is off by 1e-9."""
+    fresh = paired.paired(views.runs(spark, sf_dir)).groupBy("condition").agg(F.avg(paired.ok()).alias("accuracy"), F.count("*").alias("n"))
+    stored_rows = fresh.withColumn("accuracy", F.col("accuracy") + F.when(F.col("condition") == "delete-40", 1e-9).otherwise(0.0))
+    return provenance.same_figures(stored_rows, fresh, "condition", 1e-12).select("condition", F.array_join("differing", ",").alias("differing"))
+
+
+@register("SELECT coalesce(lang, '') AS suffix, count(*) AS files, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def artifact_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), F.col("lang")).alias("name"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return provenance.sizes_by_suffix(files)
+
+
 # Stages without a SQL twin.
 
 

@@ -26,24 +26,19 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("question_id"), _nth(FAMILIES, F.col("l_partkey") % 3 + 1).alias("family"), _nth(CONDITIONS, F.col("l_linenumber")).alias("condition"),
         (F.col("l_returnflag") == "A").alias("correct"), truncated.alias("truncated"),
         F.when(truncated, "truncated").when(F.col("l_returnflag") == "R", "invalid_format").otherwise("valid").alias("status"),
-        F.col("l_quantity").cast("long").alias("tokens"), F.col("l_tax").alias("seconds"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_extendedprice"),
+        F.col("l_quantity").cast("long").alias("tokens"), F.col("l_tax").alias("seconds"),
+        F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_orderkey") % 5).cast("long").alias("changed_words"), F.when(F.col("l_linenumber") == 1, 0.0).otherwise((F.col("l_orderkey") % 5) / 5).alias("realized_rate"), (F.col("l_suppkey") % 50).alias("input_tokens"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_extendedprice"),
     )
 
 
 ORDER = ("l_orderkey", "l_suppkey", "l_extendedprice", "tokens", "status", "seconds", "correct")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record a question and condition: the first line of each part and number, all others are left out."""
-    w = W.partitionBy("question_id", "condition").orderBy(*ORDER)
-    return raw_runs(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-
-
 #: Ranges of orders within which lines are numbered.
 RANGES = 512
 
 
-def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line as a record: a part's k-th lines of each number make up its k-th question.
 
     Lines are numbered within ranges of orders, after the lines of the ranges before, so that no task
@@ -69,10 +64,9 @@ def _sql_list(values: tuple[str, ...]) -> str:
 RAW_RUNS = f"""raw_runs AS (SELECT l_partkey AS question_id, {_sql_list(FAMILIES)}[l_partkey % 3 + 1] AS family, {_sql_list(CONDITIONS)}[l_linenumber] AS condition,
   l_returnflag = 'A' AS correct, l_linestatus = 'F' AND l_discount > 0.08 AS truncated,
   CASE WHEN l_linestatus = 'F' AND l_discount > 0.08 THEN 'truncated' WHEN l_returnflag = 'R' THEN 'invalid_format' ELSE 'valid' END AS status,
-  CAST(l_quantity AS BIGINT) AS tokens, l_tax AS seconds, l_orderkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber BETWEEN 1 AND {len(CONDITIONS)})"""
+  CAST(l_quantity AS BIGINT) AS tokens, l_tax AS seconds,
+  CASE WHEN l_linenumber = 1 THEN 0 ELSE l_orderkey % 5 END AS changed_words, CASE WHEN l_linenumber = 1 THEN 0 ELSE (l_orderkey % 5) / 5 END AS realized_rate, l_suppkey % 50 AS input_tokens, l_orderkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber BETWEEN 1 AND {len(CONDITIONS)})"""
 RUNS = f"""{RAW_RUNS},
-runs AS (SELECT * FROM raw_runs QUALIFY row_number() OVER (PARTITION BY question_id, condition ORDER BY {', '.join(ORDER)}) = 1)"""
-ALL_LINES = f"""{RAW_RUNS},
 runs AS (SELECT * REPLACE (concat_ws('-', question_id, row_number() OVER (PARTITION BY question_id, condition ORDER BY {', '.join(ORDER)})) AS question_id) FROM raw_runs)"""
 PAIRED = f"""{RUNS},
 pairs AS (SELECT * FROM (SELECT *, max(CASE WHEN condition = 'clean' THEN CAST(correct AS INT) END) OVER (PARTITION BY question_id) AS clean_correct,

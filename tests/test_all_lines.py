@@ -25,10 +25,10 @@ def test_every_line_counts(spark, lines):
     for row in sorted(rows):
         n = seen[row[1], row[3]] = seen.get((row[1], row[3]), 0) + 1
         questions.setdefault(f"{row[1]}-{n}", {})[CONDITIONS[row[3] - 1]] = row[8] == "A"
-    got = {r.question_id: (r.records, r.complete) for r in catalog.QUERIES["complete_clusters_all_lines"](spark, sf).collect()}
+    got = {r.question_id: (r.records, r.complete) for r in catalog.QUERIES["complete_clusters"](spark, sf).collect()}
     assert got == {q: (len(c), len(c) == 7) for q, c in questions.items()}
     assert sum(n for n, _ in got.values()) == len(rows)
     whole = [c for c in questions.values() if len(c) == 7]
-    accuracy = {r.condition: (r.correct, r.denominator) for r in catalog.QUERIES["paired_accuracy_all_lines"](spark, sf).collect()}
+    accuracy = {r.condition: (r.correct, r.denominator) for r in catalog.QUERIES["paired_accuracy"](spark, sf).collect()}
     assert accuracy == {c: (sum(q[c] for q in whole), len(whole)) for c in CONDITIONS}
     assert len(whole) > len({q.split("-")[0] for q in questions})

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from pairlight.operators import provenance
 from pairlight.sources import files
 from pairlight.streaming import runlog
 
@@ -36,9 +38,39 @@ def test_streaming_append_resumes(spark, tmp_path):
         assert spark.read.parquet(out).count() == want
 
 
-def test_single_writer(tmp_path):
-    with runlog.single_writer(str(tmp_path / "lock")), pytest.raises(ValueError), runlog.single_writer(str(tmp_path / "lock")):
-        pass
+def test_single_writer(spark):
+    for _ in range(2):  # the second time over, the first is gone
+        with runlog.single_writer(spark, "a-run"), pytest.raises(ValueError, match="being written"), runlog.single_writer(spark, "a-run"):
+            pass
+
+
+def test_a_run_is_written_in_sealed_parts(spark, tmp_path):
+    cases, out = spark.range(7).selectExpr("concat('c', id) as case_id", "id as ordinal", "concat('p', id) as prompt"), str(tmp_path / "run")
+    assert runlog.write_run(cases, out, "case_id", 3, limit=4) == ("checkpoint", 2) and spark.read.parquet(out).count() == 4
+    assert runlog.write_run(cases, out, "case_id", 3, stop=lambda: True) == ("cancelled", 2)
+    assert runlog.write_run(cases, out, "case_id", 3, started=0.0, budget=10.0, clock=lambda: 11.0) == ("budget_exhausted", 2)
+    with pytest.raises(ValueError, match="break a rule"):
+        runlog.write_run(cases, out, "case_id", 3, rules={"none": F.col("output_tokens") < 0})
+    assert spark.read.parquet(out).count() == 4
+    assert runlog.write_run(cases, out, "case_id", 3) == ("complete", 0) == runlog.write_run(cases, out, "case_id", 3)
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r.ordinal for r in rows) == list(range(7)) and len({r.record_sha256 for r in rows}) == 7
+
+
+def test_provenance(spark, tmp_path, capsys):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    path = str(tmp_path / "in")
+    assert provenance.materialise(df, path, False).count() == provenance.materialise(df, path, True).count() == 2
+    with pytest.raises(ValueError, match="differ"):
+        provenance.materialise(df.limit(1), path, True)
+    provenance.write_session(str(tmp_path), 2, "complete", 3, provenance.environment(spark))
+    provenance.write_session(str(tmp_path), 1, "checkpoint", 1, {})
+    assert [(r.state, r.file) for r in provenance.sessions(spark, str(tmp_path), "state string, records int").collect()] == [("checkpoint", "session-1.json"), ("complete", "session-2.json")]
+    provenance.print_result(df.where("k = 1"))
+    assert capsys.readouterr().out == '{"k":1,"v":"a"}\n'
+
+
+def test_run_states():
     assert runlog.run_state(3, 3) == ("complete", 0) and runlog.run_state(1, 3) == ("checkpoint", 2)
 
 
