@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and returns the columns of ``documents`` (the last: its encoding). ``run``
 writes each stage's rows to the shared folder and reads them again, so a lost
 executor costs at most the stage at work.
+
+Null, empty and blank texts are clean, unlike all others and unrepeated: they
+stay, and encode to no tokens. Rows without a doc_id are documents by themselves;
+of rows that share a doc_id, or of a group of near copies, one row stays. Very long
+texts are read whole. Columns other than those of ``documents`` are dropped. Empty
+tables: an empty result. Where words are removed, those that stay are joined by one
+space; a text without repeats keeps its white space.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """The pipeline's stages against brute-force versions on a small fixture."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from pairlight.llm import toxicity
 from tests.llm.test_operators import brute_contamination, brute_near, brute_substrings, near_corpus, toxic_texts, words
@@ -46,3 +48,16 @@ def test_stages(spark, tmp_path):
     out = pipeline.run(spark, sf)
     assert "ids_sha256" in out.columns and 0 < out.count() <= len(rows)
     assert toxicity.SAMPLE > 0
+
+
+def test_empty_tables_nulls_and_clashing_columns(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = [(1, None), (2, ""), (3, " \n"), (None, None), (None, "one text without an id"), (4, "a b c"), (4, "a b c"), (5, "long " * 50_000)]
+    docs = frame(spark, rows).withColumns({"kept": F.col("n_chars"), "th": F.col("lang")})
+    for given, want in ((docs, 7), (docs.limit(0), 0)):
+        now = given
+        for name, stage in pipeline.STAGES:
+            now = spark.createDataFrame(stage(spark, now, sf).collect(), stage(spark, now.limit(0), sf).schema)
+            assert now.count() == want + (given is docs and name == "toxicity"), name
