@@ -1,116 +1,234 @@
-"""Words, offsets and seeded edits inside a row: no explode, no shuffle, any text length."""
+"""Words, offsets and seeded edits, a slice of texts at a time: no shuffle, memory bounded by the slice, any text length.
+
+Words are maximal runs of ASCII letters; they are found for a whole Arrow slice at once in its UTF-8 buffer. Python
+looks at editable words alone. Null texts are empty; columns that an operator adds replace columns of their names.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
-import re
-from hashlib import sha256
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlight.functions.dims import EDITABLE, KEYBOARD, KINDS, TYPO_SEED
-from pairlight.functions.hashing import draw
 
 EDIT = "struct<start:int,end:int,before:string,after:string,word_start:int,word_end:int,original_word:string>"
+#: Bytes of text and rows that are looked at together.
+SLICE, ROWS = 2 << 20, 2000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+
+
+class Words:
+    """All words of an array of texts: row, nth (in its text), start and end in code points, and the words themselves."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset] if len(texts) else 0
+        raw = raw[at : at + ends[-1]]
+        letter = np.append(_LETTER[raw], False)
+        new, last = letter.copy(), letter.copy()
+        new[1:] &= ~letter[:-1]
+        last[:-1] &= ~letter[1:]
+        cut = ends[(ends > 0) & (ends < len(raw))]  # a word never runs on into the next text
+        new[cut] |= letter[cut]
+        last[cut - 1] |= letter[cut - 1]
+        begin = np.flatnonzero(new)
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        length = np.flatnonzero(last) + 1 - begin
+        self.row = np.searchsorted(ends, begin, side="right") - 1
+        self.start = points[begin] - points[ends[:-1]][self.row]
+        self.end = self.start + length
+        self.count = np.bincount(self.row, minlength=len(texts))
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.nth = np.arange(len(begin)) - self.first[self.row]
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        self.text = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(raw[letter[:-1]].tobytes()))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of a value of each word, by text."""
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return total[self.first[1:]] - total[self.first[:-1]]
+
+    def among(self, chosen: tuple[str, ...]) -> np.ndarray:
+        """Whether each word is one of ``chosen``, in any case."""
+        return pc.is_in(pc.ascii_lower(self.text), value_set=pa.array(chosen, pa.large_string())).to_numpy(zero_copy_only=False)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < len(sizes):
+            upto = int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE, side="right"))
+            upto = min(max(upto, at + 1), at + ROWS)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def _per_slice(df: DataFrame, hidden: dict[str, Column], added: str, work: Callable, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``added`` columns. ``work`` gets a slice with the ``hidden`` columns (``__text`` among them) and returns the rows to keep (None: all) and the new columns."""
+    new = T.StructType.fromDDL(added)
+    kept = [c for c in df.columns if c not in new.names and c not in drop]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches, "__text"):
+            rows, columns = work(part)
+            old = [part.column(i) if rows is None else part.column(i).take(rows) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*old, *columns], names=[*kept, *new.names])
+
+    inner = df.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(n) for n, c in hidden.items()))
+    return inner.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new.fields]))
+
+
+def _text(name: str) -> dict[str, Column]:
+    return {"__text": F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))}
+
 
+def word_offsets(df: DataFrame, text: str) -> DataFrame:
+    """A row for each word, in place of the text: start, end and word."""
 
-def runs(text: Column) -> Column:
-    """The text cut into maximal runs of ASCII letters and of anything else."""
-    return F.regexp_extract_all(text, F.lit(r"[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+    def work(part: pa.RecordBatch):
+        found = Words(part.column("__text"))
+        return pa.array(found.row), [pa.array(found.start, pa.int64()), pa.array(found.end, pa.int64()), found.text.cast(pa.string())]
 
+    return _per_slice(df, _text(text), "start long, end long, word string", work, (text,))
 
-def is_word(run: Column) -> Column:
-    return run.rlike(r"\A[A-Za-z]")
 
+def offset_sums(df: DataFrame, text: str, chosen: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with words, letters, the sum of word starts, and how many words are among ``chosen``."""
 
-def word_offsets(df: DataFrame, text: str) -> DataFrame:
-    """A row for each word: its start, end and text, from running sums of run lengths."""
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
-    exploded = keyed.select("*", F.posexplode(runs(F.col(text))).alias("run_no", "word"))
-    before = F.coalesce(F.sum(F.length("word")).over(W.partitionBy("__row").orderBy("run_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return exploded.withColumn("start", before).withColumn("end", F.col("start") + F.length("word")).where(is_word(F.col("word"))).drop("__row", text)
-
-
-def offset_sums(text: Column) -> Column:
-    """struct(words, letters, starts): counts and the sum of word starts, in one pass over the runs."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("letters"), F.lit(0).cast("long").alias("starts"))
-
-    def step(a: Column, r: Column) -> Column:
-        word, n = is_word(r), F.length(r)
-        return F.struct((a["at"] + n).alias("at"), (a["words"] + word.cast("int")).alias("words"), (a["letters"] + F.when(word, n).otherwise(0)).alias("letters"), (a["starts"] + F.when(word, a["at"]).otherwise(0)).alias("starts"))
-
-    return F.aggregate(runs(text), zero, step)
-
-
-def _edited(word: Column, kind: str, *keys) -> tuple[Column, Column, Column]:
-    """(position, before, after) of the one edit of a word; position -1: the word offers none."""
-    pick = draw(*keys, "at")
-    if kind == "transpose":
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda j: F.substring(word, j, 1) != F.substring(word, j + 1, 1))
-        at = F.when(F.size(places) > 0, F.get(places, (pick % F.size(places)).cast("int")) - 1).otherwise(-1)
-        before = F.substring(word, at + 1, 2)
-        return at, before, F.reverse(before)
-    at = (pick % F.length(word)).cast("int")
-    before = F.substring(word, at + 1, 1)
-    if kind == "delete":
-        return at, before, F.lit("")
-    near = F.create_map(*(F.lit(x) for pair in KEYBOARD.items() for x in pair))[F.lower(before)]
-    after = F.substring(near, (draw(*keys, "key") % F.length(near)).cast("int") + 1, 1)
-    return at, before, F.when(before == F.upper(before), F.upper(after)).otherwise(after)
-
-
-def perturb(df: DataFrame, id_col: str, text_col: str, kind: str, level: float, editable: tuple[str, ...] = EDITABLE, seed: int = TYPO_SEED) -> DataFrame:
+    def work(part: pa.RecordBatch):
+        found = Words(part.column("__text"))
+        values = [found.count, found.sums(found.end - found.start), found.sums(found.start), found.sums(found.among(chosen))]
+        return None, [pa.array(v, pa.int64()) for v in values]
+
+    return _per_slice(df, _text(text), "words long, letters long, starts long, chosen long", work)
+
+
+# Edits. ``pick(label, options)`` draws one of the options; what draws is the caller's affair.
+
+
+def _transpose(word: str, pick: Callable) -> tuple[int, str, str] | None:
+    unlike = [i for i in range(len(word) - 1) if word[i] != word[i + 1]]
+    if not unlike:
+        return None
+    at = pick("at", unlike)
+    return at, word[at : at + 2], word[at + 1] + word[at]
+
+
+def _delete(word: str, pick: Callable) -> tuple[int, str, str]:
+    at = pick("at", range(len(word)))
+    return at, word[at], ""
+
+
+def _keyboard(word: str, pick: Callable) -> tuple[int, str, str]:
+    at = pick("at", range(len(word)))
+    key = pick("key", KEYBOARD[word[at].lower()])
+    return at, word[at], key if word[at].islower() else key.upper()
+
+
+CHANGES = dict(zip(KINDS, (_transpose, _delete, _keyboard), strict=True))
+
+
+class Hashed:
+    """Draws that any engine can repeat: eight hex digits of an MD5 of (seed, id, kind, run of the text, label)."""
+
+    def __init__(self, seed: int, row: str | None, kind: str) -> None:
+        self.keys = [str(seed), *([] if row is None else [row]), kind]
+
+    def draw(self, *more: object) -> int:
+        return int(hashlib.md5(":".join([*self.keys, *map(str, more)]).encode()).hexdigest()[:8], 16)
+
+    def order(self, runs: list[int]) -> list[int]:
+        """The runs by their draws."""
+        return sorted(runs, key=lambda i: (self.draw(i), i))
+
+    def picker(self, run: int) -> Callable:
+        return lambda label, options: options[self.draw(run, label) % len(options)]
+
+
+class Twister:
+    """Draws of the Mersenne Twister, one after the other, for runs that were frozen with it."""
+
+    def __init__(self, seed: int, row: str | None, kind: str) -> None:
+        self.source = random.Random(int(hashlib.sha256(f"{seed}:{row}:{kind}".encode()).hexdigest(), 16))
+
+    def order(self, runs: list[int]) -> list[int]:
+        self.source.shuffle(runs)
+        return runs
+
+    def picker(self, run: int) -> Callable:
+        return lambda label, options: self.source.choice(options)
+
+
+def perturb(df: DataFrame, id_col: str, text_col: str, kind: str | Column, level: float | Column, editable: tuple[str, ...] = EDITABLE, seed: int = TYPO_SEED, exact: bool = False) -> DataFrame:
     """Adds total_words, eligible_words, edits and altered.
 
-    Of the words in ``editable`` the ceil(level * n) with the least draws get one edit each. The level is no key of
-    the draw, so a lower level's edits are among a higher one's. Everything happens inside the row.
+    Of the words in ``editable`` the first ceil(level * n) in drawn order get one edit each; a word that offers none is
+    passed over. The level is no key of the draws, so a lower level's edits are among a higher one's. ``kind`` and
+    ``level`` may be columns; the kind ``clean`` edits nothing. ``exact`` draws as frozen runs did.
     """
-    if kind not in KINDS:
+    if isinstance(kind, str) and kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")
-    out = df.withColumn("__r", runs(F.coalesce(F.col(text_col), F.lit(""))))
-    order = lambda i: F.struct(draw(seed, F.col(id_col), kind, i).alias("d"), i.alias("i"))
-    eligible = F.filter(F.transform("__r", lambda r, i: F.when(F.lower(r).isin(*editable), order(i))), lambda e: e.isNotNull())
-    out = out.withColumn("__e", F.array_sort(eligible))
-    n = F.size("__e")
-    wanted = F.ceil(F.lit(float(level)) * n.cast("double")).cast("int")
-    out = out.withColumn("__k", F.when(wanted > 0, F.get("__e", wanted - 1)))
-
-    def edit(r: Column, i: Column) -> Column:
-        at, before, after = _edited(r, kind, seed, F.col(id_col), kind, i)
-        chosen = F.col("__k").isNotNull() & F.lower(r).isin(*editable) & (order(i) <= F.col("__k"))
-        return F.when(chosen & (at >= 0), F.struct(at.alias("at"), before.alias("before"), after.alias("after")))
-
-    out = out.withColumn("__x", F.transform("__r", edit))
-    spliced = F.transform("__r", lambda r, i: F.coalesce(F.concat(F.substring(r, F.lit(1), F.get("__x", i)["at"]), F.get("__x", i)["after"], F.substring(r, F.get("__x", i)["at"] + F.length(F.get("__x", i)["before"]) + 1, F.length(r))), r))
-    # One walk over the runs adds up the offsets; only edited words are written down.
-    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{EDIT}>)").alias("edits"))
-
-    def walk(a: Column, z: Column) -> Column:
-        at, x, end = a["at"], z["x"], a["at"] + F.length(z["r"])
-        spot = at + x["at"]
-        one = F.struct(spot.alias("start"), (spot + F.length(x["before"])).alias("end"), x["before"].alias("before"), x["after"].alias("after"), at.alias("word_start"), end.alias("word_end"), z["r"].alias("original_word"))
-        return F.struct(end.alias("at"), F.when(x.isNotNull(), F.concat(a["edits"], F.array(one))).otherwise(a["edits"]).alias("edits"))
-
-    edits = F.aggregate(F.zip_with("__r", "__x", lambda r, x: F.struct(r.alias("r"), x.alias("x"))), none, walk, lambda a: a["edits"])
-    return (
-        out.withColumn("total_words", F.size(F.filter("__r", is_word)).cast("long"))
-        .withColumn("eligible_words", n.cast("long"))
-        .withColumn("edits", edits)
-        .withColumn("altered", F.array_join(spliced, ""))
-        .drop("__r", "__e", "__k", "__x")
-    )
-
-
-def measures(text: str, level: float) -> dict[str, Column]:
+    draws = Twister if exact else Hashed
+    chosen = tuple(w.lower() for w in editable)
+    edit_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("word_start", pa.int32()), ("word_end", pa.int32()), ("original_word", pa.string())])
+
+    def work(part: pa.RecordBatch):
+        found = Words(part.column("__text"))
+        own = np.flatnonzero(found.among(chosen))
+        spots, words, rows = found.start[own].tolist(), found.text.take(pa.array(own)).to_pylist(), found.row[own]
+        bounds = np.searchsorted(rows, np.arange(part.num_rows + 1)).tolist()
+        texts, nth = part.column("__text").to_pylist(), found.nth[own].tolist()
+        keys, kinds, levels = (part.column(c).to_pylist() for c in ("__id", "__kind", "__level"))
+        edits, counts, altered = [], [0], []
+        for r, text in enumerate(texts):
+            lo, hi = bounds[r], bounds[r + 1]
+            change = CHANGES.get(kinds[r])
+            made = []
+            if change and hi > lo:
+                # Words and what stands between them alternate, so a word's run follows from its number.
+                lead = 0 if text[0].isascii() and text[0].isalpha() else 1
+                source = draws(seed, keys[r], kinds[r])
+                at = {2 * nth[i] + lead: i for i in range(lo, hi)}
+                for run in source.order(list(at))[: math.ceil(levels[r] * (hi - lo))]:
+                    one = change(words[at[run]], source.picker(run))
+                    if one:
+                        made.append((at[run], *one))
+            made.sort()
+            pieces, done = [], 0
+            for i, shift, before, after in made:
+                start = spots[i] + shift
+                pieces += [text[done:start], after]
+                done = start + len(before)
+                edits.append((start, done, before, after, spots[i], spots[i] + len(words[i]), words[i]))
+            counts.append(len(edits))
+            altered.append("".join([*pieces, text[done:]]))
+        fields = zip(*edits, strict=True) if edits else ([] for _ in edit_type)
+        flat = pa.StructArray.from_arrays([pa.array(list(v), f.type) for v, f in zip(fields, edit_type, strict=True)], fields=list(edit_type))
+        return None, [pa.array(found.count, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat), pa.array(altered, pa.string())]
+
+    hidden = _text(text_col) | {"__id": F.col(f"`{id_col}`").cast("string"), "__kind": F.lit(kind) if isinstance(kind, str) else kind, "__level": (level if isinstance(level, Column) else F.lit(float(level))).cast("double")}
+    return _per_slice(df, hidden, f"total_words long, eligible_words long, edits array<{EDIT}>, altered string", work)
+
+
+def measures(text: str, level: float | Column) -> dict[str, Column]:
     """What the edits of a row amount to."""
     changed = F.size("edits").cast("long")
     share = lambda n: F.when(n > 0, changed / n).otherwise(F.lit(0.0))
     return {
-        "target_eligible_word_rate": F.lit(float(level)),
+        "target_eligible_word_rate": level if isinstance(level, Column) else F.lit(float(level)),
         "changed_words": changed,
         "realized_eligible_word_rate": share(F.col("eligible_words")),
         "realized_all_word_rate": share(F.col("total_words")),
@@ -128,36 +246,3 @@ def apply_edits(text: Column, edits: Column) -> Column:
     good = F.forall(F.transform(ordered, lambda e, i: (e["start"] >= F.when(i > 0, F.get(ordered, i - 1)["end"]).otherwise(0)) & (F.substring(text, e["start"] + 1, e["end"] - e["start"]) == e["before"])), lambda x: x)
     spliced = F.aggregate(F.reverse(ordered), text, lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["after"], F.substring(t, e["end"] + 1, F.length(t))))
     return F.when(good, spliced).otherwise(F.raise_error(F.lit("overlapping or invalid edit")))
-
-
-def exact_edits(question_id: str, text: str, kind: str, level: float, editable: frozenset[str] = frozenset(EDITABLE), seed: int = TYPO_SEED) -> list[dict]:
-    """The same edits drawn from the Mersenne Twister, for runs that were frozen with it."""
-    spots = [m for m in re.finditer(r"[A-Za-z]+", text) if m[0].lower() in editable]
-    source = random.Random(int(sha256(f"{seed}:{question_id}:{kind}".encode()).hexdigest(), 16))
-    source.shuffle(spots)
-    edits = []
-    for spot in spots[: math.ceil(level * len(spots))]:
-        word, width = spot[0], 2 if kind == "transpose" else 1
-        places = [i for i in range(len(word) - width + 1) if width == 1 or word[i] != word[i + 1]]
-        if not places:
-            continue
-        at = source.choice(places)
-        before = word[at : at + width]
-        if kind == "keyboard":
-            after = source.choice(KEYBOARD[before.lower()])
-            after = after.upper() if before.isupper() else after
-        else:
-            after = before[::-1] if width == 2 else ""
-        edits.append({"start": spot.start() + at, "end": spot.start() + at + width, "before": before, "after": after, "word_start": spot.start(), "word_end": spot.end(), "original_word": word})
-    return sorted(edits, key=lambda e: e["start"])
-
-
-def perturb_exact(df: DataFrame, id_col: str, text_col: str, kind: str, level: float) -> DataFrame:
-    """Adds edits and altered as ``exact_edits`` draws them, in Arrow batches."""
-
-    @F.pandas_udf(f"array<{EDIT}>")
-    def edits(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([exact_edits(i, t, kind, level) for i, t in zip(ids, texts, strict=True)])
-
-    out = df.withColumn("edits", edits(F.col(id_col).cast("string"), F.col(text_col)))
-    return out.withColumn("altered", apply_edits(F.col(text_col), F.col("edits")))

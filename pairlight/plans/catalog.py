@@ -97,14 +97,14 @@ _RUNS_SQL = "r AS (SELECT doc_id, unnest(x) AS w, unnest(range(0, len(x))) AS i
 
 @register(f"WITH {_RUNS_SQL}, o AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT doc_id, count(*) AS words, CAST(sum(length(w)) AS BIGINT) AS letters, CAST(sum(start) AS BIGINT) AS starts FROM o WHERE regexp_matches(w, '^[A-Za-z]') GROUP BY doc_id")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = table(spark, sf_dir, "documents").select("doc_id", textops.offset_sums(F.coalesce("text", F.lit(""))).alias("s"))
-    return sums.select("doc_id", "s.words", "s.letters", "s.starts").where("words > 0")
+    sums = textops.offset_sums(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return sums.select("doc_id", "words", "letters", "starts").where("words > 0")
 
 
 @register(f"WITH {_RUNS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words, count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id")
 def eligible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "documents").select("doc_id", textops.runs(F.coalesce("text", F.lit(""))).alias("r"))
-    return r.select("doc_id", F.size(F.filter("r", textops.is_word)).cast("long").alias("total_words"), F.size(F.filter("r", lambda w: F.lower(w).isin(*EDITABLE))).cast("long").alias("eligible_words"))
+    sums = textops.offset_sums(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", EDITABLE)
+    return sums.select("doc_id", F.col("words").alias("total_words"), F.col("chosen").alias("eligible_words"))
 
 
 def _edits_sql(kind: str, level: float) -> str:
@@ -531,7 +531,7 @@ def stub_engine_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def exact_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textops.perturb_exact(generate.first_questions(spark), "question_id", "prompt", "keyboard", 0.4).select("question_id", "altered", "edits")
+    return textops.perturb(generate.first_questions(spark), "question_id", "prompt", "keyboard", 0.4, exact=True).select("question_id", "altered", "edits")
 
 
 @register()
