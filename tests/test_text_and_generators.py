@@ -1,10 +1,11 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairlight.functions import textops
-from pairlight.functions.dims import KINDS
+from pairlight.functions.dims import CONDITIONS, FAMILIES, KINDS
 from pairlight.operators import generate
 
 TEXTS = [(1, "Please carefully do the following simple sum below, PLEASE."), (2, "no words here"), (3, ""), (4, "below below aa"), (5, None), (6, "Simple: é please-carefully; 12 below")]
@@ -27,8 +28,6 @@ def test_edits_are_legal_and_nested(spark):
 
 
 def test_overlapping_edits_fail(spark):
-    import pytest
-
     e = "array(named_struct('start',0,'end',2,'before','ab','after','x'), named_struct('start',1,'end',3,'before','bc','after','y'))"
     with pytest.raises(Exception, match="overlapping"):
         spark.range(1).select(textops.apply_edits(F.lit("abc"), F.expr(e))).collect()
@@ -47,8 +46,37 @@ def test_word_offsets(spark):
     assert sorted((r.start, r.end, r.word) for r in textops.word_offsets(df, "text").collect()) == [(0, 2, "ab"), (4, 5, "c"), (7, 8, "d")]
 
 
-def test_exact_questions_keep_their_frozen_hash():
-    """The file hash of the first development set is a published constant."""
-    rows = [r | {"prompt_sha256": hashlib.sha256(r["prompt"].encode()).hexdigest()} for r in generate.exact_questions("dev")]
+def lines_hash(rows):
     lines = "".join(json.dumps(r, sort_keys=True, ensure_ascii=False, separators=(",", ":")) + "\n" for r in rows)
-    assert hashlib.sha256(lines.encode()).hexdigest().startswith("c70c9819")
+    return hashlib.sha256(lines.encode()).hexdigest()
+
+
+def test_exact_questions_keep_their_frozen_hash(spark):
+    """The file hash of the first development set is a published constant."""
+    rows = [r.asDict() for r in generate.exact_questions(spark, "dev").collect()]
+    order = {f: i for i, f in enumerate(FAMILIES)}
+    rows.sort(key=lambda r: (order[r["family"]], r["question_id"]))
+    assert lines_hash(rows) == "c70c981942c7afdb20ed2f3a9be08be1629cae589970f5deac8e30aa0c05e753"
+
+
+#: The published hashes of all first-version cases, by split.
+FROZEN = {"dev": "92ae5f161b3812dfea5d7ac672c45eae9b9c990c4a0c50f9bf7657a1785c3b6b", "eval": "9bb94cdfd0f19acd4d142312f58d1f26acba04c1cbacbb65fe309dc14fc4470b"}
+
+
+def test_exact_cases_keep_their_frozen_hashes(spark):
+    for split, want in FROZEN.items():
+        cases = generate.case_table(generate.exact_questions(spark, split), exact=True).orderBy("ordinal")
+        rows = [r.asDict(recursive=True) for r in cases.drop("ordinal", "split", "operands", "expression", "oracle_answer").collect()]
+        assert [r["case_id"].rsplit(":")[1] for r in rows[:7]] == list(CONDITIONS)
+        assert lines_hash(rows) == want
+
+
+def test_formatted_cases(spark):
+    qs = generate.reserved_questions(spark)
+    pilot = generate.case_table(qs, "dev").orderBy("ordinal").collect()
+    assert [r.ordinal for r in pilot] == list(range(126)) and {r.condition for r in pilot} == {"clean"}
+    run = generate.case_table(qs, "eval", "label").orderBy("ordinal").collect()
+    assert [r.ordinal for r in run] == list(range(70 * 3 * 7)) and {r.format for r in run} == {"label"}
+    assert len({r.case_id for r in run}) == len(run) and all(r.unchanged == (r.prompt_sha256 == r.clean_prompt_sha256) for r in run)
+    with pytest.raises(ValueError, match="selected format"):
+        generate.case_table(qs, "eval")
