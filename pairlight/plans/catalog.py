@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions import textops
-from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMILIES, FORMATS, KEYBOARD, KINDS, PROMPT, RESERVED_SEED, TYPO_SEED, Z95
+from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMILIES, FORMATS, KEYBOARD, KINDS, PREFIX, PROMPT, RESERVED_SEED, SUFFIXES, TYPO_SEED, Z95
+from pairlight.functions.dims import EDITABLE as PROMPT_WORDS
 from pairlight.functions.scoring import render_chat, strict_score
 from pairlight.operators import gate, generate, integrity, paired, provenance
 from pairlight.plans import views
@@ -173,6 +174,68 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", F.sha2(render_chat(F.col("m")), 256).alias("rendered_sha256"))
 
 
+# Case tables: every question under its conditions, altered.
+
+_DRAWN = [f"'{TYPO_SEED}'", "question_id", "kind", "i"]
+_NEAR = "CASE lower(before) " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in KEYBOARD.items()) + " END"
+_PROMPT_WORDS = f"({', '.join(repr(w) for w in PROMPT_WORDS)})"
+_LEVEL = "CASE WHEN condition LIKE '%-20' THEN CAST(0.2 AS DOUBLE) WHEN condition LIKE '%-40' THEN CAST(0.4 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+_CASE_COLUMNS = ("case_id", "ordinal", "prompt_sha256", "clean_prompt_sha256", "total_words", "eligible_words", "changed_words", "touched_original_characters", "target_eligible_word_rate", "realized_eligible_word_rate", "realized_all_word_rate", "unchanged", "possible_meaning_change", "semantic_review")
+
+
+def _case_sql(base: str) -> str:
+    """The twin of a case table; ``base`` is SQL for (case_id, question_id, condition, ordinal, prompt)."""
+    pick = _draw(*_DRAWN, "'at'")
+    letter = f"substr({_NEAR}, CAST({_draw(*_DRAWN, repr('key'))} % length({_NEAR}) + 1 AS INT), 1)"
+    return f"""cs AS (SELECT *, split_part(condition, '-', 1) AS kind, {_LEVEL} AS level FROM ({base})),
+cr AS (SELECT case_id, question_id, kind, level, unnest(x) AS w, unnest(range(0, len(x))) AS i FROM (SELECT *, regexp_extract_all(prompt, '[A-Za-z]+|[^A-Za-z]+') AS x FROM cs)),
+ce AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {_draw(*_DRAWN)}, i) AS rk, count(*) OVER (PARTITION BY case_id) AS n FROM cr WHERE lower(w) IN {_PROMPT_WORDS}),
+cp AS (SELECT *, list_filter(range(1, length(w)), lambda j: substr(w, CAST(j AS INT), 1) <> substr(w, CAST(j + 1 AS INT), 1)) AS places FROM ce WHERE rk <= ceil(level * n)),
+cq AS (SELECT *, CASE WHEN kind <> 'transpose' THEN {pick} % length(w) WHEN len(places) > 0 THEN places[{pick} % len(places) + 1] - 1 ELSE -1 END AS spot, CASE WHEN kind = 'transpose' THEN 2 ELSE 1 END AS width FROM cp),
+cb AS (SELECT *, substr(w, CAST(spot + 1 AS INT), width) AS before FROM cq WHERE spot >= 0),
+cx AS (SELECT case_id, i, before, substr(w, 1, CAST(spot AS INT)) || CASE kind WHEN 'transpose' THEN reverse(before) WHEN 'delete' THEN '' ELSE CASE WHEN before = upper(before) THEN upper({letter}) ELSE {letter} END END || substr(w, CAST(spot + width + 1 AS INT)) AS new FROM cb),
+cz AS (SELECT case_id, string_agg(coalesce(new, w), '' ORDER BY i) AS altered, count(new) AS changed_words, CAST(coalesce(sum(length(before)), 0) AS BIGINT) AS touched_original_characters, count(*) FILTER (WHERE lower(w) IN {_PROMPT_WORDS}) AS eligible_words, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words FROM cr LEFT JOIN cx USING (case_id, i) GROUP BY case_id)
+SELECT case_id, CAST(ordinal AS BIGINT) AS ordinal, sha256(altered) AS prompt_sha256, sha256(prompt) AS clean_prompt_sha256, total_words, eligible_words, changed_words, touched_original_characters, level AS target_eligible_word_rate,
+  CASE WHEN eligible_words > 0 THEN changed_words / eligible_words ELSE 0 END AS realized_eligible_word_rate, CASE WHEN total_words > 0 THEN changed_words / total_words ELSE 0 END AS realized_all_word_rate,
+  altered = prompt AS unchanged, changed_words > 0 AS possible_meaning_change, CASE WHEN changed_words > 0 THEN 'unreviewed_optional_word_edits' ELSE 'unchanged' END AS semantic_review FROM cs JOIN cz USING (case_id)"""
+
+
+_FAMILY_NO = f"list_position({views._sql_list(FAMILIES)}, family) - 1"
+_CONDITION_SQL = "(VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(CONDITIONS)) + ") c(condition, inner_no)"
+_FORMAT_HEAD, _ = PREFIX.split("{expression}")
+_SUFFIX = "CASE format " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in SUFFIXES.items()) + " END"
+_FIRST_CASES = f"SELECT split || '-' || family || '-' || lpad(CAST(position AS VARCHAR), 3, '0') AS question_id, question_id || ':' || condition AS case_id, condition, ({_FAMILY_NO}) * CASE WHEN split = 'dev' THEN 70 ELSE 490 END + position * 7 + inner_no AS ordinal, '{_HEAD}' || {_EXPR} || '{_TAIL}' AS prompt FROM first, {_CONDITION_SQL}"
+
+
+def _formatted_sql(split: str, forms: tuple[str, ...], each: int, inner: str, size: int, where: str = "true") -> str:
+    asked = f"'v2-{split}-' || family || '-' || lpad(CAST(position AS VARCHAR), 3, '0')"
+    return f"SELECT {asked} AS question_id, {asked} || ':' || condition || ':' || format AS case_id, condition, (({_FAMILY_NO}) * {size} + position) * {each} + {inner} AS ordinal, '{_FORMAT_HEAD}' || {_EXPR} || chr(10) || {_SUFFIX} AS prompt FROM reserved, {_CONDITION_SQL}, (VALUES {', '.join(f'({f!r}, {i})' for i, f in enumerate(forms))}) f(format, format_no) WHERE split = '{split}' AND {where}"
+
+
+@register(f"WITH {FIRST}, {_case_sql(_FIRST_CASES)}")
+def cases_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first version's cases, both splits."""
+    return generate.case_table(generate.first_questions(spark)).select(*_CASE_COLUMNS)
+
+
+@register(f"WITH {RESERVED}, {_case_sql(_formatted_sql('dev', FORMATS, 3, 'format_no', 14, repr('clean') + ' = condition'))}")
+def cases_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second version's pilot: unaltered prompts in every format."""
+    return generate.case_table(generate.reserved_questions(spark), "dev").select(*_CASE_COLUMNS)
+
+
+@register(f"WITH {RESERVED}, {_case_sql(_formatted_sql('eval', ('integer',), 7, 'inner_no', 70))}")
+def cases_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation in the format that the third version selected."""
+    return generate.case_table(generate.reserved_questions(spark), "eval", "integer").select(*_CASE_COLUMNS)
+
+
+@register(f"WITH {RESERVED}, e AS (SELECT * FROM ({_formatted_sql('eval', ('integer',), 7, 'inner_no', 70)})) SELECT case_id, condition FROM e WHERE CAST(split_part(question_id, '-', 4) AS INT) < 2")
+def cases_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is replayed of the evaluation: the first two questions of each family."""
+    return gate.replay_subset(generate.case_table(generate.reserved_questions(spark), "eval", "integer"), "eval").select("case_id", "condition")
+
+
 # Scoring.
 
 _STRIP = "regexp_replace(completion, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
