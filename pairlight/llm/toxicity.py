@@ -180,12 +180,13 @@ class Model:
         return base
 
     @staticmethod
-    def windows(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(steps, n) codes and mask of all overlapping windows, and the text of each window; a text without words has one empty window."""
+    def windows(flat: np.ndarray, counts: np.ndarray, only: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(steps, n) codes and mask of all overlapping windows (or of ``only`` some), and the text of each window; a text without words has one empty window."""
         each = np.maximum(1, -(-(counts - WINDOW) // STRIDE) + 1)
         owner = np.repeat(np.arange(len(counts)), each)
         first = np.concatenate([[0], np.cumsum(counts)])
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        nth = (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each))[only]
+        owner = owner[only]
         at = (nth * STRIDE)[None] + np.arange(WINDOW)[:, None]
         mask = (at < counts[owner][None]).astype(np.float32)
         index = np.where(mask > 0, first[owner][None] + at, 0)
@@ -270,9 +271,19 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
         return None
     rng = np.random.Generator(np.random.Philox(key=seed))
     model = Model(seed)
-    split = [[p for t in text.split() for p in pieces(t)] for text in texts]
     places: dict[str, int] = {}
-    held = [np.array(sorted({places.setdefault(w, len(places)) for w in words}), np.int64) for words in split]
+    tokens: dict[str, list[int]] = {}
+
+    def numbers(text: str) -> np.ndarray:
+        out: list[int] = []
+        for t in text.split():
+            if t not in tokens:
+                tokens[t] = [places.setdefault(p, len(places)) for p in pieces(t)]
+            out += tokens[t]
+        return np.array(out, np.int32)
+
+    read = [numbers(text) for text in texts]
+    held = [np.unique(own).astype(np.int64) for own in read]
     words = list(places)
     if not words:
         return None
@@ -295,15 +306,20 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
     count = np.bincount(np.concatenate(held), minlength=len(words))
     model.vocabulary = {words[i]: 1 + n for n, i in enumerate(np.flatnonzero(count >= OWN))}
     model.embedding = np.zeros((1 + len(model.vocabulary), 4), np.float32)
-    flat = np.fromiter((places[w] for ws in split for w in ws), np.int64)
-    codes, mask, owner = model.windows(flat, np.array([len(ws) for ws in split]))
-    best = np.where(mask > 0, scores[codes], -np.inf).max(axis=0)
-    signal = np.where(mask > 0, blamed[codes], False).any(axis=0)
+    flat, counts = np.concatenate(read), np.array([len(own) for own in read])
+    # A stretch of windows at a time: none of their tables covers the whole sample.
+    owner = np.repeat(np.arange(len(counts)), np.maximum(1, -(-(counts - WINDOW) // STRIDE) + 1))
+    best, signal = np.empty(len(owner), np.float32), np.empty(len(owner), bool)
+    for lo in range(0, len(owner), 8192):
+        codes, mask, _ = model.windows(flat, counts, slice(lo, lo + 8192))
+        best[lo : lo + 8192] = np.where(mask > 0, scores[codes], -np.inf).max(axis=0)
+        signal[lo : lo + 8192] = np.where(mask > 0, blamed[codes], False).any(axis=0)
     positive = (labels[owner] == 1) & (signal | (best > 3))
     negative = np.flatnonzero((labels[owner] == 0) & np.isfinite(best))
     negative = negative[np.argsort(-best[negative] + rng.random(len(negative)) * 8, kind="stable")][: max(3000, 3 * int(positive.sum()))]
     own = np.concatenate([np.flatnonzero(positive), negative])
-    model.train_windows(words, codes[:, own], mask[:, own], positive[own].astype(np.float32), 12, 0.01, rng)
+    codes, mask, _ = model.windows(flat, counts, own)
+    model.train_windows(words, codes, mask, positive[own].astype(np.float32), 12, 0.01, rng)
     # Calibration: a logistic fit of the documents' highest windows, at the sample's own mix of labels.
     x = model.logits(texts).astype(np.float64)
     model.blank = np.float32(np.median(x[labels == 0]))
