@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlight.llm.text import tidy
+
 #: Pretokens longer than this many bytes are merged with a heap.
 LONG = 256
 #: Pretokens whose ids a worker remembers; beyond, it starts afresh.
-CACHE = 600_000
+CACHE = 250_000
 #: Marks that stand alone behind a word.
 MARKS = frozenset(".,;:!?")
 
@@ -211,7 +213,7 @@ def encode(docs: DataFrame, tokenizer_path: str, pattern: str, text_col: str = "
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *made_columns.values()], names=[*(part.schema.names[i] for i in keep), *made_columns])
 
     frame = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return frame.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *made]))
+    return frame.mapInArrow(tidy(run), T.StructType([*(docs.schema[c] for c in kept), *made]))
 
 
 def public_tokenizer() -> tuple[str, str]:

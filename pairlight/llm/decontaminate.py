@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.llm.text import slices
+from pairlight.llm.text import slices, tidy
 from pairlight.session import fresh_dir
 
 WINDOW = 13
@@ -258,7 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     kept = [c for c in docs.columns if c not in made.names]
     frame = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), *made.fields])
-    out = frame.mapInArrow(_scan(paths, with_text), schema)
+    out = frame.mapInArrow(tidy(_scan(paths, with_text)), schema)
     return out if with_text else out.drop("kept")
 
 

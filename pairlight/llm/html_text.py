@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.llm.text import slices
+from pairlight.llm.text import slices, tidy
 
 PAGES, STEPS, SEED = 600, 120, 10
 # Fixed values of HTML: elements without content, with raw text, and those that run inside a line.
@@ -383,7 +383,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: TreeModel | None =
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*(batch.schema.names[i] for i in keep), "text", "n_chars"])
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html_col}`").cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html_col}`").cast("string").alias("__html")).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

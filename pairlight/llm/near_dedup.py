@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlight.llm.shingles import Sketcher, shingle_sets
-from pairlight.llm.text import mix, slices
+from pairlight.llm.text import mix, slices, tidy
 from pairlight.session import stored
 
 SHARE, OF = 85, 100
@@ -228,7 +228,7 @@ class Links:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         share, of = self.share, self.of
         blocks = answers.unionByName(askers).join(self.sets, "rep").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "odd")
-        return blocks.select("key", "i", "j", "odd", "rep", "label", "s").mapInArrow(lambda batches: _answer(batches, share, of), "a long, b long")
+        return blocks.select("key", "i", "j", "odd", "rep", "label", "s").mapInArrow(tidy(lambda batches: _answer(batches, share, of)), "a long, b long")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the estimate's limit and then the threshold, on the full sets."""
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = lambda d, *more: d.select(F.col(f"`{id_col}`").cast("long").alias("did"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), *more)
     base = keyed(docs, text.alias("text"))
     bands = bands_for(share / of)
-    sketch = stored(base.mapInArrow(lambda batches: _sketch(batches, bands), _SKETCH), "sketch")
+    sketch = stored(base.mapInArrow(tidy(lambda batches: _sketch(batches, bands)), _SKETCH), "sketch")
     least = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "th"))
     full = sketch.where("n > 0").groupBy("d1", "d2", "n").agg(least.alias("m"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     # A set goes by its smallest doc_id; one that has none, by its digest.
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stored(spread.join(crowded, "key").distinct(), "buckets")
     # Only documents that share a band with another need their sets.
     wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "least", F.col("th").alias("own"))
-    sets = stored(base.join(wanted, F.col("did").eqNullSafe(F.col("least")) & (F.col("th") == F.col("own"))).select("rep", "text").mapInArrow(_sets, "rep long, s array<long>"), "sets")
+    sets = stored(base.join(wanted, F.col("did").eqNullSafe(F.col("least")) & (F.col("th") == F.col("own"))).select("rep", "text").mapInArrow(tidy(_sets), "rep long, s array<long>"), "sets")
     release(docs.sparkSession)
     # Rows that share a doc_id but not their sets are one document, which joins their components.
     rows = sketch.select("did", "th", "n", "d1", "d2")

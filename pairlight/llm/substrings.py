@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.llm.text import Words, grams, slices
+from pairlight.llm.text import Words, grams, slices, tidy
 
 WINDOW, RUN = 13, 4
 #: An anchor in so many documents is dealt out by whole windows; also if a batch alone has CROWD of them.
@@ -412,27 +412,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         text.alias("text"),
         *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in carried),
     )
-    anchors = base.select("did", "text").mapInArrow(lambda batches: _emit_anchors(batches, hot, min(hot, CROWD)), _ANCHORS)
+    anchors = base.select("did", "text").mapInArrow(tidy(lambda batches: _emit_anchors(batches, hot, min(hot, CROWD))), _ANCHORS)
     shared = (
         anchors.repartition(parts, F.when(F.col("weight") < 0, F.col("did")).otherwise(F.col("anchor")))
         .sortWithinPartitions("anchor")
-        .mapInArrow(lambda batches: _share(batches, hot), _SHARED)
+        .mapInArrow(tidy(lambda batches: _share(batches, hot)), _SHARED)
     )
     lists = shared.groupBy("did").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     # One shuffle of the texts serves both joins.
     placed = base.repartition(parts, "did")
-    stretches = placed.join(lists, "did").select("did", "th", "text", "shared", "hot").mapInArrow(_emit_stretches, _PIECE)
+    stretches = placed.join(lists, "did").select("did", "th", "text", "shared", "hot").mapInArrow(tidy(_emit_stretches), _PIECE)
     factors = (
         stretches.repartition(parts, F.when(F.col("kind") == SETTLED, F.col("did")).otherwise(F.col("key")))
         .sortWithinPartitions("kind", "key", "key2", "did", "at")
-        .mapInArrow(_factor, _FACTOR)
+        .mapInArrow(tidy(_factor), _FACTOR)
     )
     pointers = factors.groupBy("did").agg(F.collect_list(F.struct("th", "start", "n", "ref", "ref_at")).alias("pointers"))
     own = {id_col: F.when(F.col("did") != LAST, F.col("did")).cast(docs.schema[id_col].dataType), text_col: F.col("text")}
     columns = [(own[c] if c in own else F.col(f"__c{i}")).alias(f"__c{i}") for i, c in enumerate(kept)]
     types = [T.StringType() if c == text_col else docs.schema[c].dataType for c in kept]
     schema = T.StructType([*(T.StructField(f"__c{i}", kind) for i, kind in enumerate(types)), *made])
-    out = placed.join(pointers, "did", "left").select("th", "text", "pointers", *columns).mapInArrow(_finish(with_text, with_factors), schema)
+    out = placed.join(pointers, "did", "left").select("th", "text", "pointers", *columns).mapInArrow(tidy(_finish(with_text, with_factors)), schema)
     return out.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)), *(f.name for f in made))
 
 

@@ -6,7 +6,8 @@ here work on that buffer at once with numpy; nothing loops over characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20, ro
         at = upto
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker gives the memory it no longer uses back: workers live on, and later stages share the executor with them."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()  # what another operator's task left
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch.
 

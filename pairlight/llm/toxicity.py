@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlight.llm.recurrent import Adam, Encoder, sigmoid
-from pairlight.llm.text import slices
+from pairlight.llm.text import slices, tidy
 
 WINDOW, STRIDE = 32, 24
 CHARS = 24
@@ -194,14 +194,14 @@ class Model:
 
     def window_logits(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
         out = np.empty(codes.shape[1], np.float32)
-        for lo in range(0, codes.shape[1], 4096):
-            c, m = codes[:, lo : lo + 4096], mask[:, lo : lo + 4096]
+        for lo in range(0, codes.shape[1], 2048):
+            c, m = codes[:, lo : lo + 2048], mask[:, lo : lo + 2048]
             if self.used:
                 x = self.rows[c]
                 pooled = self.words.pool(x[:, :, 0], x[:, :, 1], m)
             else:
                 pooled = self.words.pool(*(np.zeros((*c.shape, 24), np.float32),) * 2, m)
-            out[lo : lo + 4096] = np.where(m[0] > 0, pooled @ self.out["w"] + self.out["b"], self.blank)
+            out[lo : lo + 2048] = np.where(m[0] > 0, pooled @ self.out["w"] + self.out["b"], self.blank)
         return out
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -372,7 +372,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=[*(batch.schema.names[i] for i in keep), "score", "predicted"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
