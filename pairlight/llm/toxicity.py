@@ -38,8 +38,8 @@ WINDOW, STRIDE = 32, 24
 CHARS = 24
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 SAMPLE_WORDS, BATCH, HARD = 20_000, 128, 400
-#: Characters in a run that may mark a toxic word, and the evidence it needs.
-GRAM, SIGN = 4, 20.0
+#: Characters in the runs that may mark a toxic word, and the evidence they need.
+GRAM, LONGER, SIGN = 4, (5, 6, 7, 8), 20.0
 ALPHABET = 256
 #: Words in so many training texts have embeddings of their own.
 OWN = 3
@@ -233,12 +233,18 @@ class Model:
                 adam.step(self.words.p | {"ow": self.out["w"], "ob": self.out["b"], "e": self.embedding}, grads | {"ow": pooled.T @ d, "ob": np.array([d.sum()], np.float32), "e": de})
 
 
-def evidence(has: list[np.ndarray], held: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Signed G statistic of each feature's documents; ``has``: features of each word, ``held``: words of each document."""
-    counts = np.zeros((2, 1 + max((int(h.max()) for h in has if len(h)), default=0)))
+def evidence(has: tuple[np.ndarray, np.ndarray], held: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The highest signed G statistic among each word's features, by the documents that have them.
+
+    ``has``: the words' features one behind the other, and where each word's begin; ``held``: words of each document.
+    """
+    flat, first = has
+    counts = np.zeros((2, 1 + int(flat.max(initial=0))))
     for own, y in zip(held, labels, strict=True):
         if len(own):
-            counts[int(y), np.unique(np.concatenate([has[i] for i in own]))] += 1
+            each = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            counts[int(y), np.unique(flat[at])] += 1
     total = np.bincount(labels.astype(np.int64), minlength=2).astype(np.float64)
     base = total[1] / total.sum()
     clean, toxic = counts
@@ -246,22 +252,34 @@ def evidence(has: list[np.ndarray], held: list[np.ndarray], labels: np.ndarray)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (n * base)), 0) + np.where(clean > 0, clean * np.log(clean / (n * (1 - base))), 0))
     g[toxic < n * (0.5 + base / 2)] = 0
-    return g
+    return np.maximum.reduceat(g[flat], first[:-1])
+
+
+def runs(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs of ``size`` characters of each word behind an edge sign (of a shorter word: the whole), and where each word's begin."""
+    codes = np.frombuffer("".join(f"^{w}{chr(0) * size}" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.cumsum(lengths + size) - lengths - size
+    each = np.maximum(1, lengths - size + 1)
+    first = np.concatenate([[0], np.cumsum(each)])
+    at = np.repeat(start - first[:-1], each) + np.arange(first[-1])
+    mixed = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        mixed = (mixed ^ codes[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed, return_inverse=True)[1], first
 
 
 def signs(words: list[str], held: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Whether each word strongly marks toxic documents: by itself, or, in documents that no such word explains, by a run of GRAM characters."""
-    itself = evidence([np.array([i]) for i in range(len(words))], held, labels) >= SIGN
-    features: dict[str, int] = {}
-    has = []
-    for w in words:
-        edged = f"^{w}"
-        has.append(np.array(sorted({features.setdefault(edged[i : i + GRAM], len(features)) for i in range(max(1, len(edged) - GRAM + 1))}), np.int64))
+    """Whether each word strongly marks toxic documents: by itself, by a longer run of characters, or, in documents that no word by itself explains, by a run of GRAM characters."""
+    itself = evidence((np.arange(len(words)), np.arange(len(words) + 1)), held, labels) >= SIGN
+    out = itself.copy()
+    for size in LONGER:
+        out |= evidence(runs(words, size), held, labels) >= SIGN
     left = np.array([not (y and itself[own].any()) for own, y in zip(held, labels, strict=True)])
-    if not (left & (labels == 1)).any():
-        return itself
-    g = evidence(has, [own for own, x in zip(held, left, strict=True) if x], labels[left])
-    return itself | (np.array([g[own].max() for own in has]) >= SIGN)
+    if (left & (labels == 1)).any():
+        out |= evidence(runs(words, GRAM), [own for own, x in zip(held, left, strict=True) if x], labels[left]) >= SIGN
+    return out
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
