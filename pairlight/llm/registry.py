@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlight.llm import bpe, chat, decontaminate, html_text, near_dedup, sharding, simhash, substrings, toxicity, warc
+from pairlight.llm import bpe, chat, cobucket, decontaminate, html_text, near_dedup, packing, repair, sharding, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe_encoding": bpe.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_html_extraction": html_text.query,
+    "op11_packing": packing.query,
+    "op12_conversation_repair": repair.query,
+    "op13_cobucketed_pair": cobucket.query,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op9_minhash_near_dedup": near_dedup.ORACLE,
+    "op12_conversation_repair": repair.ORACLE,
 }
