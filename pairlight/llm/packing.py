@@ -21,7 +21,9 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -37,8 +39,10 @@ from pairlight.llm.text import slices, tidy
 from pairlight.session import stored, table
 
 WINDOW, END = 2048, 1
-#: Chunks and words whose ids a worker remembers; beyond, it starts afresh.
-CACHE = 250_000
+#: Chunks whose ids a worker remembers at least; twice as many at most.
+CACHE = 450_000
+#: Marks that stand alone behind a word.
+MARKS = frozenset(".,;:!?")
 #: Fixed value: the tokenizer's own words, as its file states them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -59,39 +63,42 @@ class WordIds:
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
-        self.hard = regex.compile("|".join(["[^\x00-\x1b\x20-ɏ]", *map(regex.escape, special)])).search
+        self.kind, self.dtype = ("H", "<u2") if self.whole.get_vocab_size() <= 1 << 16 else ("I", "<u4")
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.hard = re.compile("[^\x00-\x1b\x20-ɏ]").search
         self.find = regex.compile(pattern).findall
         printable = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
         letters = {b: chr(b) for b in printable}
         self.letters = letters | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in letters)}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # a chunk that is one word has the word's ids
+        self.older: dict[str, bytes] = {}
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self.known) >= CACHE:
+                self.older, self.known = self.known, {}
+            self.known[key] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
+        got = self.older.get(word)
         if got is None:
             shown = word if word.isascii() else word.encode().decode("latin-1")
-            got = np.array([t.id for t in self.whole.model.tokenize(shown.translate(self.letters))], self.dtype).tobytes()
-            if len(word) <= 64:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+            got = array(self.kind, [t.id for t in self.whole.model.tokenize(shown.translate(self.letters))]).tobytes()
+        return self._keep(word, got)
 
     def _chunk(self, chunk: str) -> bytes:
-        got = self._word(chunk) if chunk.isalpha() else b"".join(map(self._word, self.find(chunk)))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
+        if chunk.isalpha():
+            return self._word(chunk)
+        known, word, body = self.known.get, self._word, chunk[:-1]
+        if chunk[-1] in MARKS and body.isalpha():  # too many to be remembered
+            return (known(body) or word(body)) + (known(chunk[-1]) or word(chunk[-1]))
+        return self.older.get(chunk) or self._keep(chunk, b"".join([known(w) or word(w) for w in self.find(chunk)]))
 
     def __call__(self, text: str) -> bytes:
-        if self.hard(text):
+        if self.hard(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        known, chunk = self.chunks.get, self._chunk
+        known, chunk = self.known.get, self._chunk
         return b"".join([known(c) or chunk(c) for c in text.lower().split()])
 
 
