@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlight.functions import textops
+from pairlight.functions import counts, textops
 from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMILIES, FORMATS, KEYBOARD, KINDS, PREFIX, PROMPT, RESERVED_SEED, SUFFIXES, TYPO_SEED, Z95
 from pairlight.functions.dims import EDITABLE as PROMPT_WORDS
 from pairlight.functions.scoring import render_chat, strict_score
 from pairlight.operators import gate, generate, integrity, paired, provenance
 from pairlight.plans import views
 from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
-from pairlight.session import fresh_dir, table
+from pairlight.session import fresh_dir, stored, table
 from pairlight.streaming import runlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,17 +356,17 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _M = f"""{PAIRED},
-m AS (SELECT family, question_id, {', '.join(f"max(CASE WHEN condition = '{c}' THEN CAST(correct AS INT) END) AS c{i}" for i, c in enumerate(CONDITIONS))}, row_number() OVER (PARTITION BY family ORDER BY {_draw("'part'", 'question_id')} % {paired.PARTS}, question_id) - 1 AS idx FROM pairs GROUP BY family, question_id)"""
+m AS (SELECT family, question_id, {', '.join(f"max(CASE WHEN condition = '{c}' THEN CAST(correct AS INT) END) AS c{i}" for i, c in enumerate(CONDITIONS))} FROM pairs GROUP BY family, question_id)"""
 _BOOT = f"""{_M},
-sizes AS (SELECT family, count(*) AS n FROM m GROUP BY family),
-hashed AS (SELECT family, n, replicate, block, md5('{BOOTSTRAP_SEED}:' || replicate || ':' || family || ':' || block) AS h FROM (SELECT family, n, replicate, unnest(range((n + 3) // 4)) AS block FROM sizes, range({REPLICATES}) r(replicate))),
-draws AS ({' UNION ALL '.join(f"SELECT family, replicate, CAST('0x' || substr(h, {8 * j + 1}, 8) AS BIGINT) % n AS idx FROM hashed WHERE 4 * block + {j} < n" for j in range(4))}),
-boot AS (SELECT replicate, count(*) AS total, {', '.join(f'sum(c{i}) AS s_{i}, sum(c0 * (1 - c{i})) AS b_{i}' for i in range(len(CONDITIONS)))} FROM draws JOIN m USING (family, idx) GROUP BY replicate),
+cells AS MATERIALIZED (SELECT family, CAST(code AS BIGINT) AS code, hits, row_number() OVER (PARTITION BY family ORDER BY hits DESC, code) AS j, CAST(sum(hits) OVER (PARTITION BY family ORDER BY hits DESC, code ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS of_
+  FROM (SELECT family, {' + '.join(f'{1 << i} * c{i}' for i in range(len(CONDITIONS)))} AS code, count(*) AS hits FROM m GROUP BY ALL)),
+{counts.multinomial_sql('cells', REPLICATES, BOOTSTRAP_SEED)},
+boot AS (SELECT replicate, sum(times) AS total, {', '.join(f'sum(times * (code >> {i} & 1)) AS s_{i}, sum(times * (code & 1) * (1 - (code >> {i} & 1))) AS b_{i}' for i in range(len(CONDITIONS)))} FROM walk WHERE j > 0 GROUP BY replicate),
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS condition, s_{i} AS s, b_{i} AS b, s_0 AS clean, total FROM boot" for i, c in enumerate(CONDITIONS))})"""
 
 
 def _boot_sql(value: str, name: str) -> str:
-    return f"WITH {_BOOT} SELECT condition, round(quantile_cont({value}, 0.025), 9) AS {name}_low, round(quantile_cont({value}, 0.975), 9) AS {name}_high FROM long GROUP BY condition"
+    return f"WITH RECURSIVE {_BOOT} SELECT condition, round(quantile_cont({value}, 0.025), 9) AS {name}_low, round(quantile_cont({value}, 0.975), 9) AS {name}_high FROM long GROUP BY condition"
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,9 +383,21 @@ def bootstrap_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _intervals(spark, sf_dir).select("condition", "delta_low", "delta_high")
 
 
-@register(_boot_sql("CASE WHEN clean > 0 THEN b / clean END", "break"))
+@register(_boot_sql("CASE WHEN clean > 0 THEN b / clean END", "break").replace(" FROM long", ", count(*) FILTER (WHERE clean = 0) AS zero_clean_replicates FROM long"))
 def break_rate_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _intervals(spark, sf_dir).select("condition", "break_low", "break_high")
+    return _intervals(spark, sf_dir).select("condition", "break_low", "break_high", "zero_clean_replicates")
+
+
+@register("SELECT unnest(" + views._sql_list(CONDITIONS) + ") AS condition, '' AS differing UNION ALL SELECT 'planted', 'delta_high'")
+def interval_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals against ones selected by rank from counted values, to 1e-12 of their nine digits; a planted row is off by 1e-8."""
+    boot = paired.bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES)
+    ends = [f"{r}_{end}" for r in paired.RATES for end in ("low", "high")]
+    kept = stored(boot, "replicates")
+    second = paired.ranked_intervals(kept).select("condition", *(F.round(e, 9).alias(e) for e in ends))
+    planted = second.where("condition = 'clean'").withColumn("condition", F.lit("planted"))
+    first = paired.bootstrap_intervals(kept).select("condition", *ends).unionByName(planted.withColumn("delta_high", F.col("delta_high") + 1e-8))
+    return provenance.same_figures(first, second.unionByName(planted), "condition", 1e-12).select("condition", F.array_join("differing", ",").alias("differing"))
 
 
 @register(f"WITH {_M}, d AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, c{2 * i + 2} - c{2 * i + 1} AS d FROM m" for i, k in enumerate(KINDS)) + ") SELECT kind, round(avg(d), 9) AS paired_delta, count(*) AS clusters FROM d GROUP BY kind")
@@ -396,7 +408,7 @@ def high_minus_low(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KINDS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, (s_{2 * i + 2} - s_{2 * i + 1}) / total AS d FROM boot" for i, k in enumerate(KINDS))
 
 
-@register(f"WITH {_BOOT}, d AS ({_KINDS_SQL}) SELECT kind, round(quantile_cont(d, 0.025), 9) AS delta_low, round(quantile_cont(d, 0.975), 9) AS delta_high FROM d GROUP BY kind")
+@register(f"WITH RECURSIVE {_BOOT}, d AS ({_KINDS_SQL}) SELECT kind, round(quantile_cont(d, 0.025), 9) AS delta_low, round(quantile_cont(d, 0.975), 9) AS delta_high FROM d GROUP BY kind")
 def high_minus_low_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.high_minus_low_intervals(paired.bootstrap(paired.paired(views.runs(spark, sf_dir)), REPLICATES))
 
@@ -419,7 +431,12 @@ def condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.point_summary(paired.paired(views.runs(spark, sf_dir)))
 
 
-@register()
+_ENDS = {"accuracy": "s / total", "delta": "(s - clean) / total", "break": "CASE WHEN clean > 0 THEN b / clean END"}
+_CI = ", ".join(f"round(quantile_cont({v}, {q}), 9) AS {n}_{end}" for n, v in _ENDS.items() for end, q in (("low", 0.025), ("high", 0.975)))
+_HEAD_SQL, _POINTS_SQL = _POINTS.removeprefix(f"WITH {PAIRED}").split("\nSELECT ", 1)
+
+
+@register(f"WITH RECURSIVE {_BOOT}{_HEAD_SQL}, points AS (SELECT {_POINTS_SQL}), ends AS (SELECT condition, {_CI}, count(*) FILTER (WHERE clean = 0) AS zero_clean_replicates FROM long GROUP BY condition) SELECT * FROM points JOIN ends USING (condition)")
 def whole_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points, Wilson bounds and the intervals of all replicates together, over guarded runs."""
     return paired.summarize(views.runs(spark, sf_dir), REPLICATES)

@@ -34,8 +34,8 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER = ("l_orderkey", "l_suppkey", "l_extendedprice", "tokens", "status", "seconds", "correct")
 
 
-#: Ranges of orders within which lines are numbered.
-RANGES = 512
+#: Order numbers of a range within which lines are numbered.
+RANGE = 1 << 14
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     holds all lines of a part.
     """
     raw = raw_runs(spark, sf_dir)
-    low, high = raw.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
-    at = F.floor((F.col("l_orderkey") - (low or 0)) / ((high or 0) - (low or 0) + 1.0) * RANGES)
     key = ["question_id", "condition", "part"]
-    lines = raw.withColumn("part", F.coalesce(at, F.lit(-1)))
-    before = F.sum("c").over(W.partitionBy("question_id", "condition").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    lines = raw.withColumn("part", F.floor(F.col("l_orderkey") / RANGE))
+    before = F.sum("c").over(W.partitionBy("question_id", "condition").orderBy(F.asc_nulls_last("part")).rowsBetween(W.unboundedPreceding, -1))
     counts = lines.groupBy(*key).agg(F.count("*").alias("c")).select(*(F.col(k).alias(f"_{k}") for k in key), F.coalesce(before, F.lit(0)).alias("before"))
     own = lines.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(*ORDER)))
     numbered = own.join(counts, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
