@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlight.functions.canonical import canonical_json  # noqa: F401  part of this module's interface
 from pairlight.functions.dims import SYSTEM
 from pairlight.functions.scoring import grammar_score, strict_score
 
 SEAL = r',"record_sha256":"[0-9a-f]{64}"'
 
 
-def canonical_json(df: DataFrame, columns: list[str]) -> Column:
-    """Sorted keys, no spaces, nulls kept; exact for strings, integers and booleans."""
-    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
-
-
 def seal(body: Column) -> Column:
     return F.sha2(body, 256)
 

@@ -12,7 +12,7 @@ from pairlight.functions import counts, textops
 from pairlight.functions.dims import BOOTSTRAP_SEED, CONDITIONS, DATA_SEED, FAMILIES, FORMATS, KEYBOARD, KINDS, PREFIX, PROMPT, RESERVED_SEED, SUFFIXES, TYPO_SEED, Z95
 from pairlight.functions.dims import EDITABLE as PROMPT_WORDS
 from pairlight.functions.scoring import render_chat, strict_score
-from pairlight.operators import gate, generate, integrity, paired, provenance
+from pairlight.operators import gate, generate, integrity, paired, provenance, tokens
 from pairlight.plans import views
 from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
 from pairlight.session import fresh_dir, stored, table
@@ -96,10 +96,10 @@ _WORDS = f"({', '.join(repr(w) for w in EDITABLE)})"
 _RUNS_SQL = "r AS (SELECT doc_id, unnest(x) AS w, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]+') AS x FROM documents))"
 
 
-@register(f"WITH {_RUNS_SQL}, o AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT doc_id, count(*) AS words, CAST(sum(length(w)) AS BIGINT) AS letters, CAST(sum(start) AS BIGINT) AS starts FROM o WHERE regexp_matches(w, '^[A-Za-z]') GROUP BY doc_id")
+@register(f"WITH {_RUNS_SQL}, o AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r) SELECT doc_id, count(*) AS words, CAST(sum(length(w)) AS BIGINT) AS letters, CAST(sum(start) AS BIGINT) AS starts FROM o WHERE regexp_matches(w, '^[A-Za-z]') GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, 0 FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[A-Za-z]')")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = textops.offset_sums(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return sums.select("doc_id", "words", "letters", "starts").where("words > 0")
+    return sums.select("doc_id", "words", "letters", "starts")
 
 
 @register(f"WITH {_RUNS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words, count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id")
@@ -125,12 +125,12 @@ p AS (SELECT *, {places} AS places FROM e WHERE rk <= ceil(CAST({level} AS DOUBL
 q AS (SELECT *, {at} AS spot FROM p),
 b AS (SELECT *, substr(w, CAST(spot + 1 AS INT), {width}) AS before FROM q WHERE spot >= 0),
 x AS (SELECT doc_id, i, before, substr(w, 1, CAST(spot AS INT)) || {after} || substr(w, CAST(spot + {width} + 1 AS INT)) AS new FROM b),
-z AS (SELECT doc_id, sha256(string_agg(coalesce(new, w), '' ORDER BY i)) AS altered_sha256, count(new) AS changed_words, CAST(coalesce(sum(length(before)), 0) AS BIGINT) AS touched,
-  count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words FROM r LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)"""
+z AS (SELECT doc_id, sha256(coalesce(string_agg(coalesce(new, w), '' ORDER BY i), '')) AS altered_sha256, count(new) AS changed_words, CAST(coalesce(sum(length(before)), 0) AS BIGINT) AS touched,
+  count(*) FILTER (WHERE lower(w) IN {_WORDS}) AS eligible_words, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z]')) AS total_words FROM (SELECT doc_id FROM documents) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)"""
 
 
 def _perturbed(spark: SparkSession, sf_dir: str, kind: str, level: float) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return textops.perturb(docs, "doc_id", "text", kind, level, EDITABLE)
 
 
@@ -152,7 +152,7 @@ def edit_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "changed_words", "touched_original_characters", F.round("realized_eligible_word_rate", 9).alias("realized_eligible_word_rate"), F.round("realized_all_word_rate", 9).alias("realized_all_word_rate"), "unchanged", "semantic_review")
 
 
-@register("SELECT kind, count(*) FILTER (WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS not_nested, CAST(0 AS BIGINT) AS not_spliced FROM documents, (VALUES ('transpose'), ('delete'), ('keyboard')) k(kind) GROUP BY kind")
+@register("SELECT kind, count(*) AS documents, CAST(0 AS BIGINT) AS not_nested, CAST(0 AS BIGINT) AS not_spliced FROM documents, (VALUES ('transpose'), ('delete'), ('keyboard')) k(kind) GROUP BY kind")
 def nested_edits_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of the lower level are among those of the higher, and splicing the edits gives the altered text."""
     parts = []
@@ -168,9 +168,10 @@ def case_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.expand_cases(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("case_id", "doc_id", "condition", "condition_no")
 
 
-@register("SELECT conv_id, sha256(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) || '<|im_start|>assistant' || chr(10)) AS rendered_sha256 FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id")
+@register("SELECT conv_id, sha256(string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) || '<|im_start|>assistant' || chr(10)) AS rendered_sha256 FROM conversations GROUP BY conv_id")
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("role is not null and text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    known = {c: F.coalesce(c, F.lit("")) for c in ("role", "text")}  # a turn without a role or text is still a turn
+    turns = table(spark, sf_dir, "conversations").withColumns(known).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     return turns.select("conv_id", F.sha2(render_chat(F.col("m")), 256).alias("rendered_sha256"))
 
 
@@ -464,18 +465,63 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.compare(run, again, "o_orderkey", exclude=("o_totalprice",)).withColumn("differing", F.array_join(F.array_sort("differing"), ","))
 
 
+@register(f"""WITH e AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p, o_orderkey AS id FROM orders),
+r AS (SELECT run, p, id + (id % 19 = 0)::INT AS got, id % 17 <> 0 AS ok FROM e WHERE id % 23 <> 0 UNION ALL SELECT run, p, id, true FROM e WHERE id % 29 = 0 AND id % 23 <> 0 UNION ALL SELECT run, max(p) + 1, 0, true FROM e WHERE run % 3 = 0 GROUP BY run),
+g AS (SELECT run, p, count(*) AS n, min(got) AS got, bool_and(ok) AS ok FROM r GROUP BY ALL),
+j AS (SELECT coalesce(e.run, g.run) AS run, coalesce(e.p, g.p) AS p, e.p AS ep, n, CASE WHEN n IS NULL THEN 'gap' WHEN e.p IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated' WHEN id <> got THEN 'wrong_id' WHEN NOT ok THEN 'broken_seal' END AS cause FROM e FULL JOIN g ON g.run = e.run AND g.p = e.p)
+SELECT run, CAST(coalesce(sum(n), 0) AS BIGINT) AS records, count(ep) AS expected, coalesce(min(p) FILTER (WHERE cause IS NOT NULL), count(ep)) AS prefix, min(p) FILTER (WHERE cause IS NOT NULL) AS place, arg_min(cause, p) FILTER (WHERE cause IS NOT NULL) AS cause FROM j GROUP BY run""")
+def valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders as runs with gaps, repeats, wrong ids, broken seals and extra records: how far each is valid, and why not further."""
+    at = F.row_number().over(W.partitionBy("run").orderBy("id")) - 1
+    expected = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("id")).withColumn("at", at.cast("long"))
+    id_ = F.col("id")
+    kept = expected.where(id_ % 23 != 0)
+    records = kept.select("run", "at", (id_ + F.when(id_ % 19 == 0, 1).otherwise(0)).alias("id"), (id_ % 17 != 0).alias("intact"))
+    again = kept.where(id_ % 29 == 0).select("run", "at", "id", F.lit(True).alias("intact"))
+    extra = expected.where("run % 3 = 0").groupBy("run").agg((F.max("at") + 1).alias("at")).select("run", "at", F.lit(0).cast("long").alias("id"), F.lit(True).alias("intact"))
+    return runlog.valid_prefixes(records.unionByName(again).unionByName(extra), expected, "run", "at", "id", "intact")
+
+
+_PLANTED = "coalesce(text, '') <> '' AND doc_id % 7 = 0"
+
+
+@register(f"SELECT doc_id, NOT ({_PLANTED} OR doc_id % 11 = 0) AS encodes, NOT ({_PLANTED} OR doc_id % 11 = 0) AS decodes FROM documents")
+def token_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored ids of every document, some without their last, some with one too many, against the texts, both ways."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = tokens.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path)
+    n = F.size("ids")
+    hurt = F.when(F.col("doc_id") % 11 == 0, F.concat("ids", F.array(F.lit(0)))).when((F.col("doc_id") % 7 == 0) & (n > 0), F.slice("ids", F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(F.col("ids"))
+    kept = stored(coded.withColumn("ids", hurt), "stored-ids")
+    return tokens.verify_tokens(kept, "doc_id", "text", "ids", path).select("doc_id", "encodes", "decodes")
+
+
 @register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
 def resume_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("ordinal"))
     return runlog.remainder(expected, expected.where("o_orderkey % 3 = 0"), "o_orderkey").select("o_orderkey")
 
 
-@register("SELECT item_id, sha256('{\"item_id\":' || item_id || ',\"text_sha256\":\"' || sha256(text) || '\"}') AS record_sha256, true AS intact, false AS tampered_intact FROM benchmark WHERE text IS NOT NULL")
+def _escaped(text: str) -> str:
+    """A JSON string in DuckDB; the documents' control characters are white space."""
+    out = text
+    for raw, escape in (("chr(92)", "chr(92) || chr(92)"), ("'\"'", "chr(92) || '\"'"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'"), ("chr(12)", "chr(92) || 'f'"), ("chr(11)", "chr(92) || 'u000b'")):
+        out = f"replace({out}, {raw}, {escape})"
+    return f"coalesce('\"' || {out} || '\"', 'null')"
+
+
+_SEALED = f"""'{{"doc_id":' || doc_id || ',"lang":' || {_escaped('lang')} || ',"score":' || coalesce(CAST(n_chars / 7 AS VARCHAR), 'null') || ',"text":' || {_escaped('text')} || ',"words":[' || array_to_string(list_transform(string_split(lang, 'e'), lambda x: '"' || x || '"'), ',') || ']}}'"""
+
+
+@register(f"SELECT doc_id, sha256({_SEALED}) AS record_sha256, true AS intact, false AS tampered_intact FROM documents")
 def record_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.sha2("text", 256).alias("text_sha256"))
-    body = rows.withColumn("body", integrity.canonical_json(rows, ["item_id", "text_sha256"])).withColumn("record_sha256", integrity.seal(F.col("body")))
-    line = F.concat(F.lit('{"item_id":'), F.col("item_id").cast("string"), F.lit(',"record_sha256":"'), F.col("record_sha256"), F.lit('","text_sha256":"'), F.col("text_sha256"), F.lit('"}'))
-    return body.withColumn("line", line).select("item_id", "record_sha256", integrity.sealed_line_ok(F.col("line")).alias("intact"), integrity.sealed_line_ok(F.replace("line", F.lit('"text_sha256":"'), F.lit('"text_sha256":"0'))).alias("tampered_intact"))
+    """Every document as a sealed canonical line, with a double, a list and null texts; the line is judged as it stands, and again with its id changed."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") / 7).alias("score"), "text", F.split("lang", "e").alias("words"))
+    sealed = rows.withColumn("record_sha256", integrity.seal(integrity.canonical_json(rows, rows.columns)))
+    lines = sealed.select("doc_id", "record_sha256", integrity.canonical_json(sealed, sealed.columns).alias("line"))
+    return lines.select("doc_id", "record_sha256", integrity.sealed_line_ok(F.col("line")).alias("intact"), integrity.sealed_line_ok(F.replace("line", F.lit('{"doc_id":'), F.lit('{"doc_id":1'))).alias("tampered_intact"))
 
 
 @register("SELECT doc_id, concat_ws(',', CASE WHEN coalesce(n_chars = length(text), false) THEN NULL ELSE 'n_chars' END, CASE WHEN coalesce(lang IN ('en', 'fr'), false) THEN NULL ELSE 'lang' END, CASE WHEN coalesce(length(text) > 100, false) THEN NULL ELSE 'length' END) AS broken FROM documents")
@@ -484,12 +530,12 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(integrity.violations(rules), ",").alias("broken"))
 
 
-_FILES = "SELECT CAST(doc_id AS VARCHAR) AS name, n_chars AS bytes, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL"
+_FILES = "SELECT CAST(doc_id AS VARCHAR) AS name, coalesce(n_chars, 0) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents"
 
 
 @register(f"WITH f AS ({_FILES}) SELECT name, CASE WHEN CAST(name AS BIGINT) % 9 = 0 THEN 'missing' WHEN CAST(name AS BIGINT) % 8 = 0 THEN 'size' WHEN CAST(name AS BIGINT) % 7 = 0 THEN 'hash' END AS problem FROM f")
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    manifest = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.coalesce("n_chars", F.lit(0)).alias("bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     n = F.col("name").cast("long")
     files = manifest.where(n % 9 != 0).withColumn("bytes", F.when(n % 8 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(n % 7 == 0, F.lit("")).otherwise(F.col("sha256")))
     return integrity.manifest_check(manifest, files)
@@ -516,7 +562,7 @@ def diagnosis_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH f AS ({_FILES}) SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS total_bytes, max(bytes) AS largest, count(*) <= 1000 AND max(bytes) <= 10485760 AND sum(bytes) <= 33554432 AS within FROM f")
 def artifact_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.tree_limits(table(spark, sf_dir, "documents").where("text is not null").select(F.col("n_chars").alias("bytes")))
+    return integrity.tree_limits(table(spark, sf_dir, "documents").select(F.coalesce("n_chars", F.lit(0)).alias("bytes")))
 
 
 # Provenance.

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlight.functions.canonical import canonical_json
+
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document a file; a glob reads many."""
@@ -27,7 +29,7 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Canonical lines: sorted keys, nulls kept."""
-    df.select(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    df.select(canonical_json(df, df.columns).alias("value")).write.text(path)
 
 
 def write_json(path: str, document: object) -> None:

@@ -59,6 +59,26 @@ def valid_prefix(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return met.agg(F.count("*").alias("records"), ((F.count("ordinal") == F.count("*")) & (F.coalesce(F.max("ordinal") + 1, F.lit(0)) == F.count("*")) & (F.countDistinct("ordinal") == F.count("*"))).alias("prefix"))
 
 
+def valid_prefixes(records: DataFrame, expected: DataFrame, run: str, ordinal: str, key: str, intact: str) -> DataFrame:
+    """A row a run: records, expected, prefix (how many records from the first on are valid), place and cause of the end.
+
+    Causes: a gap, a repeated place, a wrong id, a broken seal, an extra record behind the last that is expected; null
+    where a run is complete. Records are counted by place before they meet the expected ones, and a run's end is the
+    least bad place, so neither a long run nor one place with many records meets in one task. Null runs are a run;
+    records without an ordinal count as records and have no place. A null ``intact`` counts as broken.
+    """
+    r, o = F.col(f"`{run}`"), F.col(f"`{ordinal}`")
+    seen = records.groupBy(r.alias("run_"), o.alias("at_")).agg(F.count("*").alias("n_"), F.min(F.col(f"`{key}`")).alias("id_"), F.min(F.coalesce(F.col(f"`{intact}`"), F.lit(False)).cast("int")).alias("ok_"))
+    want = expected.select(r.alias("run"), o.alias("at"), F.col(f"`{key}`").alias("id"))
+    both = want.join(seen, F.col("run").eqNullSafe(F.col("run_")) & (F.col("at") == F.col("at_")), "full")
+    cause = F.when(F.col("n_").isNull(), "gap").when(F.col("at").isNull(), "extra").when(F.col("n_") > 1, "repeated").when(~F.col("id").eqNullSafe(F.col("id_")), "wrong_id").when(F.col("ok_") == 0, "broken_seal")
+    place = F.coalesce("at", "at_")
+    judged = both.select(F.when(F.col("n_").isNull() | F.col("at").isNotNull(), F.col("run")).otherwise(F.col("run_")).alias(run), place.alias("p"), cause.alias("c"), "n_", "at")
+    bad = F.min(F.when(F.col("c").isNotNull() & F.col("p").isNotNull(), F.struct("p", "c")))
+    out = judged.groupBy(run).agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("records"), F.count("at").alias("expected"), bad.alias("bad"), F.min("at").alias("first"))
+    return out.select(run, "records", "expected", F.when(F.col("bad").isNull(), F.col("expected")).otherwise(F.greatest(F.col("bad.p") - F.coalesce(F.col("first"), F.col("bad.p")), F.lit(0))).alias("prefix"), F.col("bad.p").alias("place"), F.col("bad.c").alias("cause"))
+
+
 def torn_tails(spark: SparkSession, path: str) -> DataFrame:
     """file, complete_lines, tail_bytes, tail_hex, tail_sha256 of line logs: what stands behind the last newline."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("h"))
