@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm.text import tidy
+from pairlight.llm.text import tidy, unused
 from pairlight.session import fresh_dir, table
 
 BUCKETS = 300
@@ -58,14 +58,6 @@ def crc_bucket(value: Column, salt: str = "", buckets: int = BUCKETS) -> Column:
     return (F.crc32(F.concat(F.lit(salt), value.cast("string")).cast("binary")) % buckets).cast("int")
 
 
-def unused(name: str, *frames: DataFrame) -> str:
-    """``name``, lengthened until no frame has a column of that name, in any case."""
-    taken = {c.lower() for f in frames for c in f.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def in_order(df: DataFrame, key: str, columns: list[str], first: tuple[str, ...] = ()) -> DataFrame:
     """Sorted within partitions by the key, then the other columns left to right, nulls first."""
     return df.sortWithinPartitions(*first, *(F.asc_nulls_first(f"`{c}`") for c in [key, *(c for c in columns if c != key)]))

@@ -2,16 +2,17 @@
 
 Each element of a page's DOM is a node with two states, content or boilerplate.
 Node potentials come from its tag, the words of its class, id and role, the
-length of its text and the share of links; parent-child potentials couple the
-nodes along the tree. Sum-product messages go up from the leaves and down from
+length of its text and the share of links, in it and below it; parent-child
+potentials couple the nodes along the tree. Sum-product messages go up from the leaves and down from
 the root, and give every node's exact content marginal. Text stands in the
 result if the marginal of its element is at least one half.
 
 The potentials are fitted here, by the gradient of the exact likelihood, on
 labelled pages. The tables have no labelled pages, so these are generated: ``PAGES``
-pages of many layouts (semantic tags or mere class names, menus, headers, notices,
-adverts, forms, sidebars, comments, footers) whose parts are known. A node counts
-as content if it holds main text.
+pages of many layouts (semantic tags, class names in several languages or that say
+nothing, plain elements, no container at all; menus, headers, notices, adverts in
+blocks and within lines, forms and stray parts of them, sidebars, comments, footers)
+whose parts are known. A node, inline ones too, counts as content if it holds main text.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined in page order by one space. Null or empty html, or a
@@ -35,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlight.llm.text import slices, tidy
+from pairlight.llm.text import slices, tidy, unused
 
-PAGES, STEPS, SEED = 600, 120, 10
+PAGES, STEPS, SEED = 1200, 150, 10
 # Fixed values of HTML: elements without content, with raw text, and those that run inside a line.
 #: Only there does a slash at a tag's end close the element.
 FOREIGN = frozenset(["math"])
@@ -138,15 +139,34 @@ class Page:
             if self.tag[i] in INLINE:
                 text[self.parent[i]] += text[i]
                 links[self.parent[i]] += links[i]
+        whole, linked, ps = list(text), list(links), [0] * n
+        for i in range(n - 1, 0, -1):
+            if self.tag[i] not in INLINE:
+                whole[self.parent[i]] += whole[i]
+                linked[self.parent[i]] += linked[i]
+            ps[self.parent[i]] += self.tag[i] == "p"
         out = []
         for i in range(n):
             own = ["1", "t=" + self.tag[i]]
+            inline = self.tag[i] in INLINE
             if self.parent[i] >= 0:
                 own.append("p=" + self.tag[self.parent[i]])
                 own.append("p=" + self.tag[self.parent[i]] + " " + self.tag[i])
-            if not self.names[i]:
-                own.append("n=")
+            own.append(("n+" if self.names[i] else "n-") + ("i" if inline else self.tag[i] if self.tag[i] in ("div", "section", "p") else ""))
+            if not inline and whole[i] > text[i]:  # a container: all its text, and how much of it are links
+                size = whole[i]
+                own.append("S=" + ("1" if size < 60 else "2" if size < 200 else "3" if size < 800 else "4" if size < 3200 else "5"))
+                own.append("L=" + (many := "0" if linked[i] < 0.15 * size else "1" if linked[i] < 0.6 * size else "2"))
+                if i:
+                    own.append(f"L={many} {self.tag[self.parent[i]]}")
+                own.append("P=" + ("0" if not ps[i] else "1" if ps[i] == 1 else "2"))
+            elif not inline and i:
+                beside = "q=" + ("0" if not ps[self.parent[i]] else "1" if ps[self.parent[i]] == 1 else "2")
+                own.append(f"{beside} {self.tag[self.parent[i]]} p" if self.tag[i] == "p" else beside)
             own += ["n=" + w for w in dict.fromkeys(self.names[i])]
+            if inline:  # its text counts for its block
+                out.append(own)
+                continue
             size = text[i]
             own.append("s=" + ("0" if not size else "1" if size < 25 else "2" if size < 80 else "3" if size < 240 else "4"))
             if size:
@@ -246,14 +266,7 @@ class TreeModel:
             return []
         forest = Forest(pages, self.known)
         content = forest.marginals(self.weights, self.edge)[0] >= 0.5
-        out = []
-        for page, a, b in zip(pages, forest.first, forest.first[1:], strict=False):
-            own = content[a:b]
-            for i in range(1, len(page.tag)):  # inline elements go with their block
-                if page.tag[i] in INLINE:
-                    own[i] = own[page.parent[i]]
-            out.append(page.read(own))
-        return out
+        return [page.read(content[a:b]) for page, a, b in zip(pages, forest.first, forest.first[1:], strict=False)]
 
 
 # Names that web pages commonly give to their parts.
@@ -269,6 +282,11 @@ PARTS = {
     "share": "share social sharing follow tags meta byline toolbar buttons",
     "main": "main content article post entry body story text page blog news primary container wrapper single copy prose",
 }
+#: Such names in other languages.
+FOREIGN_PARTS = {
+    "nav": "menue navigazione menú leiste", "header": "kopf entête cabecera testata", "footer": "fuss fußzeile pied pie", "aside": "randspalte seite lateral colonne", "ad": "werbung anzeige publicité publicidad pub reklame",
+    "notice": "hinweis avis aviso datenschutz", "form": "formular suche recherche buscar anmelden", "comments": "kommentare commentaires comentarios leserbriefe", "share": "teilen partager compartir", "main": "inhalt beitrag artikel contenu texte contenido cuerpo testo haupt",
+}
 _TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "ad": ["div", "aside", "section", "ins"], "notice": ["div", "section", "aside"], "form": ["form", "div"], "comments": ["section", "div", "aside"], "share": ["div", "ul", "p"]}
 
 
@@ -283,7 +301,9 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
         return " ".join("qz" + w if main else w for w in own).capitalize() + pick([".", ".", "!", "?", ""])
 
     def named(kind: str, always: float) -> str:
-        names = PARTS[kind].split()
+        names = (PARTS if chance(0.75) else FOREIGN_PARTS)[kind].split()
+        if chance(0.15):  # names that say nothing
+            names = ["".join(pick("abcdefghklmnrstuvwxyz") for _ in range(int(rng.integers(2, 8)))) for _ in range(3)]
         own = [pick(names) for _ in range(int(rng.integers(1, 3)))]
         if chance(0.3):
             own = ["-".join([pick(names), pick(["box", "area", "wrap", "inner", "block", "list", "section"])])]
@@ -300,19 +320,19 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
             return f"<ul{named(kind, 1)}>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(int(rng.integers(3, 8)))) + "</ul>"
         inner = {
             "nav": lambda: link_list(int(rng.integers(3, 9))),
-            "header": lambda: pick(["", f"<h1>{words(1, 3)}</h1>", f"<div>{words(1, 4)}</div>"]) + f"<p>{words(2, 8)}</p>" * int(rng.integers(0, 2)) + pick(["", link_list(4)]),
+            "header": lambda: pick(["", f"<h1>{words(1, 3)}</h1>", f"<h2>{words(1, 3)}</h2>", f"<div>{words(1, 4)}</div>"]) + f"<p>{words(2, 8)}</p>" * int(rng.integers(0, 2)) + pick(["", link_list(4)]),
             "footer": lambda: pick(["&copy; ", ""]) + words(3, 25) + pick(["", link_list(4), f"<p>{words(5, 30)}</p>"]),
             "aside": lambda: f"<h3>{words(1, 3)}</h3>" + pick([link_list(5), f"<p>{words(8, 40)}</p>"]),
             "ad": lambda: pick([words(3, 30), f"<p>{words(5, 30)}</p>", f'<a href="#">{words(3, 12)}</a>']),
             "notice": lambda: pick([words(5, 30), f"<p>{words(8, 40)}</p>"]) + pick(["", f"<button>{words(1, 2)}</button>"]),
             "form": lambda: f"<label>{words(1, 4)}</label><input name=x><button>{words(1, 2)}</button>" + pick(["", f"<p>{words(4, 20)}</p>"]),
-            "comments": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(f"<{t}{named('comments', 0.6)}><b>{words(1, 2)}</b><p>{words(4, 40)}</p></{t}>" for t in [pick(["div", "li", "article"])] * int(rng.integers(1, 5))),
+            "comments": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(f"<{t}{named('comments', 1 if t == 'article' else 0.6)}><b>{words(1, 2)}</b><p>{words(4, 40)}</p></{t}>" for t in [pick(["div", "li", "article"])] * int(rng.integers(1, 5))),
             "share": lambda: "".join(f'<a href="#">{words(1, 2)}</a> ' for _ in range(4)),
         }[kind]()
         return f"<{tag}{named(kind, 0.4 if own_tag else 1)}>{inner}</{tag}>"
 
     def main_block() -> str:
-        kind = pick(["p"] * 8 + ["h2", "h3", "ul", "links", "links", "linked", "figure", "blockquote", "pre", "table", "bold"])
+        kind = pick(["p"] * 8 + ["h2", "h3", "ul", "links", "links", "links", "links", "links", "linked", "figure", "blockquote", "pre", "table", "bold", "dl", "lines"])
         if kind == "figure":
             return f"<figure><img src=/i.png><figcaption>{words(1, 15, True)}</figcaption></figure>"
         if kind == "links":
@@ -324,28 +344,54 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
             return "<ul>" + "".join(f"<li>{words(3, 20, True)}</li>" for _ in range(int(rng.integers(2, 5)))) + "</ul>"
         if kind == "table":
             return "<table>" + "".join(f"<tr><td>{words(1, 4, True)}</td><td>{words(1, 4, True)}</td></tr>" for _ in range(3)) + "</table>"
+        if kind == "dl":
+            return "<dl>" + "".join(f"<dt>{words(1, 4, True)}</dt><dd>{words(3, 30, True)}</dd>" for _ in range(int(rng.integers(1, 5)))) + "</dl>"
+        if kind == "lines":
+            return "<p>" + "<br>".join(words(4, 30, True) for _ in range(int(rng.integers(2, 5)))) + "</p>"
         if kind in ("h2", "h3"):
             return f"<{kind}>{words(1, 8, True)}</{kind}>"
         if kind == "bold":
             return f"<p><b>{words(1, 12, True)}<br>"
         text = words(1, 90, True)
-        if chance(0.3):
-            text += f' <a href="/x">{words(1, 4, True)}</a> {words(2, 20, True)}'
+        if chance(0.35):
+            inner = pick(["a href=/x", "em", "strong", "i", "b", "span", "code", "span style=x", "small", "mark"])
+            text += f' <{inner}>{words(1, 6, True)}</{inner.split()[0]}> {words(2, 20, True)}'
+        if chance(0.12):
+            inner = pick(["span", "ins", "a", "span", "ins", "small", "em"])
+            where = pick(["", words(2, 12, True)])
+            text += f' <{inner}{named("ad", 1)}>{words(1, 6)}</{inner}> {where}'
         return f"<{kind}>{text}" + ("" if kind == "p" and chance(0.3) else f"</{kind}>")
 
     out = []
     for _ in range(n):
         tag = pick(["article", "article", "main", "div", "section"])
-        inside = [f"<h1>{words(1, 10, True)}</h1>"] * int(rng.integers(0, 2)) + [main_block() for _ in range(int(rng.integers(1, 9)))]
+        title = f"<{(own := pick(['h1', 'h1', 'h2']))}>{words(1, 10, True)}</{own}>"
+        title = f"<header>{title}</header>" if chance(0.1) else title
+        inside = [title] * int(rng.integers(0, 2)) + [main_block() for _ in range(int(pick([1, 2, *rng.integers(1, 9, 4)])))]
+        if chance(0.1):  # a page of a few words
+            inside = [f"<p>{words(2, 12, True)}</p>"]
+        if chance(0.15):  # parts of forms without a form, adverts in the flow
+            stray = [f"<label>{words(1, 3)}</label><select><option>{words(1, 2)}<option>{words(1, 2)}</select>", f"<button>{words(1, 3)}</button>", f"<fieldset><legend>{words(1, 3)}</legend><label>{words(1, 4)}</label><input></fieldset>", f"<label>{words(1, 4)}</label><textarea>{words(1, 4)}</textarea>", f"<ins{named('ad', 1)}>{words(1, 9)}</ins>", f"<select><option>{words(1, 2)}</option><option>{words(1, 2)}</option></select>"]
+            inside.insert(int(rng.integers(1, len(inside) + 1)), pick(stray))
         for kind in ("ad", "share", "form", "aside", "notice", "comments"):
             if chance(0.12):
                 inside.insert(int(rng.integers(1, len(inside) + 1)) if kind != "comments" else len(inside), junk(kind))
-        body = f"<{tag}{named('main', 0.4 if tag in ('article', 'main') else 1)}>{''.join(inside)}</{tag}>"
-        if chance(0.4):
+        if chance(0.3):  # a plain page: elements without names, or none around the text
+            wrap = pick([0, 0, 1, 2])
+            body = "<div>" * wrap + "".join(inside) + "</div>" * wrap
+        else:
+            body = f"<{tag}{named('main', 0.4 if tag in ('article', 'main') else 0.8)}>{''.join(inside)}</{tag}>"
+        for _ in range(int(rng.integers(0, 3)) if chance(0.4) else 0):
+            body = f"<div{named('main', 0.7)}>{body}</div>"
+        if chance(0.35):
             body = f"<{pick(['div', 'main', 'section'])}{named('main', 0.8)}>{pick(['', junk('nav'), junk('aside')])}{body}{pick(['', junk('aside'), junk('comments'), junk('share')])}</div>"
-        before = [junk(k) for k in ("notice", "header", "nav", "ad", "form") if chance(0.45)]
-        after = [junk(k) for k in ("share", "comments", "aside", "ad", "form", "footer", "notice") if chance(0.4)]
-        head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
+        some = pick([0.0, 0.3, 0.5, 0.6])
+        if chance(0.12):  # an article of a few words and nothing else
+            some, body = 0.0, f"<article><p>{words(2, 8, True)}</p></article>"
+        before = [junk(k) for k in ("notice", "header", "nav", "ad", "form") if chance(some)]
+        after = [junk(k) for k in ("share", "comments", "aside", "ad", "form", "footer", "notice") if chance(some)]
+        extra = pick(["", f"<style>.{words(1, 1)}{{color:red}}</style>", f"<script>f({int(rng.integers(99))})</script>", f'<link rel=x href="/s.css"><base href="/">'])
+        head = pick(["<!DOCTYPE html><html>", "<html>", '<html lang="en">', ""]) + pick([f"<head><title>{words(2, 8)}</title>{extra}</head>", f"<head>{extra}<meta charset=utf-8></head>", ""]) + pick(["<body>", '<body class="page">', "<body>", ""])
         out.append(head + "".join(before) + body + "".join(after) + pick(["</body></html>", "</body></html>", ""]))
     return [(page, re.findall(r"qz\w+", page, re.I)) for page in out]
 
@@ -373,17 +419,17 @@ def extract(pages: DataFrame, html_col: str = "html", model: TreeModel | None =
     """``pages`` with text and n_chars; the html column is dropped."""
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
+    hidden = unused("html_of_page", pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, "__html", 2 << 20):
-                texts = own.texts([h or "" for h in batch.column(batch.schema.get_field_index("__html")).to_pylist()])
-                keep = [i for i, c in enumerate(batch.schema.names) if c != "__html"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*(batch.schema.names[i] for i in keep), "text", "n_chars"])
+            for batch in slices(whole, hidden, 2 << 20):
+                texts = own.texts([h or "" for h in batch.column(len(kept)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, "text", "n_chars"])
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html_col}`").cast("string").alias("__html")).mapInArrow(tidy(run), schema)
+    return pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html_col}`").cast("string").alias(hidden)).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _RNG = np.random.Generator(np.random.Philox(key=20260101))
 #: One odd 64-bit number for each byte value.
@@ -97,6 +98,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no frame has a column of that name, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch.
 
