@@ -85,6 +85,22 @@ def audit(stored: DataFrame, expected: DataFrame, key: str, rules: dict[str, Col
     return counts.select("records", "expected", "missing", "unexpected", "broken", F.coalesce(F.col("last") + 1 == F.col("records"), F.lit(True)).alias("prefix"), ((F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("broken") == 0)).alias("complete"))
 
 
+def audit_inputs(stored: DataFrame, made: DataFrame, keys: list[str], digest: str) -> DataFrame:
+    """One row: records, expected, missing, unexpected, changed, complete. ``made`` are the inputs made anew; one join judges both sides.
+
+    A key that a side holds more than once counts each of its rows; it is changed unless both sides have the same digests
+    as often (judged by the sum of their 64-bit hashes).
+    """
+    side = lambda d, p: d.groupBy(*keys).agg(F.count("*").alias(f"{p}n"), F.sum(F.xxhash64(digest).cast("decimal(38,0)")).alias(f"{p}sum")).select(*(F.col(k).alias(f"{p}{k}") for k in keys), f"{p}n", f"{p}sum")
+    met = [F.col(f"s_{k}").eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    both = side(stored, "s_").join(side(made, "m_"), met, "full")
+    c = F.col
+    same = (c("s_n") == c("m_n")) & (c("s_sum") == c("m_sum"))
+    total = lambda e: F.coalesce(F.sum(e), F.lit(0))
+    counts = both.agg(total(c("s_n")).alias("records"), total(c("m_n")).alias("expected"), total(F.when(c("s_n").isNull(), c("m_n"))).alias("missing"), total(F.when(c("m_n").isNull(), c("s_n"))).alias("unexpected"), total(F.when(c("s_n").isNotNull() & c("m_n").isNotNull() & ~same, c("s_n"))).alias("changed"))
+    return counts.withColumn("complete", (c("records") == c("expected")) & (c("missing") + c("unexpected") + c("changed") == 0))
+
+
 def tree_limits(files: DataFrame, most_files: int = 1000, most_bytes: int = 10 << 20, most_total: int = 32 << 20) -> DataFrame:
     """One row of totals against their limits."""
     n, total, largest = F.count("*"), F.sum("bytes"), F.max("bytes")

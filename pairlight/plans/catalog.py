@@ -455,6 +455,40 @@ def remapped_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.scored(spark, sf_dir).groupBy("format", remapped.alias("status")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("extracted", "strict_compliant", "strict_correct")), F.sum("answer").alias("tokens"))
 
 
+# Validation and audit of output records.
+
+_LATE = "l_linestatus = 'F' AND l_discount > 0.08"
+_BROKEN = {
+    "score_correct": "l_orderkey % 53 = 0", "prompt_hash": "l_orderkey % 41 = 0", "input_count": "l_orderkey % 37 = 0", "timing": "l_orderkey % 31 = 0", "token_range": "l_orderkey % 47 = 0",
+    "eos": "l_orderkey % 43 = 0", "truncation": f"l_orderkey % 43 = 0 AND {_LATE}", "finished": f"l_orderkey % 43 = 0 AND NOT ({_LATE})",
+}
+
+
+def _validation(version: int) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        eos, cap, top = views.VERSIONS[version]
+        rules = integrity.output_rules(version, eos, cap, top)
+        return views.outputs(spark, sf_dir, version).select("l_orderkey", "l_linenumber", F.array_join(integrity.violations(rules), ",").alias("broken"))
+
+    query.__name__ = f"validate_v{version}"
+    query.__doc__ = f"Every rule of a version-{version} record over every line: the rules it breaks."
+    own = {n: c for n, c in _BROKEN.items() if version > 1 or n in ("score_correct", "prompt_hash", "input_count", "timing")}
+    register("SELECT l_orderkey, l_linenumber, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in own.items()) + ") AS broken FROM lineitem")(query)
+
+
+for _version in views.VERSIONS:
+    _validation(_version)
+
+
+@register("SELECT count(*) FILTER (WHERE l_orderkey % 29 <> 0) + count(*) FILTER (WHERE l_orderkey % 97 = 0) AS records, count(*) AS expected, count(*) FILTER (WHERE l_orderkey % 29 = 0) AS missing, count(*) FILTER (WHERE l_orderkey % 97 = 0) AS unexpected, count(*) FILTER (WHERE l_orderkey % 29 <> 0 AND l_orderkey % 31 = 0) AS changed, false AS complete FROM lineitem")
+def audit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored prompts against ones made anew from the table: records that are missing, that nothing asked for, or whose prompt differs."""
+    made = views.responses(spark, sf_dir).select("l_orderkey", "l_linenumber", F.sha2(integrity.rendered(F.concat(F.lit("Calculate "), F.col("expression"))), 256).alias("prompt_sha256"))
+    held = made.where("l_orderkey % 29 <> 0").withColumn("prompt_sha256", F.when(F.col("l_orderkey") % 31 == 0, "changed").otherwise(F.col("prompt_sha256")))
+    more = made.where("l_orderkey % 97 = 0").withColumn("l_orderkey", -1 - F.col("l_orderkey"))
+    return integrity.audit_inputs(held.unionByName(more), made, ["l_orderkey", "l_linenumber"], "prompt_sha256")
+
+
 # Runs against runs, integrity.
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlight.functions.dims import CONDITIONS, FAMILIES, FORMATS
-from pairlight.functions.scoring import grammar_score
+from pairlight.functions.scoring import grammar_score, strict_score
+from pairlight.operators.integrity import ids_json, rendered
 from pairlight.session import table
 
 #: The words that may be edited in ``documents``.
@@ -91,6 +92,30 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns(grammar_score(F.col("completion"), F.col("expression"), F.col("answer"), F.col("format"), F.col("truncated")))
 
 
+#: End of sequence, cap and vocabulary of the three versions' outputs.
+VERSIONS = {1: (2, 64, None), 2: (2, 64, None), 3: (3, 32, 200)}
+
+
+def outputs(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    """Every line as a whole output record of a version, with its prompt, token ids, hashes and scores; some are broken by their order's number."""
+    eos, cap, top = VERSIONS[version]
+    k = F.col("l_orderkey")
+    r = responses(spark, sf_dir).withColumn("prompt", F.concat(F.lit("Calculate "), F.col("expression")))
+    n = F.when(F.col("truncated"), cap).otherwise(k % 20 + 2).cast("int")
+    wrong = F.when(k % 47 == 0, -5 if top is None else top).otherwise(1).cast("int")
+    r = r.withColumns({
+        "rendered_prompt": rendered(F.col("prompt")), "input_token_ids": F.array(wrong, F.col("answer").cast("int"), F.col("l_linenumber").cast("int")), "output_tokens": n,
+        "output_token_ids": F.concat(F.array_repeat(F.lit(7), n - 1), F.array(F.when(F.col("truncated"), 7).otherwise(eos))),
+        "ended_with_eos": F.col("truncated") == (k % 43 == 0), "elapsed_seconds": F.when(k % 31 == 0, -1.0).otherwise(k % 100 / 10),
+    })
+    score = strict_score(F.col("completion"), F.col("answer"), F.col("truncated")) if version == 1 else grammar_score(F.col("completion"), F.col("expression"), F.col("answer"), F.col("format"), F.col("truncated"))
+    r = r.withColumns({
+        "rendered_prompt_sha256": F.when(k % 41 == 0, "").otherwise(F.sha2("rendered_prompt", 256)), "input_token_sha256": F.sha2(ids_json(F.col("input_token_ids")), 256),
+        "input_tokens": F.size("input_token_ids") + F.when(k % 37 == 0, 1).otherwise(0), **score,
+    })
+    return r.withColumn("correct", F.col("correct") != (k % 53 == 0))
+
+
 _S = r"[ \t\n\r\f\x0B]"
 _N = r"([+-]?[0-9]{1,9})"
 RESPONSES = f"""base AS (SELECT *, CAST(l_quantity AS BIGINT) AS answer FROM lineitem),

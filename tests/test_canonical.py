@@ -116,3 +116,12 @@ def test_valid_prefixes(spark):
     for x in got:
         want = prefix([t[1:] for t in records if t[0] == x.run], {p: i for q, p, i in expected if q == x.run})
         assert tuple(x)[1:] == want, x
+
+
+def test_inputs_made_anew(spark):
+    made = spark.createDataFrame([(1, "a", "h"), (2, "a", "h"), (3, None, "h"), (4, "b", "h"), (4, "b", "h")], "k long, c string, d string")
+    audit = lambda rows: tuple(integrity.audit_inputs(spark.createDataFrame(rows, made.schema), made, ["k", "c"], "d").first())
+    assert audit([tuple(r) for r in made.collect()]) == (5, 5, 0, 0, 0, True)
+    assert audit([(1, "a", "x"), (3, None, None), (4, "b", "h"), (4, "b", "y"), (9, "a", "h")]) == (5, 5, 1, 1, 4, False)
+    assert audit([(1, "a", "h"), (2, "a", "h"), (3, None, "h"), (4, "b", "h")]) == (4, 5, 0, 0, 1, False)
+    assert audit([]) == (0, 5, 5, 0, 0, False)
