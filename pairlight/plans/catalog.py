@@ -516,20 +516,20 @@ def valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.valid_prefixes(records.unionByName(again).unionByName(extra), expected, "run", "at", "id", "intact")
 
 
-_PLANTED = "coalesce(text, '') <> '' AND doc_id % 7 = 0"
+_WRONG = "((coalesce(text, '') <> '' AND (conv_id + turn) % 7 = 0) OR (conv_id + turn) % 11 = 0)"
 
 
-@register(f"SELECT doc_id, NOT ({_PLANTED} OR doc_id % 11 = 0) AS encodes, NOT ({_PLANTED} OR doc_id % 11 = 0) AS decodes FROM documents")
+@register(f"SELECT conv_id || ':' || turn AS turn_id, NOT {_WRONG} AS encodes, NOT {_WRONG} AS decodes FROM conversations")
 def token_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored ids of every document, some without their last, some with one too many, against the texts, both ways."""
+    """Stored ids of every turn, some without their last, some with one too many, against the texts, both ways."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = tokens.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path)
-    n = F.size("ids")
-    hurt = F.when(F.col("doc_id") % 11 == 0, F.concat("ids", F.array(F.lit(0)))).when((F.col("doc_id") % 7 == 0) & (n > 0), F.slice("ids", F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(F.col("ids"))
-    kept = stored(coded.withColumn("ids", hurt), "stored-ids")
-    return tokens.verify_tokens(kept, "doc_id", "text", "ids", path).select("doc_id", "encodes", "decodes")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), (F.col("conv_id") + F.col("turn")).alias("n"), "text")
+    n, size = F.col("n"), F.size("ids")
+    hurt = F.when(n % 11 == 0, F.concat("ids", F.array(F.lit(0)))).when((n % 7 == 0) & (size > 0), F.slice("ids", F.lit(1), F.greatest(size - 1, F.lit(0)))).otherwise(F.col("ids"))
+    kept = stored(tokens.with_ids(turns, "text", path).withColumn("ids", hurt), "stored-ids")
+    return tokens.verify_tokens(kept, "turn_id", "text", "ids", path).select("turn_id", "encodes", "decodes")
 
 
 @register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
