@@ -705,11 +705,24 @@ def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, text_sha256 string").parquet(out)
 
 
+def _torn_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Logs of all ``events``; beside the whole ones, each thousandth event (and null ids) has a log of two whole lines and half a third."""
+    path = fresh_dir(spark, "log")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    e = table(spark, sf_dir, "events").select(line.alias("value"), F.coalesce(F.col("event_id") % 1000 == 0, F.lit(True)).alias("torn"))
+    e.where(~F.col("torn")).select("value").write.text(path)
+    cut = F.expr("concat(value, '\n', value, '\n', substr(value, 1, length(value) div 2))")
+    e.where("torn").select(cut).write.mode("append").option("lineSep", "|").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @register()
 def torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line log with an unfinished last line: what is kept and what is cut."""
-    path = fresh_dir(spark, "log")
-    lines = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id")).alias("value"))
-    lines.coalesce(1).write.text(path)
-    spark.createDataFrame([('{"item_id": 9',)], "value string").coalesce(1).write.option("lineSep", "|").mode("append").text(path)
-    return runlog.torn_tails(spark, path).select("complete_lines", "tail_bytes", "tail_sha256")
+    """Logs of all events, a thousandth of them torn: what is kept and what is cut of each torn one."""
+    return runlog.torn_tails(spark, _torn_logs(spark, sf_dir)).where("tail_bytes > 0").select("complete_lines", "tail_bytes", "tail_sha256")
+
+
+@register()
+def recovered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of those logs without the torn ones, which are kept as evidence."""
+    return runlog.recovered(spark, _torn_logs(spark, sf_dir), "event_id long, user_id long, event_type string, value double", fresh_dir(spark, "evidence"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pairlight.functions.scoring import grammar_score
 from pairlight.operators.integrity import canonical_json, seal, violations
 from pairlight.session import shared_dir, stored
+from pairlight.sources.linelog import recovered, torn_tails  # noqa: F401  part of this module's interface
 
 STUB_FIELDS = "completion string, output_tokens int, truncated boolean, elapsed_seconds double"
 
@@ -79,28 +80,6 @@ def valid_prefixes(records: DataFrame, expected: DataFrame, run: str, ordinal: s
     return out.select(run, "records", "expected", F.when(F.col("bad").isNull(), F.col("expected")).otherwise(F.greatest(F.col("bad.p") - F.coalesce(F.col("first"), F.col("bad.p")), F.lit(0))).alias("prefix"), F.col("bad.p").alias("place"), F.col("bad.c").alias("cause"))
 
 
-def torn_tails(spark: SparkSession, path: str) -> DataFrame:
-    """file, complete_lines, tail_bytes, tail_hex, tail_sha256 of line logs: what stands behind the last newline."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("h"))
-    tail = F.regexp_replace("h", "^(?:(?:[0-9A-F]{2})*?0A)?((?:(?!0A)[0-9A-F]{2})*)$", "$1")
-    return raw.withColumn("t", tail).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.size(F.filter(F.regexp_extract_all("h", F.lit("[0-9A-F]{2}"), F.lit(0)), lambda b: b == "0A")).cast("long").alias("complete_lines"),
-        (F.length("t") / 2).cast("long").alias("tail_bytes"), F.lower("t").alias("tail_hex"), F.sha2(F.unhex("t"), 256).alias("tail_sha256"),
-    )
-
-
-def recovered(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of a line log. Only an unfinished last line may be dropped; a whole line that doesn't parse fails the query."""
-    tails = torn_tails(spark, path).where("tail_bytes > 0").select("file", "tail_hex")
-    lines = spark.read.text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
-    both = lines.join(F.broadcast(tails), "file", "left")
-    # One condition, so that no plan judges a line before it is known whether it is the torn one.
-    torn = F.coalesce(F.lower(F.hex("value")) == F.col("tail_hex"), F.lit(False))
-    keep = F.when(torn, F.lit(False)).when(F.get_json_object("value", "$").isNull(), F.raise_error(F.lit("damaged record")).cast("boolean")).otherwise(F.lit(True))
-    return both.where(keep).select(F.from_json("value", schema).alias("row")).select("row.*")
-
-
 def append_available(source: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
     """Append what a streaming source has that the checkpoint hasn't seen, then stop: a resumed run does no work twice."""
     query = transform(source).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
