@@ -78,6 +78,25 @@ def manifest_check(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(seen, "name", "left").select("name", problem.alias("problem"))
 
 
+def tree_check(manifest: DataFrame, files: DataFrame, barred: tuple[str, ...] = (".safetensors", ".bin", ".whl", ".log"), most_bytes: int = 10 << 20) -> DataFrame:
+    """name, problem of a tree (name, bytes, sha256) against its manifest, both ways; null where a file is as it should be.
+
+    Problems in this order: missing, extra, barred (by suffix), large, size, hash. A name that a side holds twice meets
+    each row of the other. Null names equal each other; a null size or hash equals null alone.
+    """
+    want = manifest.select(F.col("name").alias("w_name"), F.col("bytes").alias("w_bytes"), F.col("sha256").alias("w_sha"), F.lit(True).alias("w"))
+    seen = files.select(F.col("name").alias("s_name"), F.col("bytes").alias("s_bytes"), F.col("sha256").alias("s_sha"), F.lit(True).alias("s"))
+    c = F.col
+    suffix = F.lit(False)
+    for end in barred:
+        suffix = suffix | c("s_name").endswith(end)
+    problem = (
+        F.when(c("s").isNull(), "missing").when(c("w").isNull(), "extra").when(suffix, "barred").when(c("s_bytes") > most_bytes, "large")
+        .when(~c("s_bytes").eqNullSafe(c("w_bytes")), "size").when(~c("s_sha").eqNullSafe(c("w_sha")), "hash")
+    )
+    return want.join(seen, c("w_name").eqNullSafe(c("s_name")), "full").select(F.coalesce("w_name", "s_name").alias("name"), problem.alias("problem"))
+
+
 def audit(stored: DataFrame, expected: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One row: records, expected, missing, unexpected, broken, whether they form a prefix, complete."""
     both = expected.select(key, F.col("ordinal").alias("e")).join(stored.withColumn("v", F.size(violations(rules))).select(key, F.lit(1).alias("s"), "v"), key, "full")

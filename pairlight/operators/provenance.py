@@ -123,11 +123,11 @@ def environment(spark: SparkSession) -> dict:
     return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), "master": spark.sparkContext.master, "cpus": os.cpu_count(), "application": spark.sparkContext.applicationId}
 
 
-def write_session(folder: str, at: int, state: str, records: int, more: dict) -> str:
-    """Metadata of one session, and the run's status beside it, each replaced in one step."""
-    name = os.path.join(folder, f"session-{at}.json")
-    write_json(name, {"state": state, "records": records, **more})
-    write_json(os.path.join(folder, "status.json"), {"state": state, "records": records, "session": os.path.basename(name)})
+def write_session(spark: SparkSession, folder: str, at: int, state: str, records: int, more: dict) -> str:
+    """Metadata of one session, and the run's status beside it, each replaced in one step on the shared file system."""
+    name = f"{folder}/session-{at}.json"
+    write_json(spark, name, {"state": state, "records": records, **more})
+    write_json(spark, f"{folder}/status.json", {"state": state, "records": records, "session": f"session-{at}.json"})
     return name
 
 

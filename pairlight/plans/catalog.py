@@ -16,6 +16,7 @@ from pairlight.operators import gate, generate, integrity, paired, provenance, t
 from pairlight.plans import views
 from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
 from pairlight.session import fresh_dir, stored, table
+from pairlight.sources.shared import tree_files
 from pairlight.streaming import runlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,3 +727,24 @@ def torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recovered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of those logs without the torn ones, which are kept as evidence."""
     return runlog.recovered(spark, _torn_logs(spark, sf_dir), "event_id long, user_id long, event_type string, value double", fresh_dir(spark, "evidence"))
+
+
+@register()
+def release_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of all documents (a file for each language and 1,000 ids) against its manifest, with a row for each file.
+
+    Behind the manifest's back one more file comes for ids divisible by 7,000; of the manifest's entries, those of blocks
+    1 and 2 of each seven have another size and another hash, and those of block 3 are entered under a second name too.
+    """
+    root = fresh_dir(spark, "tree")
+    block = F.floor(F.col("doc_id") / 1000).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", block.alias("block"))
+    write = lambda d, b: d.withColumn("block", b).repartition("lang", "block").sortWithinPartitions("lang", "block", "doc_id").write.partitionBy("lang", "block").mode("append").json(root)
+    write(docs, F.col("block"))
+    k = F.pmod(F.regexp_extract("name", r"block=(\d+)/", 1).cast("long"), F.lit(7))
+    made = stored(tree_files(spark, root).select("name", "bytes", "sha256"), "manifest")
+    wrong = made.withColumn("bytes", F.col("bytes") + F.when(k == 1, 1).otherwise(0)).withColumn("sha256", F.when(k == 2, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    manifest = wrong.union(made.where(k == 3).withColumn("name", F.concat("name", F.lit(".lost"))))
+    write(docs.where("doc_id % 7000 = 0"), F.concat(F.lit("late-"), "block"))
+    found = integrity.tree_check(manifest, tree_files(spark, root))
+    return found.select(F.regexp_extract("name", "lang=([^/]*)/", 1).alias("lang"), F.regexp_extract("name", "block=([^/]*)/", 1).alias("block"), "problem")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlight.functions.canonical import canonical_json
+from pairlight.sources.shared import tree_files as file_stats  # noqa: F401  part of this module's interface
+from pairlight.sources.shared import write_document as write_json  # noqa: F401
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,27 +20,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes, sha256, ends_with_newline of whole files below 2 GB."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), (F.expr("substring(content, -1, 1)") == F.lit(b"\n")).alias("ends_with_newline"))
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Canonical lines: sorted keys, nulls kept."""
     df.select(canonical_json(df, df.columns).alias("value")).write.text(path)
 
 
-def write_json(path: str, document: object) -> None:
-    """A driver-side document, replaced in one step."""
-    partial = f"{path}.partial"
-    with open(partial, "w", encoding="utf-8") as f:
-        f.write(json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(partial, path)
-
-
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows either side has that the other hasn't."""
     return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))

@@ -7,11 +7,8 @@ is committed whole or not at all, so nothing half-written is ever counted.
 from __future__ import annotations
 
 import hashlib
-import json
 import time
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from datetime import UTC, datetime
 
 import pandas as pd
 from pyarrow import fs
@@ -20,8 +17,10 @@ from pyspark.sql import functions as F
 
 from pairlight.functions.scoring import grammar_score
 from pairlight.operators.integrity import canonical_json, seal, violations
-from pairlight.session import shared_dir, stored
+from pairlight.session import stored
 from pairlight.sources.linelog import recovered, torn_tails  # noqa: F401  part of this module's interface
+from pairlight.sources.shared import file_system
+from pairlight.streaming.lease import Lease, single_writer  # noqa: F401
 
 STUB_FIELDS = "completion string, output_tokens int, truncated boolean, elapsed_seconds double"
 
@@ -86,34 +85,13 @@ def append_available(source: DataFrame, path: str, checkpoint: str, transform: C
     query.awaitTermination()
 
 
-@contextmanager
-def single_writer(spark: SparkSession, run: str):
-    """One writer a run: an entry in the shared folder that only one application can create, and that names its owner.
-
-    A driver that died leaves its entry; whoever takes the run over removes it by hand, as the message says.
-    """
-    entry = f"{shared_dir(spark)}/{run}.writer"
-    held = spark.sparkContext.parallelize([(spark.sparkContext.applicationId, datetime.now(UTC).isoformat())], 1)
-    try:
-        held.map(json.dumps).saveAsTextFile(entry)  # fails where the folder is there already
-    except Exception as e:
-        if "FileAlreadyExists" not in str(e):
-            raise
-        owner = spark.read.text(entry).first()
-        raise ValueError(f"run {run} is being written by {owner.value if owner else 'someone'}; remove {entry} if that writer is gone") from e
-    try:
-        yield
-    finally:
-        system, where = fs.FileSystem.from_uri(entry if "://" in entry else f"file://{entry}")
-        system.delete_dir(where)
-
-
-def write_run(cases: DataFrame, path: str, key: str, step: int, engine_factory: Callable[[], object] = StubEngine, rules: dict | None = None, started: float | None = None, budget: float | None = None, stop: Callable[[], bool] = lambda: False, limit: int | None = None, clock: Callable[[], float] = time.time) -> tuple[str, int]:
+def write_run(cases: DataFrame, path: str, key: str, step: int, engine_factory: Callable[[], object] = StubEngine, rules: dict | None = None, started: float | None = None, budget: float | None = None, stop: Callable[[], bool] = lambda: False, limit: int | None = None, clock: Callable[[], float] = time.time, lease: Lease | None = None) -> tuple[str, int]:
     """Answer what ``path`` hasn't answered yet, ``step`` cases at a time, and append each part sealed and validated.
 
     ``cases`` have an ordinal. Before each part it is asked whether to stop, whether ``budget`` seconds have passed
     since ``started`` (the run's first start, so a restart gains no time) and whether ``limit`` new records are made. A
-    part is committed whole or not at all; one that breaks a rule fails and isn't appended. Returns state and exit code.
+    part is committed whole or not at all; one that breaks a rule fails and isn't appended. A ``lease`` is renewed right
+    before each commit, and a part whose writer lost it is refused. Returns state and exit code.
     """
     spark = cases.sparkSession
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema), STUB_FIELDS, "record_sha256 string"])
@@ -132,6 +110,8 @@ def write_run(cases: DataFrame, path: str, key: str, step: int, engine_factory:
         broken = part.where(F.size(violations(rules or {})) > 0).count()
         if broken:
             raise ValueError(f"{broken} records break a rule")
+        if lease is not None:
+            lease.check()
         sealed.write.mode("append").parquet(path)
         n = part.count()
         made, completed = made + n, completed + n
@@ -140,7 +120,7 @@ def write_run(cases: DataFrame, path: str, key: str, step: int, engine_factory:
 
 def there(path: str) -> bool:
     """Whether a folder has been written, on any file system that Spark's shared folder may be on."""
-    system, where = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    system, where = file_system(path)
     return system.get_file_info(where).type != fs.FileType.NotFound
 
 

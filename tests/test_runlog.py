@@ -63,8 +63,8 @@ def test_provenance(spark, tmp_path, capsys):
     assert provenance.materialise(df, path, False).count() == provenance.materialise(df, path, True).count() == 2
     with pytest.raises(ValueError, match="differ"):
         provenance.materialise(df.limit(1), path, True)
-    provenance.write_session(str(tmp_path), 2, "complete", 3, provenance.environment(spark))
-    provenance.write_session(str(tmp_path), 1, "checkpoint", 1, {})
+    provenance.write_session(spark, str(tmp_path), 2, "complete", 3, provenance.environment(spark))
+    provenance.write_session(spark, str(tmp_path), 1, "checkpoint", 1, {})
     assert [(r.state, r.file) for r in provenance.sessions(spark, str(tmp_path), "state string, records int").collect()] == [("checkpoint", "session-1.json"), ("complete", "session-2.json")]
     provenance.print_result(df.where("k = 1"))
     assert capsys.readouterr().out == '{"k":1,"v":"a"}\n'
@@ -79,7 +79,7 @@ def test_files(spark, tmp_path):
     files.write_jsonl(df.coalesce(1), str(tmp_path / "o"))
     back = files.read_jsonl(spark, str(tmp_path / "o"), "b int, a string")
     assert tuple(files.same_rows(df, back).first()) == (0, 0)
-    files.write_json(str(tmp_path / "d.json"), {"x": 1})
+    files.write_json(spark, str(tmp_path / "d.json"), {"x": 1})
     assert files.read_json(spark, str(tmp_path / "d.json"), "x int").first().x == 1
     stats = {r.name: r for r in files.file_stats(spark, str(tmp_path / "d.json")).collect()}
     assert stats["d.json"].ends_with_newline and "| b |" in files.report(df.select("b")).replace("b |\n", "b |")
