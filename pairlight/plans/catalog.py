@@ -17,7 +17,7 @@ from pairlight.plans import views
 from pairlight.plans.views import EDITABLE, PAIRED, RAW_RUNS, RESPONSES, RUNS, SCORED
 from pairlight.session import fresh_dir, stored, table
 from pairlight.sources.shared import tree_files
-from pairlight.streaming import runlog
+from pairlight.streaming import runlog, runstate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -748,3 +748,19 @@ def release_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(docs.where("doc_id % 7000 = 0"), F.concat(F.lit("late-"), "block"))
     found = integrity.tree_check(manifest, tree_files(spark, root))
     return found.select(F.regexp_extract("name", "lang=([^/]*)/", 1).alias("lang"), F.regexp_extract("name", "block=([^/]*)/", 1).alias("block"), "problem")
+
+
+@register()
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs of 20 records within two days, over a stream of all events that is stopped and taken up three times."""
+    source, out, mark = (fresh_dir(spark, n) for n in ("run-events", "run-states", "run-state-marks"))
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # A log grows in the order of time; its quarters are bounded by the span of the times.
+    span = events.agg(F.unix_micros(F.min("ts")).alias("low"), F.unix_micros(F.max("ts")).alias("high")).first()
+    low, high = span.low or 0, span.high or 0
+    quarter = F.coalesce(F.least(F.lit(3), F.floor((F.unix_micros("ts") - low) * 4 / max(high - low, 1))), F.lit(0)).cast("int")
+    for q in range(4):
+        events.where(quarter == q).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        runstate.append_states(runstate.run_states(stream, "user_id", "ts", 2 * 86_400, 20), out, mark)
+    return runstate.latest_states(spark, out, "user_id", table(spark, sf_dir, "events").schema["user_id"].dataType.simpleString())
