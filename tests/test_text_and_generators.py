@@ -2,6 +2,7 @@ import hashlib
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,15 @@ def test_nested_check(spark):
             list(textops._spliced(["abc"], *zip(*bad, strict=True), [0, len(bad)]))
 
 
+def test_slices_are_small():
+    """What a worker holds beside its batch: the tables of one slice, some 25 bytes a byte of text."""
+    texts = pa.array(["word " * 2000] * 400 + [None, "", "x" * 3_000_000])
+    batch = pa.RecordBatch.from_arrays([texts], names=["__text"])
+    parts = list(textops._slices(iter([batch]), "__text"))
+    assert pa.Table.from_batches(parts).column(0).combine_chunks() == texts
+    assert all(p.num_rows == 1 or p.num_rows <= 500 and sum(len(t or "") for t in p.column(0).to_pylist()) <= 1 << 18 for p in parts)
+
+
 def test_question_sets(spark):
     first, second = generate.first_questions(spark).collect(), generate.reserved_questions(spark).collect()
     assert len(first) == 240 and len(second) == 252
