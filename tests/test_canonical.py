@@ -6,9 +6,11 @@ import math
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairlight.functions import canonical
 from pairlight.functions.canonical import canonical_json
 from pairlight.operators import integrity, tokens
 from pairlight.streaming import runlog
@@ -52,6 +54,26 @@ def test_plain_rows_need_no_python(spark):
     assert [x.j for x in made.collect()] == [standard(dict(zip(df.columns, row, strict=True))) for row in rows]
 
 
+def test_only_other_columns_go_to_python(spark):
+    """Texts beside a double or a list stay in the engine; they went to the workers with the whole row."""
+    df = spark.createDataFrame([(1, "a\n\"b", 0.1, ["x", None]), (2, None, None, None)], "id long, long_text string, score double, words array<string>")
+    line = df.select(canonical_json(df, df.columns).alias("line"))
+    calls = [x for x in line._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in x]
+    assert calls and not any("long_text" in x.split("], [")[0] for x in calls)
+    assert [json.loads(r.line) for r in line.collect()] == [r.asDict() for r in df.collect()]
+
+
+def test_columns_in_slices(monkeypatch):
+    kind = pa.struct([("m", pa.map_(pa.string(), pa.float64())), ("l", pa.list_(pa.list_(pa.string())))])
+    values = [None if i % 7 == 0 else {"m": None if i % 5 == 0 else [(f"k{j}", j / 3) for j in range(i % 4)], "l": [["x" * i, None], None, []][: i % 3 + 1]} for i in range(300)]
+    column = pa.array(values, kind)
+    whole = canonical.encoded(column)
+    monkeypatch.setattr(canonical, "SLICE", 500)
+    parts = list(canonical._slices(column))
+    assert len(parts) > 20 and [x for p in parts for x in canonical.encoded(p)] == whole
+    assert whole[11] == json.dumps({"m": dict(values[11]["m"]), "l": values[11]["l"]}, sort_keys=True, separators=(",", ":"))
+
+
 def test_seals_with_doubles(spark):
     rows = [(i, math.pi * 10.0**i, None if i % 3 == 0 else f"t\x1f{i}") for i in range(-20, 20)]
     df = spark.createDataFrame(rows, "id long, x double, t string")
