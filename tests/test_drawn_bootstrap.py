@@ -13,7 +13,7 @@ from pairlight.operators import paired
 from pairlight.plans import catalog, views
 from tests.test_all_lines import SCHEMA, lines  # noqa: F401
 
-NAMES = ["bootstrap_delta_ci"]
+NAMES = ["bootstrap_delta_ci", "break_rate_ci"]
 
 
 def md5(text):
